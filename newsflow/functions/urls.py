@@ -35,8 +35,16 @@ def percent_encode(c) -> Column:
 
 def canonical_url(c) -> Column:
     """trim, drop query and fragment, lower-case scheme and authority,
-    empty path -> '/', percent-encode non-ASCII and blanks."""
-    u = F.regexp_replace(F.trim(_c(c)), r"[?#].*$", "")
+    empty path -> '/', percent-encode non-ASCII and blanks. On a large input
+    column expression prefer ``with_canonical`` (staged projections)."""
+    return canonical_from_stripped(strip_query(c))
+
+
+def strip_query(c) -> Column:
+    return F.regexp_replace(F.trim(_c(c)), r"[?#].*$", "")
+
+
+def canonical_from_stripped(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, SCHEME_AUTH_RE, 1))
     auth = F.lower(F.regexp_extract(u, SCHEME_AUTH_RE, 2))
     path = F.regexp_extract(u, SCHEME_AUTH_RE, 3)
@@ -110,11 +118,19 @@ def remove_dot_segments(path) -> Column:
     return F.concat(F.lit("/"), F.array_join(folded, "/"))
 
 
+def with_canonical(df, src: str, out: str):
+    """``df`` plus column ``out`` = canonical_url(src), computed in two
+    projections so the stripped URL is evaluated once per row."""
+    tmp = f"_{out}_stripped"
+    return (df.withColumn(tmp, strip_query(src))
+            .withColumn(out, canonical_from_stripped(F.col(tmp))).drop(tmp))
+
+
 def resolve_link(base, href) -> Column:
     """absolute form of an href found on page ``base`` (what a browser's
     ``node.href`` gives): absolute kept, ``//h/p`` takes the base scheme,
     ``/p`` the base authority, ``?q``/``#f``/'' the base path, anything else
-    the base directory; dot segments removed."""
+    the base directory. Dot segments: ``fix_dot_segments``."""
     b, h = _c(base), F.trim(_c(href))
     b_nofrag = F.regexp_replace(b, r"#.*$", "")
     scheme = F.regexp_extract(b, SCHEME_AUTH_RE, 1)
@@ -130,7 +146,12 @@ def resolve_link(base, href) -> Column:
               .when(h.startswith("?"), F.concat(origin, b_path, h))
               .when(h.startswith("#"), F.concat(b_nofrag, h))
               .otherwise(F.concat(origin, b_dir, h)))
-    # normalise dot segments of hierarchical URLs only
+    return joined
+
+
+def fix_dot_segments(joined) -> Column:
+    """Remove dot segments from the path of a hierarchical URL."""
+    joined = _c(joined)
     j_scheme = F.regexp_extract(joined, SCHEME_AUTH_RE, 1)
     j_auth = F.regexp_extract(joined, SCHEME_AUTH_RE, 2)
     j_rest = F.regexp_extract(joined, SCHEME_AUTH_RE, 3)

@@ -139,3 +139,105 @@ def summary_view(spark, sf):
 @register
 def scan_limit(spark, sf):
     return Rec.scan_limit(B.articles(spark, sf), 10)
+
+
+# ---------------------------------------------------------------- URLs, pages
+from ..operators import filters as Flt  # noqa: E402
+from ..operators import pages as Pg  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+LINK_PATHS = ["/d", "/t", "/%c3"]
+PAGE_PATHS = ["/en/", "/de/"]
+PAGE_EXTENSIONS = [".html"]
+
+
+def _pages(spark, sf):
+    return Pg.canonicalize(read_table(spark, sf, "pages"))
+
+
+def _raw_pages(spark, sf):
+    """raw_pages(url_hash, url, html) as the content store holds them."""
+    return _pages(spark, sf).select("page_id", "url_hash", F.col("canonical_url").alias("url"), "html")
+
+
+def _parsed(spark, sf):
+    parsed, _ = Pg.parse_pages(_raw_pages(spark, sf))
+    return parsed
+
+
+@register
+def pages_canonical(spark, sf):
+    return _pages(spark, sf).select("page_id", "url", "canonical_url", "url_hash")
+
+
+@register
+def domain_filter(spark, sf):
+    p = _pages(spark, sf).select("page_id", "canonical_url")
+    return Flt.domain_filter(p, "canonical_url", B.TEST_DOMAINS)
+
+
+@register
+def path_filter(spark, sf):
+    p = _pages(spark, sf).select("page_id", "canonical_url")
+    return Flt.path_filter(p, "canonical_url", PAGE_PATHS)
+
+
+@register
+def extension_filter(spark, sf):
+    p = _pages(spark, sf).select("page_id", "canonical_url")
+    return Flt.extension_filter(p, "canonical_url", PAGE_EXTENSIONS)
+
+
+@register
+def allowlist_save(spark, sf):
+    p = _pages(spark, sf).select("page_id", "canonical_url")
+    return Flt.allowlist_semi(p, "canonical_url", B.TEST_DOMAINS)
+
+
+@register
+def outlinks(spark, sf):
+    return Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, LINK_PATHS)
+
+
+@register
+def outlink_counts(spark, sf):
+    return Pg.outlink_counts(Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, LINK_PATHS))
+
+
+@register
+def page_parse(spark, sf):
+    return _parsed(spark, sf)
+
+
+@register
+def clean_text(spark, sf):
+    from ..functions.html import clean_text as clean
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", clean("text").alias("text_clean"))
+
+
+@register
+def payload(spark, sf):
+    return Pg.payload(_parsed(spark, sf))
+
+
+@register
+def quarantine_split(spark, sf):
+    good, bad = Flt.quarantine_split(B.crawl_output(spark, sf))
+    g = good.select("page_id", F.lit("good").alias("part"), F.col("status.code").alias("status_code"),
+                    F.col("content.title").alias("title"), F.lit(None).cast("string").alias("err"))
+    q = bad.select("page_id", F.lit("quarantine").alias("part"), F.lit(None).cast("int").alias("status_code"),
+                   F.lit(None).cast("string").alias("title"), F.col("err.err").alias("err"))
+    return g.unionByName(q)
+
+
+@register
+def content_store(spark, sf):
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    return Pg.content_store(good, B.seeds(spark, sf), B.TEST_DOMAINS)
+
+
+@register
+def url_dedup(spark, sf):
+    cands = Pg.link_candidates(read_table(spark, sf, "pages"))
+    return Pg.first_visits(cands, "link", ["page_id", "link_pos"])

@@ -162,3 +162,192 @@ JOIN articles_b a ON a.url_hash = r.url_hash
 LEFT JOIN lk l ON l.user_id = r.user_id AND l.url_hash = r.url_hash"""
 SQL["scan_limit"] = with_(ARTICLES) + """
 SELECT url_hash, title FROM articles_b ORDER BY url_hash LIMIT 10"""
+
+
+# ---------------------------------------------------------------- URLs, pages
+SA = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)(.*)$'"
+AUTH_RE = r"'^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)'"
+PATH_RE = r"'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)'"
+ABS_RE = r"'^[A-Za-z][A-Za-z0-9+.\-]*:'"
+TEST_DOMAINS = ["example.org", "ththan.example.net", "ample.com"]
+LINK_PATHS = ["/d", "/t", "/%c3"]
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def s_pct(s: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({s}, '([!-~]+|[^!-~]+)', 1), "
+            f"lambda t: CASE WHEN regexp_matches(t, '^[!-~]') THEN t ELSE url_encode(t) END), '')")
+
+
+def s_canon(x: str) -> str:
+    u = f"regexp_replace(trim({x}), '[?#].*$', '')"
+    p = f"regexp_extract({u}, {SA}, 3)"
+    full = (f"CASE WHEN regexp_matches({u}, {SA}) THEN lower(regexp_extract({u}, {SA}, 1)) || '://' || "
+            f"lower(regexp_extract({u}, {SA}, 2)) || CASE WHEN {p} = '' THEN '/' ELSE {p} END ELSE {u} END")
+    return s_pct(full)
+
+
+def s_auth(x: str) -> str:
+    return f"lower(regexp_extract({x}, {AUTH_RE}, 1))"
+
+
+def s_path(x: str) -> str:
+    return f"regexp_extract({x}, {PATH_RE}, 1)"
+
+
+def s_in_domain(x: str, domains) -> str:
+    h = s_auth(x)
+    ors = " OR ".join([f"{h} IN ({', '.join(q(d) for d in domains)})"]
+                      + [f"ends_with({h}, {q('.' + d)})" for d in domains])
+    return f"coalesce({h} <> '' AND ({ors}), false)"
+
+
+def s_has_path(x: str, prefixes) -> str:
+    p = f"lower({s_path(x)})"
+    return "coalesce(" + " OR ".join(f"starts_with({p}, {q(pre)})" for pre in prefixes) + ", false)"
+
+
+def s_has_ext(x: str, exts) -> str:
+    p = f"lower({s_path(x)})"
+    return "coalesce(" + " OR ".join(f"ends_with({p}, {q(e)})" for e in exts) + ", false)"
+
+
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def s_unescape(x: str) -> str:
+    out = x
+    for k, v in ENTITIES:
+        out = f"replace({out}, {q(k)}, {q(v)})"
+    return out
+
+
+HREF_RE = r"""'(?i)<a\s[^>]*?href="([^"]*)"'"""
+TITLE_RE = r"'(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>'"
+COMMENT_RE = r"'(?s)<!--.*?-->'"
+SCRIPT_RE = r"'(?is)<script(?:[ \t\n\r\f][^>]*)?>.*?</script[ \t\n\r\f]*>'"
+STYLE_RE = r"'(?is)<style(?:[ \t\n\r\f][^>]*)?>.*?</style[ \t\n\r\f]*>'"
+P_OPEN_RE = r"'(?i)<p(?:[ \t\n\r\f][^>]*)?>'"
+P_END_RE = r"'(?is)</(?:p|article|div|section|body|main|td|li)[ \t\n\r\f]*>.*$'"
+NON_WORD_RE = r"'[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]'"
+
+
+def s_title(h: str) -> str:
+    return f"CASE WHEN coalesce(regexp_matches({h}, {TITLE_RE}), false) THEN {s_unescape(f'regexp_extract({h}, {TITLE_RE}, 1)')} END"
+
+
+def s_paragraphs(h: str, sep: str = "") -> str:
+    stripped = (f"regexp_replace(regexp_replace(regexp_replace({h}, {COMMENT_RE}, '', 'g'), "
+                f"{SCRIPT_RE}, '', 'g'), {STYLE_RE}, '', 'g')")
+    piece = s_unescape(f"regexp_replace(regexp_replace(p, {P_END_RE}, ''), '<[^>]*>', '', 'g')")
+    return (f"array_to_string(list_transform(string_split_regex({stripped}, {P_OPEN_RE})[2:], "
+            f"lambda p: {piece}), {q(sep)})")
+
+
+def s_clean(x: str) -> str:
+    return f"regexp_replace({x}, {NON_WORD_RE}, '', 'g')"
+
+
+def s_dots(path: str) -> str:
+    segs = f"string_split({path}, '/')"
+    red = (f"list_reduce({segs}[2:], lambda acc, s: CASE WHEN s = '..' THEN "
+           f"(CASE WHEN len(acc) > 0 THEN acc[1:len(acc) - 1] ELSE acc END) "
+           f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
+    fixed = f"CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({red}, '') ELSE {red} END"
+    return f"'/' || array_to_string({fixed}, '/')"
+
+
+def s_resolve(b: str, href: str) -> str:
+    h = f"trim({href})"
+    nofrag = f"regexp_replace({b}, '#.*$', '')"
+    scheme = f"regexp_extract({b}, {SA}, 1)"
+    auth = f"regexp_extract({b}, {SA}, 2)"
+    bpath = f"regexp_extract(regexp_extract({b}, {SA}, 3), '^([^?#]*)', 1)"
+    origin = f"({scheme} || '://' || {auth})"
+    bdir0 = f"regexp_extract({bpath}, '^(.*/)', 1)"
+    bdir = f"(CASE WHEN {bdir0} = '' THEN '/' ELSE {bdir0} END)"
+    joined = (f"(CASE WHEN regexp_matches({h}, {ABS_RE}) THEN {h} "
+              f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
+              f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
+              f"WHEN {h} = '' THEN {nofrag} "
+              f"WHEN starts_with({h}, '?') THEN {origin} || {bpath} || {h} "
+              f"WHEN starts_with({h}, '#') THEN {nofrag} || {h} "
+              f"ELSE {origin} || {bdir} || {h} END)")
+    return joined
+
+
+def s_fix_dots(j: str) -> str:
+    rest = f"regexp_extract({j}, {SA}, 3)"
+    jpath = f"regexp_extract({rest}, '^([^?#]*)', 1)"
+    jtail = f"regexp_extract({rest}, '^[^?#]*(.*)$', 1)"
+    fixed = (f"regexp_extract({j}, {SA}, 1) || '://' || regexp_extract({j}, {SA}, 2) || "
+             f"(CASE WHEN starts_with({jpath}, '/') THEN {s_dots(jpath)} ELSE {jpath} END) || {jtail}")
+    return f"CASE WHEN regexp_matches({j}, {SA}) THEN {fixed} ELSE {j} END"
+
+
+PAGES = f"""pg AS (
+  SELECT page_id, url, html, {s_canon('url')} AS canonical_url FROM pages),
+pgc AS (SELECT *, md5(canonical_url) AS url_hash FROM pg)"""
+
+PARSED = PAGES + f""",
+parsed AS (
+  SELECT page_id, url_hash, canonical_url AS url, {s_title('html')} AS title,
+         {s_clean(s_paragraphs('html'))} AS text, 'unknown' AS source,
+         CAST(NULL AS VARCHAR) AS published_date
+  FROM pgc WHERE coalesce(regexp_matches(html, {TITLE_RE}), false))"""
+
+LINKS = f"""lraw AS (
+  SELECT page_id, url AS base, unnest(regexp_extract_all(html, {HREF_RE}, 1)) AS href,
+         generate_subscripts(regexp_extract_all(html, {HREF_RE}, 1), 1) - 1 AS link_pos
+  FROM pages),
+lres AS (SELECT page_id, link_pos, {s_resolve('base', s_unescape('href'))} AS joined FROM lraw),
+lcand AS (SELECT page_id, link_pos, {s_canon(s_fix_dots('joined'))} AS link FROM lres)"""
+
+OUTLINKS = LINKS + f""",
+olinks AS (
+  SELECT DISTINCT page_id, link FROM lcand
+  WHERE {s_in_domain('link', TEST_DOMAINS)} AND {s_has_path('link', LINK_PATHS)})"""
+
+
+def s_suffixes(host: str) -> str:
+    parts = f"string_split({host}, '.')"
+    return f"list_transform(range(1, len({parts}) + 1), lambda i: array_to_string({parts}[i:], '.'))"
+
+
+SQL["pages_canonical"] = with_(PAGES) + "SELECT page_id, url, canonical_url, md5(canonical_url) AS url_hash FROM pg"
+SQL["domain_filter"] = with_(PAGES) + f"SELECT page_id, canonical_url FROM pg WHERE {s_in_domain('canonical_url', TEST_DOMAINS)}"
+SQL["path_filter"] = with_(PAGES) + f"SELECT page_id, canonical_url FROM pg WHERE {s_has_path('canonical_url', ['/en/', '/de/'])}"
+SQL["extension_filter"] = with_(PAGES) + f"SELECT page_id, canonical_url FROM pg WHERE {s_has_ext('canonical_url', ['.html'])}"
+SQL["allowlist_save"] = with_(PAGES) + f"""
+SELECT page_id, canonical_url FROM pg
+WHERE {s_auth('canonical_url')} <> ''
+  AND len(list_intersect({s_suffixes(s_auth('canonical_url'))}, [{', '.join(q(d) for d in TEST_DOMAINS)}])) > 0"""
+SQL["outlinks"] = with_(OUTLINKS) + "SELECT * FROM olinks"
+SQL["outlink_counts"] = with_(OUTLINKS) + "SELECT page_id, count(DISTINCT link) AS n_links FROM olinks GROUP BY page_id"
+SQL["page_parse"] = with_(PARSED) + "SELECT * FROM parsed"
+SQL["clean_text"] = f"SELECT doc_id, {s_clean('text')} AS text_clean FROM documents"
+SQL["payload"] = with_(PARSED) + "SELECT url_hash, CAST(json_object('inputs', substring(text, 1, 2200)) AS VARCHAR) AS body FROM parsed"
+CRAWL = f"""crawl AS (
+  SELECT page_id, url, html,
+         coalesce(regexp_matches(html, {TITLE_RE}), false) AS ok,
+         {s_title('html')} AS title,
+         regexp_replace(url, '^http://', 'https://') AS real_url
+  FROM pages)"""
+SQL["quarantine_split"] = with_(CRAWL) + """
+SELECT page_id, 'good' AS part, 200 AS status_code, title, CAST(NULL AS VARCHAR) AS err FROM crawl WHERE ok
+UNION ALL
+SELECT page_id, 'quarantine', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), 'title not found' FROM crawl WHERE NOT ok"""
+SQL["content_store"] = with_(CRAWL, f"""cs AS (
+  SELECT page_id, {s_canon('coalesce(real_url, url)')} AS furl, html FROM crawl
+  WHERE ok AND {s_canon('url')} NOT IN (SELECT {s_canon('url')} FROM pages WHERE page_id IN (0, 1, 2)))""") + f"""
+SELECT md5(furl) AS url_hash, arg_max(furl, page_id) AS url, arg_max(html, page_id) AS html FROM cs
+WHERE {s_auth('furl')} <> ''
+  AND len(list_intersect({s_suffixes(s_auth('furl'))}, [{', '.join(q(d) for d in TEST_DOMAINS)}])) > 0
+GROUP BY md5(furl)"""
+SQL["url_dedup"] = with_(LINKS) + """
+SELECT md5(link) AS url_hash, page_id, link_pos, link FROM lcand
+QUALIFY row_number() OVER (PARTITION BY md5(link) ORDER BY page_id, link_pos) = 1"""
