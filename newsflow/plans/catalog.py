@@ -241,3 +241,60 @@ def content_store(spark, sf):
 def url_dedup(spark, sf):
     cands = Pg.link_candidates(read_table(spark, sf, "pages"))
     return Pg.first_visits(cands, "link", ["page_id", "link_pos"])
+
+
+# ---------------------------------------------------------------- article assembly
+from ..operators import articles as Art  # noqa: E402
+
+
+def _tasks(spark, sf):
+    return Art.inference_tasks(B.article_stubs(spark, sf))
+
+
+@register
+def inference_tasks(spark, sf):
+    return _tasks(spark, sf)
+
+
+@register
+def extract_tags(spark, sf):
+    res = B.classification_results(spark, sf, _tasks(spark, sf))
+    return flat(Art.extract_tags(res).select("output_location", "tags"))
+
+
+@register
+def result_to_article(spark, sf):
+    tasks = _tasks(spark, sf)
+    res = Art.extract_tags(B.classification_results(spark, sf, tasks))
+    return flat(Art.result_to_article(res, tasks, B.article_stubs(spark, sf))
+                .select("url_hash", "title", "task", "tags"))
+
+
+@register
+def metadata_merge(spark, sf):
+    tasks = _tasks(spark, sf)
+    merged = Art.metadata_merge(B.article_stubs(spark, sf), B.classification_results(spark, sf, tasks),
+                                B.summary_results(spark, sf, tasks), tasks)
+    return flat(merged.select("url_hash", "title", "tags", "summary", "indexed_at"))
+
+
+@register
+def upsert_replace(spark, sf):
+    """Re-processed pages (the labelled documents) rewrite their whole row,
+    wiping tags and summary until the results are back (V3)."""
+    base = B.articles(spark, sf)
+    labelled = read_table(spark, sf, "labels").select(
+        F.md5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("url_hash"))
+    updates = B.article_stubs(spark, sf).join(labelled, "url_hash", "left_semi")
+    out = Art.upsert_replace(base, updates)
+    return flat(out.select("url_hash", "title", "tags", "summary"))
+
+
+@register
+def upsert_merge(spark, sf):
+    """Classification results patched into the full article rows."""
+    tasks = _tasks(spark, sf)
+    res = Art.extract_tags(B.classification_results(spark, sf, tasks))
+    patch = res.join(tasks, "output_location").select("url_hash", "tags")
+    out = Art.upsert_merge(B.articles(spark, sf), patch)
+    return flat(out.select("url_hash", "title", "tags", "summary"))

@@ -351,3 +351,38 @@ GROUP BY md5(furl)"""
 SQL["url_dedup"] = with_(LINKS) + """
 SELECT md5(link) AS url_hash, page_id, link_pos, link FROM lcand
 QUALIFY row_number() OVER (PARTITION BY md5(link) ORDER BY page_id, link_pos) = 1"""
+
+
+# ---------------------------------------------------------------- article assembly
+DOCH = "md5('doc:' || CAST(doc_id AS VARCHAR))"
+TASKS = f"""tasks AS (
+  SELECT string_split('results/' || task || '/' || md5({DOCH} || ':' || task) || '.out', '/')[-1] AS output_location,
+         {DOCH} AS url_hash, task
+  FROM documents CROSS JOIN (VALUES ('classification'), ('summary')) v(task))"""
+CRES = f"""cres AS (
+  SELECT t.output_location, {DOCH} AS url_hash,
+         ['quality:' || CAST(quality AS VARCHAR), 'toxic:' || CAST(toxic AS VARCHAR)] AS tags,
+         TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST((doc_id * 7) % 1000 AS BIGINT)) AS arrived_at
+  FROM labels l JOIN tasks t ON t.url_hash = {DOCH} AND t.task = 'classification')"""
+SRES = f"""sres AS (
+  SELECT t.output_location, {DOCH} AS url_hash, substring(text, 1, 200) AS summary,
+         TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST((doc_id * 11) % 1000 AS BIGINT)) AS arrived_at
+  FROM documents d JOIN tasks t ON t.url_hash = {DOCH} AND t.task = 'summary')"""
+
+SQL["inference_tasks"] = with_(TASKS) + "SELECT * FROM tasks"
+SQL["extract_tags"] = with_(TASKS, CRES) + "SELECT output_location, array_to_string(tags, ',') AS tags FROM cres"
+SQL["result_to_article"] = with_(ARTICLES, TASKS, CRES) + """
+SELECT c.url_hash, a.title, 'classification' AS task, array_to_string(c.tags, ',') AS tags
+FROM cres c JOIN articles_b a ON a.url_hash = c.url_hash"""
+SQL["metadata_merge"] = with_(ARTICLES, TASKS, CRES, SRES) + """
+SELECT a.url_hash, a.title, array_to_string(c.tags, ',') AS tags, s.summary,
+       greatest(c.arrived_at, s.arrived_at) AS indexed_at
+FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash LEFT JOIN sres s ON s.url_hash = a.url_hash"""
+SQL["upsert_replace"] = with_(ARTICLES) + f"""
+SELECT a.url_hash, a.title,
+       CASE WHEN a.url_hash IN (SELECT {DOCH} FROM labels) THEN NULL ELSE array_to_string(a.tags, ',') END AS tags,
+       CASE WHEN a.url_hash IN (SELECT {DOCH} FROM labels) THEN NULL ELSE a.summary END AS summary
+FROM articles_b a"""
+SQL["upsert_merge"] = with_(ARTICLES, TASKS, CRES) + """
+SELECT a.url_hash, a.title, array_to_string(coalesce(c.tags, a.tags), ',') AS tags, a.summary
+FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash"""
