@@ -298,3 +298,36 @@ def upsert_merge(spark, sf):
     patch = res.join(tasks, "output_location").select("url_hash", "tags")
     out = Art.upsert_merge(B.articles(spark, sf), patch)
     return flat(out.select("url_hash", "title", "tags", "summary"))
+
+
+# ---------------------------------------------------------------- graph
+from ..operators import frontier as Fr  # noqa: E402
+
+CRAWL_BUDGET = 500
+
+
+def _frontier(spark, sf):
+    return Fr.bfs_frontier(B.seeds(spark, sf), B.edges(spark, sf), max_visits=CRAWL_BUDGET)
+
+
+@register
+def frontier(spark, sf):
+    return _frontier(spark, sf)
+
+
+@register
+def frontier_tags(spark, sf):
+    return _frontier(spark, sf).select("url", "tag")
+
+
+@register
+def redirect_alias(spark, sf):
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    return Fr.seen_with_redirects(good)
+
+
+@register
+def seen_anti(spark, sf):
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    stored = Pg.content_store(good, B.seeds(spark, sf), B.TEST_DOMAINS)
+    return Fr.unseen(B.edges(spark, sf).select(F.col("dst_url").alias("url")), stored)

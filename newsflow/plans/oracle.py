@@ -386,3 +386,43 @@ FROM articles_b a"""
 SQL["upsert_merge"] = with_(ARTICLES, TASKS, CRES) + """
 SELECT a.url_hash, a.title, array_to_string(coalesce(c.tags, a.tags), ',') AS tags, a.summary
 FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash"""
+
+
+# ---------------------------------------------------------------- graph
+GRAPH = PAGES + f""",
+npg AS (SELECT count(*) AS n FROM pg),
+eid AS (SELECT s.canonical_url AS src, unnest([(s.page_id * 3 + 1) % npg.n, (s.page_id * 5 + 2) % npg.n]) AS dst_id
+        FROM pg s CROSS JOIN npg),
+edges_b AS (SELECT e.src, d.canonical_url AS dst FROM eid e JOIN pg d ON d.page_id = e.dst_id),
+seeds_b AS (SELECT regexp_extract(canonical_url, '^[a-z][a-z0-9+.\\-]*://[^/]*/([^/]*)', 1) AS tag,
+                   canonical_url AS url, CAST(page_id AS INTEGER) AS seed_pos
+            FROM pg WHERE page_id IN (0, 1, 2))"""
+
+BFS = """s0 AS (SELECT url, min(seed_pos) AS seed_pos FROM seeds_b GROUP BY url),
+walk(url, seed_pos, depth) AS (
+  SELECT url, seed_pos, 0 FROM s0
+  UNION
+  SELECT e.dst, w.seed_pos, w.depth + 1 FROM walk w JOIN edges_b e ON e.src = w.url
+  WHERE w.depth < (SELECT n FROM npg)),
+best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
+firsts AS (SELECT w.url, min(w.seed_pos) AS seed_pos, b.depth FROM walk w
+           JOIN best b ON w.url = b.url AND w.depth = b.depth GROUP BY w.url, b.depth),
+visits AS (
+  SELECT md5(f.url) AS url_hash, f.url, s.tag, f.seed_pos, CAST(f.depth AS INTEGER) AS depth
+  FROM firsts f JOIN (SELECT DISTINCT seed_pos, tag FROM seeds_b) s ON s.seed_pos = f.seed_pos
+  QUALIFY row_number() OVER (ORDER BY f.depth, f.seed_pos, md5(f.url)) <= 500)"""
+
+SQL["frontier"] = "WITH RECURSIVE " + GRAPH + ",\n" + BFS + "\nSELECT * FROM visits"
+SQL["frontier_tags"] = "WITH RECURSIVE " + GRAPH + ",\n" + BFS + "\nSELECT url, tag FROM visits"
+SQL["redirect_alias"] = with_(CRAWL, f"""al AS (
+  SELECT {s_canon('url')} AS url FROM crawl WHERE ok
+  UNION SELECT {s_canon('real_url')} FROM crawl WHERE ok AND real_url IS NOT NULL)""") + \
+    "SELECT md5(url) AS url_hash, url FROM al"
+SQL["seen_anti"] = with_(GRAPH, CRAWL, f"""cs AS (
+  SELECT page_id, {s_canon('coalesce(real_url, url)')} AS furl FROM crawl
+  WHERE ok AND {s_canon('url')} NOT IN (SELECT url FROM seeds_b)),
+stored AS (SELECT DISTINCT md5(furl) AS url_hash FROM cs
+  WHERE {s_auth('furl')} <> ''
+    AND len(list_intersect({s_suffixes(s_auth('furl'))}, [{', '.join(q(d) for d in TEST_DOMAINS)}])) > 0)""") + """
+SELECT DISTINCT md5(dst) AS url_hash, dst AS url FROM edges_b
+WHERE md5(dst) NOT IN (SELECT url_hash FROM stored)"""

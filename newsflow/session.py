@@ -70,3 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster), for stream sources, sinks and stream checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "newsflow-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as parquet under the session's shared
+    checkpoint folder and reading it back: one computation (a reliable
+    ``checkpoint()`` of an unpersisted plan computes it twice), survives
+    executor loss, and the re-read carries real file sizes for AQE."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
