@@ -39,13 +39,13 @@ def content_tokens(c, stop_words=None) -> Column:
 
 
 def ngrams_1_2(toks) -> Column:
-    """1-grams followed by adjacent 2-grams of a token array."""
+    """1-grams followed by adjacent 2-grams of a token array (linear: the
+    array is zipped with itself shifted by one). Pass a column, not a
+    tokenising expression, so the tokens are computed once."""
     t = _c(toks)
-    n = F.size(t)
-    bi = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                     lambda i: F.concat(F.element_at(t, i), F.lit(" "), F.try_element_at(t, i + 1)))
-    bi = F.when(n >= 2, bi).otherwise(F.array().cast("array<string>"))
-    return F.concat(t, bi)
+    pairs = F.arrays_zip(t.alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("b"))
+    pairs = F.filter(pairs, lambda p: p["b"].isNotNull())
+    return F.concat(t, F.transform(pairs, lambda p: F.concat(p["a"], F.lit(" "), p["b"])))
 
 
 def sentences(c) -> Column:

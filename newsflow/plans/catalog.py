@@ -331,3 +331,39 @@ def seen_anti(spark, sf):
     good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
     stored = Pg.content_store(good, B.seeds(spark, sf), B.TEST_DOMAINS)
     return Fr.unseen(B.edges(spark, sf).select(F.col("dst_url").alias("url")), stored)
+
+
+# ---------------------------------------------------------------- text jobs
+from ..operators import scoring as Sc  # noqa: E402
+from ..operators import text as Tx  # noqa: E402
+
+
+@register
+def keywords_tfidf(spark, sf):
+    return Tx.keywords_tfidf(read_table(spark, sf, "documents"), top_n=10)
+
+
+@register
+def summarize(spark, sf):
+    return Tx.summarize(read_table(spark, sf, "documents"), k=3)
+
+
+@register
+def classify_nb(spark, sf):
+    """Naive Bayes trained on the labelled documents (class = quality),
+    applied to every document."""
+    docs = read_table(spark, sf, "documents")
+    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id")
+    model = Tx.nb_train(labelled, "quality")
+    return Tx.nb_classify(docs, model)
+
+
+@register
+def keywords_mmr(spark, sf):
+    return Tx.keywords_mmr(read_table(spark, sf, "documents"), candidates=20, top_n=10, diversity=0.7)
+
+
+@register
+def score_batches(spark, sf):
+    return Sc.score_batches(_parsed(spark, sf), Sc.length_model,
+                            "url_hash string, n_chars bigint, label string")

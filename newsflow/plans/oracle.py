@@ -426,3 +426,67 @@ stored AS (SELECT DISTINCT md5(furl) AS url_hash FROM cs
     AND len(list_intersect({s_suffixes(s_auth('furl'))}, [{', '.join(q(d) for d in TEST_DOMAINS)}])) > 0)""") + """
 SELECT DISTINCT md5(dst) AS url_hash, dst AS url FROM edges_b
 WHERE md5(dst) NOT IN (SELECT url_hash FROM stored)"""
+
+
+# ---------------------------------------------------------------- text jobs
+from ..functions.text import STOP_WORDS  # noqa: E402
+
+STOP = "[" + ", ".join(q(w) for w in STOP_WORDS) + "]"
+
+SQL["keywords_tfidf"] = f"""WITH
+toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {TOKEN}), lambda w: NOT list_contains({STOP}, w)) AS tk
+         FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(tk, CASE WHEN len(tk) >= 2
+            THEN list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]) ELSE [] END)) AS gram FROM toks),
+tf AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY doc_id, gram),
+dfq AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents),
+sc AS (SELECT tf.doc_id, tf.gram, tf.tf, dfq.df, round(tf.tf * ln((nd.n_docs + 1) / (dfq.df + 1)), 9) AS score
+       FROM tf JOIN dfq ON tf.gram = dfq.gram CROSS JOIN nd)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gram ASC) AS INTEGER) AS rank,
+       gram, tf, df, score
+FROM sc QUALIFY rank <= 10"""
+
+SENTS = r"list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"
+SQL["summarize"] = f"""WITH
+sents AS (SELECT doc_id, unnest({SENTS}) AS sentence, CAST(generate_subscripts({SENTS}, 1) AS INTEGER) AS pos
+          FROM documents),
+toks AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {TOKEN})) AS token FROM sents),
+c AS (SELECT doc_id, token, count(*) AS c FROM toks GROUP BY doc_id, token),
+n AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id),
+sc AS (SELECT t.doc_id, t.pos, round(avg(CAST(c.c AS DOUBLE) / CAST(n.n AS DOUBLE)), 9) AS score
+       FROM toks t JOIN c ON c.doc_id = t.doc_id AND c.token = t.token JOIN n ON n.doc_id = t.doc_id
+       GROUP BY t.doc_id, t.pos),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos ASC) <= 3)
+SELECT b.doc_id, b.pos, s.sentence, b.score FROM best b JOIN sents s ON s.doc_id = b.doc_id AND s.pos = b.pos"""
+
+SQL["classify_nb"] = f"""WITH
+lab AS (SELECT d.doc_id, l.quality AS class, d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+cnt AS (SELECT token, class, count(*) AS cnt FROM (
+          SELECT class, unnest(regexp_extract_all(lower(text), {TOKEN})) AS token FROM lab) GROUP BY token, class),
+voc AS (SELECT DISTINCT token FROM cnt),
+v AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM voc),
+ct AS (SELECT class, sum(cnt) AS class_tokens FROM cnt GROUP BY class),
+nall AS (SELECT count(*) AS n_all FROM lab),
+cls AS (SELECT c.class, ln(c.n_c / nall.n_all) AS log_prior,
+               ln(CAST(coalesce(ct.class_tokens, 0) AS DOUBLE) + 1.0::DOUBLE * v.v) AS log_norm
+        FROM (SELECT class, count(*) AS n_c FROM lab GROUP BY class) c LEFT JOIN ct ON ct.class = c.class
+        CROSS JOIN nall CROSS JOIN v),
+pairs AS (SELECT token, class, ln(cnt + 1.0::DOUBLE) - ln(1.0::DOUBLE) AS w FROM cnt),
+tf AS (SELECT doc_id, token, count(*) AS f FROM (
+         SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS token FROM documents) GROUP BY doc_id, token),
+known AS (SELECT doc_id, sum(f) AS n_known FROM tf WHERE token IN (SELECT token FROM voc) GROUP BY doc_id),
+part AS (SELECT tf.doc_id, p.class, sum(tf.f * p.w) AS seen FROM tf JOIN pairs p ON p.token = tf.token
+         GROUP BY tf.doc_id, p.class),
+sc AS (SELECT d.doc_id, c.class,
+              round(c.log_prior + CAST(coalesce(k.n_known, 0) AS DOUBLE) * (ln(1.0::DOUBLE) - c.log_norm)
+                    + coalesce(p.seen, 0.0::DOUBLE), 6) AS score
+       FROM documents d LEFT JOIN known k ON k.doc_id = d.doc_id CROSS JOIN cls c
+       LEFT JOIN part p ON p.doc_id = d.doc_id AND p.class = c.class)
+SELECT doc_id, class AS pred, score FROM sc
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class ASC) = 1"""
+
+SQL["score_batches"] = with_(PARSED) + """
+SELECT url_hash, CAST(length(substring(text, 1, 2200)) AS BIGINT) AS n_chars,
+       CASE WHEN length(substring(text, 1, 2200)) >= 1000 THEN 'long' ELSE 'short' END AS label
+FROM parsed"""

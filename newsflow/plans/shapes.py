@@ -1,0 +1,16 @@
+"""Plan-shaping helpers used by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only after measuring the side: at most ``max_rows``
+    rows (one small counting job over an already aggregated table); a
+    larger side is returned as is and the planner shuffles it."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
