@@ -367,3 +367,44 @@ def keywords_mmr(spark, sf):
 def score_batches(spark, sf):
     return Sc.score_batches(_parsed(spark, sf), Sc.length_model,
                             "url_hash string, n_chars bigint, label string")
+
+
+# ---------------------------------------------------------------- streams
+from ..streaming import jobs as X  # noqa: E402
+
+STREAM_FILES = 4
+
+
+@register
+def stream_history_counts(spark, sf):
+    src = X.stage_files(B.raw_history(spark, sf), "x2-in", STREAM_FILES)
+    return X.stream_history_counts(spark, src, B.articles(spark, sf))
+
+
+@register
+def stream_liked_state(spark, sf):
+    src = X.stage_files(B.raw_history(spark, sf), "x5-in", STREAM_FILES)
+    return X.stream_liked_state(spark, src)
+
+
+@register
+def stream_page_parse(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    src = X.stage_files(pages, "x1-in", STREAM_FILES)
+    return X.stream_page_parse(spark, src, pages.schema)
+
+
+@register
+def stream_result_merge(spark, sf):
+    tasks = _tasks(spark, sf)
+    cdir = X.stage_files(B.classification_results(spark, sf, tasks), "x3-class", STREAM_FILES)
+    sdir = X.stage_files(B.summary_results(spark, sf, tasks), "x3-summary", STREAM_FILES)
+    merged = X.stream_result_merge(spark, B.article_stubs(spark, sf), cdir, sdir, tasks)
+    return flat(merged.select("url_hash", "title", "tags", "summary", "indexed_at"))
+
+
+@register
+def stream_url_dedup(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    src = X.stage_files(pages, "x4-in", STREAM_FILES)
+    return X.stream_url_dedup(spark, src, pages.schema)

@@ -490,3 +490,11 @@ SQL["score_batches"] = with_(PARSED) + """
 SELECT url_hash, CAST(length(substring(text, 1, 2200)) AS BIGINT) AS n_chars,
        CASE WHEN length(substring(text, 1, 2200)) >= 1000 THEN 'long' ELSE 'short' END AS label
 FROM parsed"""
+
+
+# ---------------------------------------------------------------- streams (same answers as the batch twins)
+SQL["stream_history_counts"] = SQL["user_tag_counts"]
+SQL["stream_liked_state"] = SQL["liked_state"]
+SQL["stream_page_parse"] = SQL["page_parse"]
+SQL["stream_result_merge"] = SQL["metadata_merge"]
+SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"
