@@ -106,14 +106,18 @@ def metadata_merge(base: DataFrame, class_results: DataFrame, summary_results: D
 
 def upsert_replace(base: DataFrame, updates: DataFrame, key: str = "url_hash",
                    order_col: str | None = None) -> DataFrame:
-    """SNK3: whole-row replace by key; the newest update wins (by
-    ``order_col`` among updates, and any update over the base row).
-    Attributes missing from the new row are lost, as in a key-value put."""
+    """SNK3: whole-row replace by key; attributes missing from the new row
+    are lost, as in a key-value put. Without ``order_col`` any update beats
+    the base row; with it the greatest ``order_col`` wins over base and
+    update rows alike (update first on ties), so the result does not depend
+    on the order in which updates arrive."""
     cols = base.columns
-    u = updates.select(*cols, (F.col(order_col) if order_col else F.lit(0)).cast("double").alias("_ord"),
+    has_base_order = order_col is not None and order_col in cols
+    u = updates.select(*cols, (F.col(order_col) if order_col else F.lit(None)).cast("double").alias("_ord"),
                        F.lit(1).alias("_src"))
-    b = base.select(*cols, F.lit(None).cast("double").alias("_ord"), F.lit(0).alias("_src"))
+    b = base.select(*cols, (F.col(order_col) if has_base_order else F.lit(None)).cast("double").alias("_ord"),
+                    F.lit(0).alias("_src"))
     allrows = b.unionByName(u)
     row = F.struct(*[F.col(c) for c in cols if c != key])
-    latest = F.max_by(row, F.struct("_src", "_ord"))
-    return allrows.groupBy(key).agg(latest.alias("_v")).select(key, "_v.*")
+    rank = F.struct("_ord", "_src") if has_base_order else F.struct("_src", "_ord")
+    return allrows.groupBy(key).agg(F.max_by(row, rank).alias("_v")).select(key, "_v.*")

@@ -495,6 +495,7 @@ FROM parsed"""
 # ---------------------------------------------------------------- streams (same answers as the batch twins)
 SQL["stream_history_counts"] = SQL["user_tag_counts"]
 SQL["stream_liked_state"] = SQL["liked_state"]
-SQL["stream_page_parse"] = SQL["page_parse"]
+SQL["stream_page_parse"] = with_(PARSED) + """
+SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY page_id DESC) = 1"""
 SQL["stream_result_merge"] = SQL["metadata_merge"]
 SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"
