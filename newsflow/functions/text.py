@@ -34,8 +34,10 @@ def tokens(c) -> Column:
 
 
 def content_tokens(c, stop_words=None) -> Column:
-    stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
+    """Tokens without stop words; the membership test plans as a hash-set
+    lookup (InSet), not a scan of the word list."""
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    return F.filter(tokens(c), lambda t: ~t.isin(stop))
 
 
 def ngrams_1_2(toks) -> Column:
@@ -52,3 +54,4 @@ def sentences(c) -> Column:
     """Trimmed, non-empty sentences in order."""
     parts = F.transform(F.split(_c(c), SENTENCE_SPLIT_RE), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
+

@@ -39,7 +39,9 @@ def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     toks = docs.select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
     grams = toks.select(id_col, F.explode(ngrams_1_2("_toks")).alias("gram"))
     tf = grams.groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("gram").agg(F.count("*").alias("df"))
+    # count(tf) == count(*) (tf is never NULL) but keeps this branch's input
+    # identical to the tf side, so its shuffle can be reused
+    df_ = tf.groupBy("gram").agg(F.count("tf").alias("df"))
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
     scored = (tf.join(df_, "gram").crossJoin(F.broadcast(n))
               .withColumn("score", F.round(F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1)), digits)))
