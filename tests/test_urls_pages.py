@@ -108,3 +108,10 @@ def test_payload_cut(spark):
         import json
         body = json.loads(Pg.payload(df).first()["body"])["inputs"]
         assert body == text[:2200]
+
+
+def test_allowlist_plans_as_broadcast_semi_join(spark):
+    df = spark.range(1000).select(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".cnn.com/x")).alias("url"))
+    plan = Flt.allowlist_semi(df, "url", Flt.PUBLISHERS)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
