@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, chat_format, sharding
+from . import ann_forest, bpe, chat_format, langid, sharding, simhash, topk_covertree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,36 @@ def op8_chat_format(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     return chat_format.read_back(chat_format.format_chat(turns.unionByName(extra)))
+
+
+@register
+def op2_simhash(spark, sf_dir):
+    """Fingerprints of 4-word shingles and their components at 4 bits."""
+    docs = read_table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, "doc_id", "text", k=4, max_bits=4)
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+@register
+def op3_language_id(spark, sf_dir):
+    """Languages of all texts, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_id.lang_pred",
+                        "lang_id.score", "lang_id.rejected")
+
+
+@register
+def op4_prefix_forest(spark, sf_dir):
+    """The 10 nearest vectors of every hundredth."""
+    return ann_forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@register
+def op6_cover_tree(spark, sf_dir):
+    """The 20 highest integer inner products of every twentieth vector."""
+    return topk_covertree.top_products(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
