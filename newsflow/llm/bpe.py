@@ -3,10 +3,10 @@
 A text is cut into pre-tokens by the vocabulary's pattern and every
 pre-token is merged on its own. The merge loop keeps the token boundaries as
 a linked list over byte positions and the mergeable pairs in a bucket queue
-indexed by merge rank: a hierarchical bitmap (64-way, three levels for up to
-262,144 ranks) tells in a few word operations which rank comes next, the
-bucket of that rank holds the positions waiting for it (leftmost first), and
-an entry whose pair has changed meanwhile is skipped when it is met. A
+indexed by merge rank: a hierarchical bitmap tells by two find-first-set
+steps which rank comes next, the bucket of that rank holds the positions
+waiting for it (leftmost first), and an entry whose pair has changed
+meanwhile is skipped when it is met. A
 pre-token of n bytes so costs O(n log n) at worst, whatever its length.
 
 Each Python worker keeps the ids of short pre-tokens it has already merged
@@ -39,46 +39,57 @@ from pyspark.sql import types as T
 MAX_VOCAB_BYTES = 64 << 20
 LONG_TEXT = 1 << 20       # characters from which pre-tokens are drawn lazily
 CACHED_BYTES = 48         # longest pre-token that is remembered
-CACHED_PIECES = 300_000
+CACHED_PIECES = 400_000   # of a generation; there are two
 OUT_BYTES = 8 << 20       # bytes of one output batch
 
 
 class RankQueue:
-    """Positions bucketed by rank below a three-level 64-way bitmap."""
+    """Positions bucketed by rank below a two-level bitmap. The words of the
+    lower level have as many bits as there are words (Python's integers take
+    any width), so the least rank is found by two find-first-set steps."""
+
+    __slots__ = ("shift", "mask", "words", "top", "buckets")
 
     def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
+        self.shift = max(1, (n_ranks.bit_length() + 1) // 2)
+        self.mask = (1 << self.shift) - 1
+        self.words = [0] * ((n_ranks >> self.shift) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}  # one position, or a heap of several
 
     def push(self, rank: int, pos: int) -> None:
-        waiting = self.buckets.get(rank)
-        if waiting is not None:
-            heapq.heappush(waiting, pos)
+        buckets = self.buckets
+        if rank in buckets:
+            waiting = buckets[rank]
+            if type(waiting) is int:
+                buckets[rank] = [waiting, pos] if waiting < pos else [pos, waiting]
+            else:
+                heapq.heappush(waiting, pos)
             return
-        self.buckets[rank] = [pos]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-        self.top |= 1 << (rank >> 12)
+        buckets[rank] = pos
+        i = rank >> self.shift
+        self.words[i] |= 1 << (rank & self.mask)
+        self.top |= 1 << i
 
     def pop(self) -> tuple[int, int]:
         """The leftmost position of the least rank."""
-        i = (self.top & -self.top).bit_length() - 1
-        w = self.mid[i]
-        i = (i << 6) | ((w & -w).bit_length() - 1)
-        w = self.low[i]
-        rank = (i << 6) | ((w & -w).bit_length() - 1)
+        top = self.top
+        i = (top & -top).bit_length() - 1
+        word = self.words[i]
+        bit = word & -word
+        rank = (i << self.shift) + bit.bit_length() - 1
         waiting = self.buckets[rank]
-        pos = heapq.heappop(waiting)
-        if not waiting:
-            del self.buckets[rank]
-            self.low[rank >> 6] &= ~(1 << (rank & 63))
-            if not self.low[rank >> 6]:
-                self.mid[rank >> 12] &= ~(1 << ((rank >> 6) & 63))
-                if not self.mid[rank >> 12]:
-                    self.top &= ~(1 << (rank >> 12))
-        return rank, pos
+        if type(waiting) is not int:
+            pos = heapq.heappop(waiting)
+            if len(waiting) == 1:
+                self.buckets[rank] = waiting[0]
+            return rank, pos
+        del self.buckets[rank]
+        word ^= bit
+        self.words[i] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, waiting
 
 
 class Merger:
@@ -90,60 +101,64 @@ class Merger:
 
     def encode(self, piece: bytes) -> list[int]:
         ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
+        if piece in ranks:
+            return [ranks[piece]]
         n, queue, get = len(piece), self.queue, ranks.get
+        push, pop = queue.push, queue.pop
         right = list(range(1, n + 1))       # start of the next token
         left = list(range(-1, n - 1))       # start of the token before
-        pair = [-1] * n                     # rank of a token merged with the next, -1: none
-        for i in range(n - 1):
-            r = get(piece[i:i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
+        # rank of a token merged with the next one, -1: none, or no token starts here
+        pair = [get(piece[i:i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if pair[i] != rank:             # stale: a neighbour was merged since
                 continue
             j = right[i]
-            k = right[j]
-            right[i], pair[j] = k, -1
+            right[i] = k = right[j]
+            pair[j] = rank = -1
             if k < n:
                 left[k] = i
-                r = get(piece[i:right[k]])
-                pair[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
+                rank = get(piece[i:right[k]], -1)
+                if rank >= 0:
+                    push(rank, i)
+            pair[i] = rank
             p = left[i]
             if p >= 0:
-                r = get(piece[p:k])
-                pair[p] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, p)
+                pair[p] = rank = get(piece[p:k], -1)
+                if rank >= 0:
+                    push(rank, p)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:right[i]]])
-            i = right[i]
+            k = right[i]
+            ids.append(ranks[piece[i:k]])
+            i = k
         return ids
 
 
 class PieceCache(dict):
-    """Packed ids by pre-token; a missing one is merged."""
+    """Packed ids by pre-token; a missing one is merged. When the cache is
+    full it becomes the older generation, from which what is met again is
+    taken over, so frequent pre-tokens stay."""
 
     def __init__(self, merger: Merger):
         super().__init__()
-        self.merger = merger
+        self.merger, self.older = merger, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = np.asarray(self.merger.encode(raw), dtype="<u4").tobytes()
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = packed
+        packed = self.older.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            packed = np.asarray(self.merger.encode(raw), dtype="<u4").tobytes()
+            if len(raw) > CACHED_BYTES:
+                return packed
+        if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 

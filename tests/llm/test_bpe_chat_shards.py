@@ -60,7 +60,7 @@ def test_rank_queue_pops_in_rank_then_position_order():
         q.push(r % 7, p)
         want += [(r, p), (r % 7, p)]
     assert [q.pop() for _ in want] == sorted(want)
-    assert not q.top and not any(q.low) and not any(q.mid)
+    assert not q.top and not any(q.words) and not q.buckets
 
 
 CONVERSATIONS = [
