@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann_forest, bpe, chat_format, langid, sharding, simhash, topk_covertree
+from . import (ann_forest, bpe, chat_format, langid, line_dedup, mixing, sharding, simhash,
+               topk_covertree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +84,30 @@ def op4_prefix_forest(spark, sf_dir):
 def op6_cover_tree(spark, sf_dir):
     """The 20 highest integer inner products of every twentieth vector."""
     return topk_covertree.top_products(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
+@register
+def op1_line_dedup(spark, sf_dir):
+    """Copies and near copies (edit distance) of lines over all documents."""
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def shape_topic(text: str = "text"):
+    """Stand-in topic: what a text looks like."""
+    words = mixing.word_count(text)
+    marks = F.regexp_count(F.col(text), F.lit(r"[^\p{L}\p{N}\s]"))
+    return (F.when(words == 0, "blank").when(F.regexp_count(F.col(text), F.lit(r"\|")) * 4 > words, "table")
+            .when(marks > words, "marked").when(words < 100, "short").when(words < 1000, "article").otherwise("long"))
+
+
+MIX_DIMS = ["source", "lang", "topic"]
+MIX_SHARE = 0.6
+
+
+@register
+def op9_source_mix(spark, sf_dir):
+    """Sampling probabilities that rake tokens to tempered source, language
+    and topic shares at 60 % of all tokens."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("topic", shape_topic())
+    mixed = mixing.mix(docs, MIX_DIMS, MIX_SHARE)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "taken")
