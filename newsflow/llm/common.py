@@ -33,8 +33,8 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Rec
             held.append(batch)  # one run over all of it
             continue
         cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
-        held.append(batch.slice(0, cut))
-        yield joined(held)
+        if held or cut:
+            yield joined([*held, batch.slice(0, cut)])
         held = [batch.slice(cut)]
     if held:
         yield joined(held)

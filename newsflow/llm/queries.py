@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (ann_forest, bpe, chat_format, langid, line_dedup, mixing, sharding, simhash,
-               topk_covertree)
+               suffix_dedup, topk_covertree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,14 @@ def op9_source_mix(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").withColumn("topic", shape_topic())
     mixed = mixing.mix(docs, MIX_DIMS, MIX_SHARE)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "taken")
+
+
+@register
+def op10_repeated_passages(spark, sf_dir):
+    """All bytes in 400-byte strings that occur twice, removed."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, "text", length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                        removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
