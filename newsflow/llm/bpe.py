@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 MAX_VOCAB_BYTES = 64 << 20
 LONG_TEXT = 1 << 20       # characters from which pre-tokens are drawn lazily
 CACHED_BYTES = 48         # longest pre-token that is remembered
-CACHED_PIECES = 400_000   # of a generation; there are two
+CACHED_PIECES = 300_000   # of a generation; there are two
 OUT_BYTES = 8 << 20       # bytes of one output batch
 
 
@@ -259,3 +259,16 @@ def encode(docs: DataFrame, vocab, pattern: str, text_col: str = "text") -> Data
 def decode(encoded: DataFrame, vocab, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded (binary): the bytes the ids stand for."""
     return encoded.mapInArrow(_decode_batches(vocab, pattern, ids_col), _plus(encoded, decoded=T.BinaryType()))
+
+
+def round_trip(docs: DataFrame, vocab, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with ids, n_tokens and decoded. Both steps
+    run in one Python worker per task, batch by batch, which halves the
+    workers that hold a vocabulary and a cache."""
+    coded = _encode_batches(vocab, pattern, text_col)
+    back = _decode_batches(vocab, pattern, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(b.drop_columns([text_col]) for b in coded(batches))
+
+    return docs.mapInArrow(run, _plus(docs.drop(text_col), ids=T.BinaryType(), n_tokens=T.LongType(), decoded=T.BinaryType()))

@@ -30,10 +30,8 @@ def op5_byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every text, as digests."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = bpe.load_vocab(spark, public_tokenizers.path(VOCAB))
-    ids = bpe.encode(docs, vocab, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(ids, vocab, public_tokenizers.PATTERN)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, vocab, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register

@@ -40,6 +40,9 @@ def test_bpe_edge_rows(spark, reference):
         want = reference.encode_ordinary(text)
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == want
         assert r.n_tokens == len(want) and bytes(r.decoded) == text.encode()
+    both = bpe.round_trip(df, vocab, P.PATTERN)
+    assert both.columns == ["doc_id", "ids", "n_tokens", "decoded"]
+    assert sorted(map(tuple, both.collect())) == sorted((r.doc_id, r.ids, r.n_tokens, r.decoded) for r in got)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(empty, vocab, P.PATTERN).collect() == []
 
