@@ -34,14 +34,20 @@ def percent_encode(c) -> Column:
 
 
 def canonical_url(c) -> Column:
-    """trim, drop query and fragment, lower-case scheme and authority,
-    empty path -> '/', percent-encode non-ASCII and blanks. On a large input
-    column expression prefer ``with_canonical`` (staged projections)."""
+    """drop tabs and line breaks, trim blanks and control characters, drop
+    query and fragment, lower-case scheme and authority, empty path -> '/',
+    percent-encode non-ASCII and blanks."""
     return canonical_from_stripped(strip_query(c))
 
 
 def strip_query(c) -> Column:
-    return F.regexp_replace(F.trim(_c(c)), r"[?#].*$", "")
+    return F.regexp_replace(trimmed(c), r"(?s)[?#].*$", "")
+
+
+def trimmed(c) -> Column:
+    """A URL as browsers read it: no tabs or line breaks, no blanks or
+    control characters around it."""
+    return F.regexp_replace(F.regexp_replace(_c(c), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
 def canonical_from_stripped(u: Column) -> Column:
@@ -118,20 +124,12 @@ def remove_dot_segments(path) -> Column:
     return F.concat(F.lit("/"), F.array_join(folded, "/"))
 
 
-def with_canonical(df, src: str, out: str):
-    """``df`` plus column ``out`` = canonical_url(src), computed in two
-    projections so the stripped URL is evaluated once per row."""
-    tmp = f"_{out}_stripped"
-    return (df.withColumn(tmp, strip_query(src))
-            .withColumn(out, canonical_from_stripped(F.col(tmp))).drop(tmp))
-
-
 def resolve_link(base, href) -> Column:
     """absolute form of an href found on page ``base`` (what a browser's
     ``node.href`` gives): absolute kept, ``//h/p`` takes the base scheme,
     ``/p`` the base authority, ``?q``/``#f``/'' the base path, anything else
     the base directory. Dot segments: ``fix_dot_segments``."""
-    b, h = _c(base), F.trim(_c(href))
+    b, h = _c(base), trimmed(href)
     b_nofrag = F.regexp_replace(b, r"#.*$", "")
     scheme = F.regexp_extract(b, SCHEME_AUTH_RE, 1)
     auth = F.regexp_extract(b, SCHEME_AUTH_RE, 2)
@@ -156,7 +154,7 @@ def fix_dot_segments(joined) -> Column:
     j_auth = F.regexp_extract(joined, SCHEME_AUTH_RE, 2)
     j_rest = F.regexp_extract(joined, SCHEME_AUTH_RE, 3)
     j_path = F.regexp_extract(j_rest, r"^([^?#]*)", 1)
-    j_tail = F.regexp_extract(j_rest, r"^[^?#]*(.*)$", 1)
+    j_tail = F.regexp_extract(j_rest, r"(?s)^[^?#]*(.*)$", 1)
     fixed = F.concat(j_scheme, F.lit("://"), j_auth,
                      F.when(j_path.startswith("/"), remove_dot_segments(j_path)).otherwise(j_path),
                      j_tail)

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -73,14 +74,29 @@ def reduce_patches(patches: DataFrame, fields: Iterable[str] = ("tags", "summary
     for f in fields:
         order = F.when(F.col(f).isNotNull(), F.struct(order_col, tie_col))
         aggs.append(F.max_by(f, order).alias(f))
-    aggs.append(F.max(order_col).alias(order_col))
+    # a patch that carries no value (an unreadable result) moves no time
+    carries = F.lit(False)
+    for f in fields:
+        carries = carries | F.col(f).isNotNull()
+    aggs.append(F.max(F.when(carries, F.col(order_col))).alias(order_col))
     return patches.groupBy("url_hash").agg(*aggs)
 
 
-def upsert_merge(base: DataFrame, patch: DataFrame, key: str = "url_hash") -> DataFrame:
+def upsert_merge(base: DataFrame, patch: DataFrame, key: str = "url_hash",
+                 order_col: str | None = None) -> DataFrame:
     """SNK4/J8: field-wise merge; a patch value replaces the base value,
-    a NULL patch value keeps it; keys only in the patch are inserted."""
-    pcols = [c for c in patch.columns if c != key]
+    a NULL patch value keeps it; keys only in the patch are inserted.
+    Several patches of one key are reduced first, per field: the value of
+    greatest ``order_col`` among the patches that carry the field (greatest
+    value on ties, and where there is no order)."""
+    pcols = [c for c in patch.columns if c not in (key, order_col)]
+    order = [F.col(order_col)] if order_col else []
+
+    def rank(c):
+        value = F.to_json(F.struct(c)) if isinstance(patch.schema[c].dataType, T.MapType) else F.col(c)
+        return F.when(F.col(c).isNotNull(), F.struct(*order, value.alias("v")))
+
+    patch = patch.groupBy(key).agg(*[F.max_by(c, rank(c)).alias(c) for c in pcols]) if pcols else patch.select(key).distinct()
     b = base.select(key, *[F.col(c).alias(f"_b_{c}") for c in base.columns if c != key])
     p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in pcols])
     j = b.join(p, key, "full_outer")
@@ -101,6 +117,9 @@ def metadata_merge(base: DataFrame, class_results: DataFrame, summary_results: D
     red = reduce_patches(result_patches(class_results, summary_results, tasks))
     red = red.withColumnRenamed("arrived_at", indexed_col)
     red = red.join(base.select("url_hash"), "url_hash", "left_semi")
+    if indexed_col in base.columns:  # an older result does not turn the time back
+        known = base.select("url_hash", F.col(indexed_col).alias("_known"))
+        red = (red.join(known, "url_hash").withColumn(indexed_col, F.greatest(indexed_col, "_known")).drop("_known"))
     return upsert_merge(base, red)
 
 
@@ -108,16 +127,33 @@ def upsert_replace(base: DataFrame, updates: DataFrame, key: str = "url_hash",
                    order_col: str | None = None) -> DataFrame:
     """SNK3: whole-row replace by key; attributes missing from the new row
     are lost, as in a key-value put. Without ``order_col`` any update beats
-    the base row; with it the greatest ``order_col`` wins over base and
-    update rows alike (update first on ties), so the result does not depend
-    on the order in which updates arrive."""
+    the base row; with it the greatest ``order_col`` (compared in its own
+    type) wins over base and update rows alike, updates first on ties, so
+    the result does not depend on the order in which updates arrive. What
+    still ties is decided by a hash of the row.
+
+    The winners are picked on (key, order, hash) alone; bodies meet them in
+    one join, so whole rows are never sorted or carried through the
+    aggregate."""
     cols = base.columns
-    has_base_order = order_col is not None and order_col in cols
-    u = updates.select(*cols, (F.col(order_col) if order_col else F.lit(None)).cast("double").alias("_ord"),
-                       F.lit(1).alias("_src"))
-    b = base.select(*cols, (F.col(order_col) if has_base_order else F.lit(None)).cast("double").alias("_ord"),
-                    F.lit(0).alias("_src"))
-    allrows = b.unionByName(u)
-    row = F.struct(*[F.col(c) for c in cols if c != key])
-    rank = F.struct("_ord", "_src") if has_base_order else F.struct("_src", "_ord")
-    return allrows.groupBy(key).agg(F.max_by(row, rank).alias("_v")).select(key, "_v.*")
+    own = order_col is not None and order_col in cols
+    rows = base.select(*cols, F.lit(0).alias("_src"), *([F.col(order_col).alias("_ord")] if own else []))
+    new = updates.select(*cols, F.lit(1).alias("_src"),
+                         *([F.col(order_col).alias("_ord")] if order_col else []))
+    allrows = rows.unionByName(new, allowMissingColumns=True)
+    hashed = [F.to_json(F.struct(c)) if isinstance(base.schema[c].dataType, T.MapType) else F.col(c) for c in cols]
+    allrows = allrows.withColumn("_hash", F.xxhash64(*hashed))
+    order = ["_ord", "_src", "_hash"] if own else ["_src", "_ord", "_hash"] if order_col else ["_src", "_hash"]
+    best = allrows.groupBy(key).agg(F.max(F.struct(*order)).alias("_best"))
+    won = allrows.join(best, key).where(F.struct(*order).eqNullSafe(F.col("_best")))
+    # rows equal in all columns are one row
+    return won.select(*cols, "_src").dropDuplicates([key]).select(*cols)
+
+
+def put_versioned(rows: DataFrame, path: str, version: int) -> str:
+    """SNK1-SNK4 as a batch write: the complete table of a version under
+    ``path/v=<version>``. A version is written once and becomes visible with
+    its success mark; a repeated run writes the same version again."""
+    target = f"{path.rstrip('/')}/v={version}"
+    rows.write.mode("overwrite").parquet(target)
+    return target

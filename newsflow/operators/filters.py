@@ -63,7 +63,7 @@ def allowlist_semi(df: DataFrame, url_col: str, domains) -> DataFrame:
 def minimal_domains(domains: DataFrame) -> DataFrame:
     """Drop listed domains covered by a shorter listed one (x.a.com by a.com)."""
     d = domains.select("domain").distinct()
-    proper = d.select("domain", F.explode(F.slice(U.host_suffixes("domain"), 2, 1000)).alias("_sfx"))
+    proper = d.select("domain", F.explode(F.filter(U.host_suffixes("domain"), lambda s: s != F.col("domain"))).alias("_sfx"))
     covered = proper.join(d.select(F.col("domain").alias("_sfx")), "_sfx", "left_semi").select("domain")
     return d.join(covered, "domain", "left_anti")
 

@@ -33,8 +33,7 @@ def link_candidates(pages: DataFrame, base_col: str = "url", html_col: str = "ht
     # Each step is its own array transform, so every intermediate is
     # computed once per link; exploding last keeps later filters on the
     # link above the generator instead of re-inlining the whole expression.
-    links = F.transform(H.hrefs(html_col), lambda h: H.unescape(h))
-    links = F.transform(links, lambda h: U.resolve_link(base, h))
+    links = F.transform(H.hrefs(html_col), lambda h: U.resolve_link(base, h))
     links = F.transform(links, lambda j: U.fix_dot_segments(j))
     links = F.transform(links, lambda a: U.strip_query(a))
     links = F.transform(links, lambda s: U.canonical_from_stripped(s))
@@ -86,13 +85,15 @@ def content_store(good: DataFrame, seeds: DataFrame, allow: Iterable[str] | Data
     seed pages skipped, only allow-listed hosts, the latest write per key
     kept (order_col = crawl order)."""
     x = good.withColumn("_req", U.canonical_url("url"))
-    x = x.join(seeds.select(F.col("url").alias("_req")), "_req", "left_anti")
+    x = x.join(seeds.select(U.canonical_url("url").alias("_req")), "_req", "left_anti")
     x = x.withColumn("url", U.canonical_url(F.coalesce("real_url", "url")))
     x = allowlist_semi(x, "url", allow)
     x = x.withColumn("url_hash", F.md5("url"))
-    latest = F.max_by(F.struct("url", F.col("content.html_content").alias("html")), F.col(order_col))
-    return (x.groupBy("url_hash").agg(latest.alias("_v"))
-            .select("url_hash", "_v.url", "_v.html"))
+    # the newest write per key is picked on (key, order) alone; the body joins it
+    body = F.col("content.html_content")
+    x = x.select("url_hash", "url", body.alias("html"), F.struct(F.col(order_col), F.xxhash64(body)).alias("_ord"))
+    newest = x.groupBy("url_hash").agg(F.max("_ord").alias("_ord"))
+    return x.join(newest, ["url_hash", "_ord"]).dropDuplicates(["url_hash"]).select("url_hash", "url", "html")
 
 
 def first_visits(requests: DataFrame, url_col: str, order_cols: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ pre-registered parquet views.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 SQL: dict[str, str] = {}
 
 D = "CAST({} AS DOUBLE)"
@@ -182,8 +184,12 @@ def s_pct(s: str) -> str:
             f"lambda t: CASE WHEN regexp_matches(t, '^[!-~]') THEN t ELSE url_encode(t) END), '')")
 
 
+def s_trimmed(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[\\t\\n\\r]', '', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
 def s_canon(x: str) -> str:
-    u = f"regexp_replace(trim({x}), '[?#].*$', '')"
+    u = f"regexp_replace({s_trimmed(x)}, '(?s)[?#].*$', '')"
     p = f"regexp_extract({u}, {SA}, 3)"
     full = (f"CASE WHEN regexp_matches({u}, {SA}) THEN lower(regexp_extract({u}, {SA}, 1)) || '://' || "
             f"lower(regexp_extract({u}, {SA}, 2)) || CASE WHEN {p} = '' THEN '/' ELSE {p} END ELSE {u} END")
@@ -215,18 +221,31 @@ def s_has_ext(x: str, exts) -> str:
     return "coalesce(" + " OR ".join(f"ends_with({p}, {q(e)})" for e in exts) + ", false)"
 
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+def _duck_map(pairs) -> str:
+    return "MAP {" + ", ".join(f"{k}: {q(v)}" for k, v in pairs) + "}"
 
 
-def s_unescape(x: str) -> str:
-    out = x
-    for k, v in ENTITIES:
-        out = f"replace({out}, {q(k)}, {q(v)})"
-    return out
+NAMED_MAP = _duck_map((q(k), v) for k, v in sorted(html5.items()))
+OLD_MAP = _duck_map((n, bytes([n]).decode("cp1252")) for n in range(128, 160) if n not in (129, 141, 143, 144, 157))
 
 
-HREF_RE = r"""'(?i)<a\s[^>]*?href="([^"]*)"'"""
+def s_unescape(x: str, attribute: bool = False) -> str:
+    digits = "regexp_extract(p, '^&#[xX]?0*([0-9A-Fa-f]*);?$', 1)"
+    n = (f"(CASE WHEN length({digits}) > 7 THEN -1 WHEN {digits} = '' THEN 0 WHEN regexp_matches(p, '^&#[xX]') "
+         f"THEN CAST('0x' || {digits} AS INTEGER) ELSE TRY_CAST({digits} AS INTEGER) END)")
+    numeric = (f"CASE WHEN starts_with(p, '&#') THEN coalesce({OLD_MAP}[{n}], CASE WHEN {n} > 0 AND {n} <= 1114111 "
+               f"AND NOT {n} BETWEEN 55296 AND 57343 THEN chr({n}) END, chr(65533)) END")
+    named = f"{NAMED_MAP}[substring(p, 2)]"
+    if attribute:
+        named = f"CASE WHEN ends_with(p, ';') THEN {named} END"
+    pieces = f"regexp_extract_all({x}, '(&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?|&|[^&]+)', 1)"
+    return (f"(CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({pieces}, lambda p: "
+            f"CASE WHEN starts_with(p, '&') THEN coalesce({numeric}, {named}, p) ELSE p END), '') ELSE {x} END)")
+
+
+ANCHOR_RE = """'(?i)<a([\\s/](?:[^"''>]+|"[^"]*"|''[^'']*'')*)>'"""
+ATTRIBUTE_RE = """'[^\\s"''>/=]+(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''>]+))?'"""
+HREF_NAME_RE = "'(?i)^href(\\s*=\\s*|$)'"
 TITLE_RE = r"'(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>'"
 COMMENT_RE = r"'(?s)<!--.*?-->'"
 SCRIPT_RE = r"'(?is)<script(?:[ \t\n\r\f][^>]*)?>.*?</script[ \t\n\r\f]*>'"
@@ -236,16 +255,32 @@ P_END_RE = r"'(?is)</(?:p|article|div|section|body|main|td|li)[ \t\n\r\f]*>.*$'"
 NON_WORD_RE = r"'[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]'"
 
 
+def s_stripped(h: str) -> str:
+    return (f"regexp_replace(regexp_replace(regexp_replace({h}, {COMMENT_RE}, '', 'g'), "
+            f"{SCRIPT_RE}, '', 'g'), {STYLE_RE}, '', 'g')")
+
+
+def s_has_title(h: str) -> str:
+    return f"coalesce(regexp_matches({s_stripped(h)}, {TITLE_RE}), false)"
+
+
 def s_title(h: str) -> str:
-    return f"CASE WHEN coalesce(regexp_matches({h}, {TITLE_RE}), false) THEN {s_unescape(f'regexp_extract({h}, {TITLE_RE}, 1)')} END"
+    return f"CASE WHEN {s_has_title(h)} THEN {s_unescape(f'regexp_extract({s_stripped(h)}, {TITLE_RE}, 1)')} END"
 
 
 def s_paragraphs(h: str, sep: str = "") -> str:
-    stripped = (f"regexp_replace(regexp_replace(regexp_replace({h}, {COMMENT_RE}, '', 'g'), "
-                f"{SCRIPT_RE}, '', 'g'), {STYLE_RE}, '', 'g')")
-    piece = s_unescape(f"regexp_replace(regexp_replace(p, {P_END_RE}, ''), '<[^>]*>', '', 'g')")
-    return (f"array_to_string(list_transform(string_split_regex({stripped}, {P_OPEN_RE})[2:], "
-            f"lambda p: {piece}), {q(sep)})")
+    piece = s_unescape(f"regexp_replace(regexp_replace(para, {P_END_RE}, ''), '<[^>]*>', '', 'g')")
+    return (f"array_to_string(list_transform(string_split_regex({s_stripped(h)}, {P_OPEN_RE})[2:], "
+            f"lambda para: {piece}), {q(sep)})")
+
+
+def s_hrefs(h: str) -> str:
+    each = f"regexp_extract_all(attrs, {ATTRIBUTE_RE})"
+    first = f"list_filter({each}, lambda a: regexp_matches(a, {HREF_NAME_RE}))[1]"
+    value = f"regexp_replace({first}, {HREF_NAME_RE}, '')"
+    value = f"CASE WHEN regexp_matches({value}, '^[\"'']') THEN {value}[2:-2] ELSE {value} END"
+    found = f"list_transform(regexp_extract_all({s_stripped(h)}, {ANCHOR_RE}, 1), lambda attrs: {value})"
+    return f"list_filter({found}, lambda x: x IS NOT NULL)"
 
 
 def s_clean(x: str) -> str:
@@ -262,7 +297,7 @@ def s_dots(path: str) -> str:
 
 
 def s_resolve(b: str, href: str) -> str:
-    h = f"trim({href})"
+    h = s_trimmed(href)
     nofrag = f"regexp_replace({b}, '#.*$', '')"
     scheme = f"regexp_extract({b}, {SA}, 1)"
     auth = f"regexp_extract({b}, {SA}, 2)"
@@ -283,7 +318,7 @@ def s_resolve(b: str, href: str) -> str:
 def s_fix_dots(j: str) -> str:
     rest = f"regexp_extract({j}, {SA}, 3)"
     jpath = f"regexp_extract({rest}, '^([^?#]*)', 1)"
-    jtail = f"regexp_extract({rest}, '^[^?#]*(.*)$', 1)"
+    jtail = f"regexp_extract({rest}, '(?s)^[^?#]*(.*)$', 1)"
     fixed = (f"regexp_extract({j}, {SA}, 1) || '://' || regexp_extract({j}, {SA}, 2) || "
              f"(CASE WHEN starts_with({jpath}, '/') THEN {s_dots(jpath)} ELSE {jpath} END) || {jtail}")
     return f"CASE WHEN regexp_matches({j}, {SA}) THEN {fixed} ELSE {j} END"
@@ -298,13 +333,13 @@ parsed AS (
   SELECT page_id, url_hash, canonical_url AS url, {s_title('html')} AS title,
          {s_clean(s_paragraphs('html'))} AS text, 'unknown' AS source,
          CAST(NULL AS VARCHAR) AS published_date
-  FROM pgc WHERE coalesce(regexp_matches(html, {TITLE_RE}), false))"""
+  FROM pgc WHERE {s_has_title('html')})"""
 
 LINKS = f"""lraw AS (
-  SELECT page_id, url AS base, unnest(regexp_extract_all(html, {HREF_RE}, 1)) AS href,
-         generate_subscripts(regexp_extract_all(html, {HREF_RE}, 1), 1) - 1 AS link_pos
-  FROM pages),
-lres AS (SELECT page_id, link_pos, {s_resolve('base', s_unescape('href'))} AS joined FROM lraw),
+  SELECT page_id, base, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS link_pos
+  FROM (SELECT page_id, url AS base, {s_hrefs('html')} AS hs FROM pages)),
+lhref AS (SELECT page_id, base, link_pos, {s_unescape('href', attribute=True)} AS href FROM lraw),
+lres AS (SELECT page_id, link_pos, {s_resolve('base', 'href')} AS joined FROM lhref),
 lcand AS (SELECT page_id, link_pos, {s_canon(s_fix_dots('joined'))} AS link FROM lres)"""
 
 OUTLINKS = LINKS + f""",
@@ -333,7 +368,7 @@ SQL["clean_text"] = f"SELECT doc_id, {s_clean('text')} AS text_clean FROM docume
 SQL["payload"] = with_(PARSED) + "SELECT url_hash, CAST(json_object('inputs', substring(text, 1, 2200)) AS VARCHAR) AS body FROM parsed"
 CRAWL = f"""crawl AS (
   SELECT page_id, url, html,
-         coalesce(regexp_matches(html, {TITLE_RE}), false) AS ok,
+         {s_has_title('html')} AS ok,
          {s_title('html')} AS title,
          regexp_replace(url, '^http://', 'https://') AS real_url
   FROM pages)"""
