@@ -1,34 +1,32 @@
 """Link-graph expansion (G1-G5, T2, U3, A6 on the frontier).
 
 ``bfs_frontier`` is level-synchronous breadth-first search over an edge
-table: each level is one join of the current frontier with the edges,
-anti-joined with everything visited so far (and with a stored ``seen``
-set), then reduced to one row per URL hash. The seed's topic tag travels
-with every descendant; when several parents reach a URL in the same
-level, the least seed position wins, which is exactly first-in-first-out
-order of the reference's queue. The visit budget counts distinct visits
-and is cut inside a level by (seed_pos, url_hash).
-
-Fault tolerance and lineage: every batch writes its visited set as a
-table (``session.materialize``) under the session's reliable checkpoint
-folder (``spark.checkpoint.dir``, never a node-local folder), so no plan
-spans more than one batch and a lost executor recomputes at most one
-batch. The driver only receives row counts.
-
-Scale: the joins with the edge table leave the strategy to AQE, which
-broadcasts a small side after measuring it (edges are then scanned in
-place, so a hub's edges are not gathered in one task) or shuffles with
-skew splitting; the per-URL reductions are ``min_by`` aggregates with
-partial aggregation, so a URL linked from a third of all pages is reduced
-map-side. Only the budget cut (at most ``max_visits`` rows per partition)
-passes through a single ordered task.
+table. Only the newest level (the frontier) meets the edges; what it reaches
+is anti-joined with everything seen (visited, stored, redirect targets) and
+reduced to one row per URL hash. The seed's topic tag travels with every
+descendant; when several parents reach a URL in the same level, the least
+seed position wins, which is first-in-first-out order of a crawler's queue.
+The visit budget counts distinct visits and is cut inside a level by
+(seed_pos, url_hash).
+
+Several levels run in one job (``levels_per_job``), each from the level
+before it; at the end of the job every URL keeps its least (depth,
+seed_pos). The levels of a job are written as one table under the session's
+shared checkpoint folder, so a plan spans one job's levels, a lost executor
+recomputes at most those, and the visited set is the union of these tables,
+compacted as they grow in number. The driver receives row counts only.
+
+Scale: edges are written once, clustered by source hash; a level's join
+with them is left to AQE, which broadcasts a small frontier after measuring
+it (edges are then scanned in place, so a hub's edges are not gathered in
+one task) or shuffles with skew splitting. The per-URL reductions are
+``min_by`` aggregates over fixed-size values with partial aggregation.
+Only the budget cut (at most ``max_visits`` rows per partition) passes
+through a single ordered task.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,120 +34,71 @@ from ..functions import urls as U
 from ..session import ensure_checkpoint_dir, materialize
 
 
-def _first_arrival(df: DataFrame) -> DataFrame:
-    best = F.min_by(F.struct("url", "tag", "seed_pos"), F.col("seed_pos"))
-    return df.groupBy("url_hash").agg(best.alias("_v")).select("url_hash", "_v.url", "_v.tag", "_v.seed_pos")
-
-
-def _earliest(df: DataFrame) -> DataFrame:
-    best = F.min_by(F.struct("url", "tag", "seed_pos", "depth"), F.struct("depth", "seed_pos"))
-    return (df.groupBy("url_hash").agg(best.alias("_v"))
-            .select("url_hash", "_v.url", "_v.tag", "_v.seed_pos", "_v.depth"))
-
-
-def _relax_sql(state_view: str, edge_view: str, hops: int) -> str:
-    """``hops`` rounds of relaxation as one SQL text (one analysis pass):
-    every known node is re-expanded along its edges (weight 1) and its
-    self-loop (weight 0), and each node keeps its least (depth, seed_pos)."""
-    ctes = [f"r0 AS (SELECT * FROM {state_view})"]
-    for j in range(1, hops + 1):
-        ctes.append(f"""r{j} AS (
-  SELECT url_hash, v.url, v.tag, v.seed_pos, v.depth FROM (
-    SELECT e.url_hash,
-           min_by(named_struct('url', e.url, 'tag', p.tag, 'seed_pos', p.seed_pos, 'depth', p.depth + e.w),
-                  named_struct('d', p.depth + e.w, 's', p.seed_pos)) AS v
-    FROM r{j - 1} p JOIN {edge_view} e ON e.src_hash = p.url_hash
-    GROUP BY e.url_hash))""")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT url_hash, url, tag, seed_pos, depth FROM r{hops}"
+def _least(df: DataFrame) -> DataFrame:
+    """One row per URL hash: the least (depth, seed_pos), then tag and URL."""
+    best = F.min(F.struct("depth", "seed_pos", "tag", "url"))
+    return df.groupBy("url_hash").agg(best.alias("_v")).select("url_hash", "_v.url", "_v.tag", "_v.seed_pos", "_v.depth")
 
 
 def bfs_frontier(seeds: DataFrame, edges: DataFrame, seen: DataFrame | None = None,
                  max_visits: int | None = 500, max_depth: int | None = None,
-                 hops_per_job: int = 16, relax_below: int = 1_000_000,
+                 aliases: DataFrame | None = None, levels_per_job: int = 8,
                  compact_every: int = 8) -> DataFrame:
     """(url_hash, url, tag, seed_pos, depth) of every visit.
 
     seeds: (tag, url, seed_pos); edges: (src_url, dst_url), URLs already
     canonical; seen: optional (url_hash) stored from earlier runs (G5),
-    never visited and never expanded.
-
-    Two exact strategies, chosen per batch from the measured visited count:
-
-    * visited set below ``relax_below`` rows: ``hops_per_job`` rounds of
-      lexicographic (depth, seed_pos) relaxation over the visited set in
-      one job (Bellman-Ford with a zero-weight self-loop per node, so each
-      round references the previous one once and the plan stays linear);
-    * otherwise one level per job over the frontier only: frontier x edges,
-      anti-joined with the visited set, least seed per URL.
+    never visited and never expanded; aliases: optional (url, final_url),
+    canonical: the redirect target of a visited URL counts as seen from the
+    next level on (G3), while one that is reached in the same level, or
+    before, is visited as well.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     ek = edges.select(F.md5("src_url").alias("src_hash"), F.col("dst_url").alias("url"),
-                      F.md5("dst_url").alias("url_hash"))
+                      F.md5("dst_url").alias("url_hash")).distinct()
     s0 = seeds.select(F.md5("url").alias("url_hash"), "url", "tag",
-                      F.col("seed_pos").cast("int").alias("seed_pos"))
+                      F.col("seed_pos").cast("int").alias("seed_pos"), F.lit(0).alias("depth"))
     if seen is not None:
-        blocked = seen.select("url_hash")
-        ek = (ek.join(blocked, "url_hash", "left_anti")
-              .join(blocked.withColumnRenamed("url_hash", "src_hash"), "src_hash", "left_anti"))
-        s0 = s0.join(blocked, "url_hash", "left_anti")
-    ek = materialize(ek, "bfs-edges")
-    state = materialize(_first_arrival(s0).withColumn("depth", F.lit(0)), "bfs-visits")
-    n_state = state.count()
-    if n_state == 0:
-        return state.select("url_hash", "url", "tag", "seed_pos", F.col("depth").cast("int"))
-    loops_src = (ek.select(F.col("src_hash").alias("url_hash")).distinct()
-                 .join(edges.select(F.md5("src_url").alias("url_hash"), F.col("src_url").alias("url")),
-                       "url_hash").dropDuplicates(["url_hash"]))
-    nodes = (ek.select("url_hash", "url").unionByName(loops_src).unionByName(state.select("url_hash", "url"))
-             .dropDuplicates(["url_hash"]))
-    relax_edges = materialize(
-        ek.withColumn("w", F.lit(1)).unionByName(
-            nodes.select(F.col("url_hash").alias("src_hash"), "url", "url_hash", F.lit(0).alias("w"))),
-        "bfs-relax-edges")
-    tag = uuid.uuid4().hex[:12]
-    e_view, s_view = f"_bfs_edges_{tag}", f"_bfs_state_{tag}"
-    relax_edges.createOrReplaceTempView(e_view)
-    depth = 0
-    parts: list[DataFrame] = [state]      # level path: visited pieces
-    frontier = state
-    try:
-        while max_depth is None or depth < max_depth:
-            if max_visits is not None and n_state >= max_visits:
-                break
-            if n_state <= relax_below:
-                hops = hops_per_job if max_depth is None else min(hops_per_job, max_depth - depth)
-                visited = parts[0] if len(parts) == 1 else materialize(_union(parts), "bfs-visits")
-                visited.createOrReplaceTempView(s_view)
-                nxt = materialize(spark.sql(_relax_sql(s_view, e_view, hops)), "bfs-visits")
-                stats = nxt.agg(F.count("*").alias("n"), F.max("depth").alias("d")).first()
-                grew = stats["n"] > n_state
-                parts, n_state = [nxt], stats["n"]
-                frontier = nxt.where(F.col("depth") == stats["d"])
-                if not grew or stats["d"] < depth + hops:
-                    depth = stats["d"]
-                    break          # a level came out empty: the search is over
-                depth += hops
-            else:
-                visited = _union(parts).select("url_hash")
-                nxt = (frontier.select(F.col("url_hash").alias("src_hash"), "tag", "seed_pos")
-                       .join(ek, "src_hash").drop("src_hash")
-                       .join(visited, "url_hash", "left_anti"))
-                level = materialize(_first_arrival(nxt).withColumn("depth", F.lit(depth + 1)), "bfs-level")
-                n = level.count()
-                if n == 0:
-                    break
-                parts.append(level)
-                n_state += n
-                frontier = level
-                depth += 1
-                if len(parts) >= compact_every:
-                    parts = [materialize(_union(parts), "bfs-visits")]
-    finally:
-        spark.catalog.dropTempView(e_view)
-        spark.catalog.dropTempView(s_view)
-    out = _union(parts).select("url_hash", "url", "tag", "seed_pos", F.col("depth").cast("int"))
-    if max_visits is not None and n_state > max_visits:
+        ek = ek.join(seen.select("url_hash"), "url_hash", "left_anti")
+        s0 = s0.join(seen.select("url_hash"), "url_hash", "left_anti")
+    ek = materialize(ek.repartition("src_hash").sortWithinPartitions("src_hash"), "bfs-edges")
+    final = None
+    if aliases is not None:
+        final = materialize(aliases.where(F.col("url") != F.col("final_url"))
+                            .select(F.md5("url").alias("src_hash"), F.md5("final_url").alias("url_hash")).distinct(), "bfs-aliases")
+        # a redirect takes effect level by level
+        levels_per_job = 1
+    visited = [materialize(_least(s0), "bfs-visits")]
+    barred: list[DataFrame] = []   # redirect targets of what was visited
+    frontier, depth = visited[0], 0
+    n_visited = n = frontier.count()
+    while n and (max_depth is None or depth < max_depth) and (max_visits is None or n_visited < max_visits):
+        known = _union([v.select("url_hash") for v in visited] + barred)
+        if final is not None:
+            barred.append(materialize(final.join(frontier.select(F.col("url_hash").alias("src_hash")), "src_hash", "left_semi")
+                                      .select("url_hash"), "bfs-barred"))
+            known = known.unionByName(barred[-1])
+        steps = levels_per_job if max_depth is None else min(levels_per_job, max_depth - depth)
+        levels, last = [], frontier
+        for step in range(1, steps + 1):
+            reached = (last.select(F.col("url_hash").alias("src_hash"), "tag", "seed_pos").join(ek, "src_hash")
+                       .select("url_hash", "url", "tag", "seed_pos", F.lit(depth + step).alias("depth"))
+                       .join(known, "url_hash", "left_anti"))
+            last = _least(reached)
+            levels.append(last)
+        found = materialize(_least(_union(levels)) if steps > 1 else levels[0], "bfs-visits")
+        depth += steps
+        stats = found.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == depth)).first()
+        frontier, n = found.where(F.col("depth") == depth), stats[1]
+        n_visited += stats[0]
+        visited.append(found)
+        if len(visited) > compact_every:
+            visited = [materialize(_union(visited), "bfs-visits")]
+        if len(barred) > compact_every:
+            barred = [materialize(_union(barred).distinct(), "bfs-barred")]
+    out = _union(visited).select("url_hash", "url", "tag", "seed_pos", F.col("depth").cast("int"))
+    if max_visits is not None and n_visited > max_visits:
         # the budget cut inside the last level: (depth, seed_pos, url_hash)
         out = materialize(out.orderBy("depth", "seed_pos", "url_hash").limit(max_visits), "bfs-cut")
     return out
@@ -162,6 +111,13 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def redirects(crawl: DataFrame) -> DataFrame:
+    """(url, final_url) of the crawl records that were redirected, canonical."""
+    both = crawl.where(F.col("real_url").isNotNull()).select(
+        U.canonical_url("url").alias("url"), U.canonical_url("real_url").alias("final_url"))
+    return both.where(F.col("url") != F.col("final_url")).distinct()
+
+
 def seen_with_redirects(crawl: DataFrame) -> DataFrame:
     """Hashes of the requested URLs and of the final URLs they were
     redirected to (both canonical)."""

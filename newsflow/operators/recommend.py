@@ -23,14 +23,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .search import tag_match_top
 
 
-def interest(counts: DataFrame, catalog: DataFrame, totals: DataFrame,
+def interest(counts: DataFrame, catalog: DataFrame | None, totals: DataFrame,
              prior: float = 0.2) -> DataFrame:
     """interest = (ct/total) * (total/totalsum) / prior per (user, tag);
-    NULL when total or totalsum is 0 (the reference divides by zero)."""
-    c = counts.join(catalog, "tag", "left_semi")
+    NULL when total or totalsum is 0 (the reference divides by zero). A
+    stored tag catalogue restricts the counts (J6); counts made from the
+    same events as the catalogue need none."""
+    c = counts if catalog is None else counts.join(catalog, "tag", "left_semi")
     c = c.withColumn("total", F.sum("ct").over(Window.partitionBy("user_id")))
     c = c.crossJoin(F.broadcast(totals.select("totalsum")))
     ct, tot, tsum = (F.col(x).cast("double") for x in ("ct", "total", "totalsum"))
@@ -68,8 +71,10 @@ def recommend(tops: DataFrame, articles: DataFrame, all_users: DataFrame,
     """For each user the hits of each top tag in tag order
     (tag_rank, pos), duplicates kept; users without top tags get the
     latest ``fallback`` articles with tag_rank 0."""
+    # both are read twice; as tables, the join on a popular tag can be split
+    tops = materialize(tops, "top-tags")
     wanted = tops.select("tag").distinct()
-    hits = tag_match_top(articles, wanted, k=per_tag)
+    hits = materialize(tag_match_top(articles, wanted, k=per_tag), "tag-hits")
     rec = tops.join(hits, "tag").select(
         "user_id", "tag_rank", "pos", "tag", F.col("url_hash").alias("key"), "title",
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
 
 
 def _field_tokens(articles: DataFrame) -> DataFrame:
@@ -34,9 +35,10 @@ def bm25_scores(articles: DataFrame, query_tags: DataFrame, k1: float = 1.2, b:
     qtok = (query_tags.select("tag", F.explode(F.array_distinct(tokens("tag"))).alias("token"))
             .distinct())
     wanted = qtok.select("token").distinct()
-    postings = (docs.select("url_hash", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-                .join(wanted, "token", "left_semi")
-                .groupBy("url_hash", "token", "dl").agg(F.count("*").alias("f")))
+    # written once for two uses; as a table, its join on a frequent token can be split
+    postings = materialize(docs.select("url_hash", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+                           .join(wanted, "token", "left_semi")
+                           .groupBy("url_hash", "token", "dl").agg(F.count("*").alias("f")), "postings")
     df_tok = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -50,9 +52,10 @@ def tag_match_top(articles: DataFrame, query_tags: DataFrame, k: int = 30, **kw)
     """Best ``k`` articles per tag by score desc, indexed_at desc,
     url_hash asc; ``pos`` is the 1-based rank."""
     scored = bm25_scores(articles, query_tags, **kw)
-    meta = articles.select("url_hash", "title", "tags", "indexed_at")
-    ranked = scored.join(meta, "url_hash")
+    ranked = scored.join(articles.select("url_hash", "indexed_at"), "url_hash")
     w = Window.partitionBy("tag").orderBy(F.desc("score"), F.desc_nulls_last("indexed_at"),
                                           F.asc("url_hash"))
-    return (ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    best = (ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
             .withColumn("pos", F.col("pos").cast("int")))
+    # titles and tags meet only the k rows per tag
+    return best.join(articles.select("url_hash", "title", "tags"), "url_hash")

@@ -9,39 +9,42 @@ aggregates over exploded tokens.
 * ``nb_train`` / ``nb_classify`` (M1): multinomial naive Bayes with
   Laplace smoothing.
 * ``keywords_mmr`` (M4): greedy maximal-marginal-relevance re-ranking of
-  each document's candidates (``applyInPandas``, one small group per
-  document of at most ``candidates`` rows).
-
-Scale notes: per-document work (sentences of one document) is kept inside
-one partition after a single repartition by document id, so the sentence
-scoring below needs no further shuffle; corpus statistics (document
-frequency, class counts) are partial aggregates whose joins back to the
-token rows are left to AQE (broadcast when the statistic is small,
-skew-split shuffle otherwise). Every ``ln`` result is rounded before
-ranking so ties break the same way everywhere.
+  each document's candidates, a fold over an array of at most
+  ``candidates`` elements.
+
+Scale notes: documents are dealt by id once and their tokens counted there
+(a count per document and token needs no shuffle of token rows). The counts
+are written as a table where two uses follow (document frequencies and the
+join back), so texts are tokenised once and both sides of the joins on a
+token are plain shuffles of tables, which adaptive execution can split when
+a token is in most documents. Every ``ln`` result is rounded before ranking
+so ties break the same way everywhere.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, ngrams_1_2, sentences, tokens
-from ..plans.shapes import bounded_broadcast
+from ..session import materialize
+
+
+def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: str) -> DataFrame:
+    """(id, term, count) of an array expression over each document."""
+    own = docs.repartition(id_col).select(id_col, terms.alias("_terms"))
+    return own.select(id_col, F.explode("_terms").alias(out)).groupBy(id_col, out).agg(F.count("*").alias(count))
 
 
 def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    top_n: int = 10, stop_words=None, digits: int = 9) -> DataFrame:
     """M3: (id, rank, gram, tf, df, score); score = tf * ln((N+1)/(df+1))."""
-    toks = docs.select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
-    grams = toks.select(id_col, F.explode(ngrams_1_2("_toks")).alias("gram"))
-    tf = grams.groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
-    # count(tf) == count(*) (tf is never NULL) but keeps this branch's input
-    # identical to the tf side, so its shuffle can be reused
-    df_ = tf.groupBy("gram").agg(F.count("tf").alias("df"))
+    own = docs.select(id_col, text_col).repartition(id_col).select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
+    grams = own.select(id_col, F.explode(ngrams_1_2("_toks")).alias("gram"))
+    tf = materialize(grams.groupBy(id_col, "gram").agg(F.count("*").alias("tf")), "tf")
+    df_ = materialize(tf.groupBy("gram").agg(F.count("*").alias("df")), "df")
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
     scored = (tf.join(df_, "gram").crossJoin(F.broadcast(n))
               .withColumn("score", F.round(F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1)), digits)))
@@ -53,88 +56,78 @@ def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
               digits: int = 9) -> DataFrame:
     """M2: (id, pos, sentence, score) for the ``k`` best sentences of each
-    document, pos = 1-based sentence position, in document order."""
+    document, pos = 1-based sentence position, in document order. Scoring,
+    ranking and the way back to the sentences stay in the partition the
+    document was dealt to: texts are shuffled once."""
     by_doc = docs.select(id_col, text_col).repartition(id_col)
     sent = by_doc.select(id_col, F.posexplode(sentences(text_col)).alias("pos", "sentence"))
-    sent = sent.withColumn("pos", (F.col("pos") + 1).cast("int"))
-    toks = sent.select(id_col, "pos", F.explode(tokens("sentence")).alias("token"))
-    # the windows below are partitioned by (a superset of) the document id,
-    # which the repartition above already satisfies: no further shuffle
+    toks = sent.select(id_col, (F.col("pos") + 1).cast("int").alias("pos"), F.explode(tokens("sentence")).alias("token"))
     toks = (toks.withColumn("c", F.count("*").over(Window.partitionBy(id_col, "token")))
             .withColumn("n", F.count("*").over(Window.partitionBy(id_col))))
     scores = (toks.groupBy(id_col, "pos")
               .agg(F.round(F.avg(F.col("c") / F.col("n")), digits).alias("score")))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("pos"))
-    best = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-    return best.join(sent, [id_col, "pos"]).select(id_col, "pos", "sentence", "score")
+    best = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    best = best.groupBy(id_col).agg(F.collect_list(F.struct("pos", "score")).alias("_best"))  # at most k
+    found = by_doc.join(best, id_col).select(id_col, sentences(text_col).alias("_s"), F.explode("_best").alias("b"))
+    return found.select(id_col, F.col("b.pos").alias("pos"), F.element_at("_s", F.col("b.pos")).alias("sentence"),
+                        F.col("b.score").alias("score"))
 
 
 def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
              alpha: float = 1.0) -> dict[str, DataFrame]:
-    """M1 training. Returns
-    classes(class, log_prior, log_norm), pairs(token, class, w), vocab(token):
+    """M1 training. Returns the tables
+    classes(classes: array of (class, log_prior, log_norm)), one row, and
+    weights(token, weights: class -> w), one row per training token:
     log_norm = ln(class_tokens + alpha*V), w = ln(count + alpha) - ln(alpha)
     for the (token, class) pairs seen in training, so the model stores only
     observed pairs (an unseen pair contributes ln(alpha) per occurrence)."""
     docs = labelled.select(F.col(class_col).alias("class"), text_col)
+    counts = materialize(docs.select("class", F.explode(tokens(text_col)).alias("token"))
+                         .groupBy("token", "class").agg(F.count("*").alias("cnt")), "nb-counts")
+    w = F.log(F.col("cnt") + alpha) - math.log(alpha)
+    weights = materialize(counts.groupBy("token").agg(
+        F.map_from_entries(F.collect_list(F.struct("class", w.alias("w")))).alias("weights")), "nb-weights")
+    v = weights.agg(F.count("*").cast("double").alias("v"))
     n_docs = docs.agg(F.count("*").alias("n_all"))
-    counts = (docs.select("class", F.explode(tokens(text_col)).alias("token"))
-              .groupBy("token", "class").agg(F.count("*").alias("cnt")))
-    vocab = counts.select("token").distinct()
-    v = vocab.agg(F.count("*").cast("double").alias("v"))
     class_tokens = counts.groupBy("class").agg(F.sum("cnt").alias("class_tokens"))
     classes = (docs.groupBy("class").agg(F.count("*").alias("n_c"))
                .join(class_tokens, "class", "left")
                .crossJoin(F.broadcast(n_docs)).crossJoin(F.broadcast(v))
                .select("class", F.log(F.col("n_c") / F.col("n_all")).alias("log_prior"),
                        F.log(F.coalesce("class_tokens", F.lit(0)) + alpha * F.col("v")).alias("log_norm")))
-    pairs = counts.select("token", "class", (F.log(F.col("cnt") + alpha) - math.log(alpha)).alias("w"))
-    return {"classes": classes, "pairs": pairs, "vocab": vocab, "alpha": alpha}
+    classes = materialize(classes.agg(F.collect_list(F.struct("class", "log_prior", "log_norm")).alias("classes")), "nb-classes")
+    return {"classes": classes, "weights": weights, "alpha": alpha}
 
 
 def nb_classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
                 digits: int = 6) -> DataFrame:
     """M1 scoring: (id, pred, score), score = log_prior + sum over known
     tokens of f * ln((count + alpha) / norm), rounded; ties go to the
-    smaller class. Tokens outside the training vocabulary are ignored."""
-    alpha = model["alpha"]
-    tf = (docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
-          .groupBy(id_col, "token").agg(F.count("*").alias("f")))
-    known = (tf.join(model["vocab"], "token", "left_semi")
-             .groupBy(id_col).agg(F.sum("f").alias("n_known")))
-    partial = (tf.join(model["pairs"], "token")
-               .groupBy(id_col, "class").agg(F.sum(F.col("f") * F.col("w")).alias("seen")))
-    every = (docs.select(id_col).join(known, id_col, "left")
-             .crossJoin(bounded_broadcast(model["classes"])))
-    n_known = F.coalesce("n_known", F.lit(0)).cast("double")
-    score = (F.col("log_prior") + n_known * (F.lit(math.log(alpha)) - F.col("log_norm"))
-             + F.coalesce("seen", F.lit(0.0)))
-    scored = (every.join(partial, [id_col, "class"], "left")
-              .select(id_col, "class", F.round(score, digits).alias("score")))
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("class"))
-    return (scored.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select(id_col, F.col("class").alias("pred"), "score"))
-
-
-def _mmr_group(top_n: int, diversity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "gram"], ascending=[False, True]).reset_index(drop=True)
-        best = pdf["score"].max()
-        rel = (pdf["score"] / best).tolist() if best and best > 0 else [0.0] * len(pdf)
-        sets = [set(g.split(" ")) for g in pdf["gram"]]
-        chosen: list[int] = []
-        left = list(range(len(pdf)))
-        while left and len(chosen) < top_n:
-            def mmr(i):
-                sim = max((len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in chosen), default=0.0)
-                return (1 - diversity) * rel[i] - diversity * sim
-            pick = max(left, key=lambda i: (round(mmr(i), 12), -i))
-            chosen.append(pick)
-            left.remove(pick)
-        out = pdf.iloc[chosen].copy()
-        out["rank"] = range(1, len(chosen) + 1)
-        return out[[pdf.columns[0], "rank", "gram", "score"]]
-    return run
+    smaller class. Tokens outside the training vocabulary are ignored. One
+    join with the model gives both the known tokens and the class sums; the
+    classes meet the documents as one array, not as rows."""
+    log_alpha = math.log(model["alpha"])
+    tf = materialize(term_counts(docs.select(id_col, text_col), id_col, tokens(text_col), "token", "f"), "nb-tf")
+    hit = tf.join(model["weights"], "token")
+    # one entry per class, and one without a class that counts the known tokens
+    entries = F.concat(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("class"), e["value"].alias("w"))),
+                       F.array(F.struct(F.lit(None).alias("class"), F.lit(1.0).alias("w"))))
+    sums = (hit.select(id_col, "f", F.explode(entries).alias("e")).groupBy(id_col, F.col("e.class").alias("class"))
+            .agg(F.sum(F.col("f") * F.col("e.w")).alias("s")))
+    per_doc = sums.groupBy(id_col).agg(
+        F.map_from_entries(F.filter(F.collect_list(F.struct("class", "s")), lambda e: e["class"].isNotNull())).alias("_seen"),
+        F.max(F.when(F.col("class").isNull(), F.col("s"))).alias("_known"))
+    every = docs.select(id_col).join(per_doc, id_col, "left").crossJoin(F.broadcast(model["classes"]))  # one row
+
+    def score(c: Column) -> Column:
+        seen = F.coalesce(F.try_element_at("_seen", c["class"]), F.lit(0.0))
+        known = F.coalesce("_known", F.lit(0.0))
+        return F.struct((-F.round(c["log_prior"] + known * (F.lit(log_alpha) - c["log_norm"]) + seen, digits)).alias("minus"),
+                        c["class"].alias("class"))
+
+    best = F.array_min(F.transform("classes", score))
+    return every.select(id_col, best.alias("_b")).select(id_col, F.col("_b.class").alias("pred"), (-F.col("_b.minus")).alias("score"))
 
 
 def keywords_mmr(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -143,8 +136,23 @@ def keywords_mmr(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """M4: pick ``top_n`` of the ``candidates`` best TF-IDF grams per
     document by greedy MMR: (1-diversity)*relevance - diversity*max
     similarity to the grams already chosen; relevance = score / best
-    score of the document, similarity = token Jaccard."""
+    score of the document, similarity = token Jaccard; ties go to the
+    better TF-IDF rank. (id, rank, gram, score)."""
     cand = keywords_tfidf(docs, id_col, text_col, top_n=candidates, stop_words=stop_words)
-    cand = cand.select(id_col, "gram", "score")
-    schema = f"{id_col} {dict(cand.dtypes)[id_col]}, rank int, gram string, score double"
-    return cand.groupBy(id_col).applyInPandas(_mmr_group(top_n, diversity), schema=schema)
+    cand = cand.groupBy(id_col).agg(F.max("score").alias("_top"), F.array_sort(F.collect_list(F.struct(
+        "rank", "gram", "score", F.array_distinct(F.split("gram", " ")).alias("toks")))).alias("_c"))
+
+    def value(c: Column, chosen: Column) -> Column:
+        relevance = F.when(F.col("_top") > 0, c["score"] / F.col("_top")).otherwise(0.0)
+        alike = F.transform(chosen, lambda h: F.size(F.array_intersect(h["toks"], c["toks"])) / F.size(F.array_union(h["toks"], c["toks"])))
+        return F.round((1 - diversity) * relevance - diversity * F.coalesce(F.array_max(alike), F.lit(0.0)), 12)
+
+    def pick(chosen: Column, _: Column) -> Column:
+        left = F.filter("_c", lambda c: ~F.exists(chosen, lambda h: h["rank"] == c["rank"]))
+        valued = F.transform(left, lambda c: F.struct(value(c, chosen).alias("v"), (-c["rank"]).alias("r"), c.alias("c")))
+        return F.when(F.size(chosen) < F.size("_c"), F.concat(chosen, F.array(F.array_max(valued)["c"]))).otherwise(chosen)
+
+    empty = F.slice("_c", 1, 0)
+    picked = F.aggregate(F.sequence(F.lit(1), F.lit(top_n)), empty, pick)
+    out = cand.select(id_col, F.posexplode(picked).alias("_p", "c"))
+    return out.select(id_col, (F.col("_p") + 1).cast("int").alias("rank"), F.col("c.gram").alias("gram"), F.col("c.score").alias("score"))

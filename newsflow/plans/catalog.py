@@ -87,8 +87,7 @@ def counter_apply(spark, sf):
 # ---------------------------------------------------------------- E3 recommend
 def _interest(spark, sf):
     ev, art = _events(spark, sf), B.articles(spark, sf)
-    return Rec.interest(Hst.user_tag_counts(ev, art), Hst.tag_catalog(ev, art),
-                        Hst.global_total(ev, art))
+    return Rec.interest(Hst.user_tag_counts(ev, art), None, Hst.global_total(ev, art))
 
 
 @register
@@ -133,7 +132,7 @@ def trending(spark, sf):
 def summary_view(spark, sf):
     raw = _raw_events(spark, sf)
     requests = raw.select("user_id", F.col("url_hash").alias("key")).distinct()
-    return flat(Rec.summary_view(requests, B.articles(spark, sf), Hst.liked_state(Hst.dispatch(raw))))
+    return flat(Rec.summary_view(requests, B.articles(spark, sf, summaries=True), Hst.liked_state(Hst.dispatch(raw))))
 
 
 @register
@@ -146,7 +145,6 @@ from ..operators import filters as Flt  # noqa: E402
 from ..operators import pages as Pg  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
-LINK_PATHS = ["/d", "/t", "/%c3"]
 PAGE_PATHS = ["/en/", "/de/"]
 PAGE_EXTENSIONS = [".html"]
 
@@ -196,12 +194,12 @@ def allowlist_save(spark, sf):
 
 @register
 def outlinks(spark, sf):
-    return Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, LINK_PATHS)
+    return Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, B.LINK_PATHS)
 
 
 @register
 def outlink_counts(spark, sf):
-    return Pg.outlink_counts(Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, LINK_PATHS))
+    return Pg.outlink_counts(Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, B.LINK_PATHS))
 
 
 @register
@@ -282,7 +280,7 @@ def metadata_merge(spark, sf):
 def upsert_replace(spark, sf):
     """Re-processed pages (the labelled documents) rewrite their whole row,
     wiping tags and summary until the results are back (V3)."""
-    base = B.articles(spark, sf)
+    base = B.articles(spark, sf, summaries=True)
     labelled = read_table(spark, sf, "labels").select(
         F.md5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("url_hash"))
     updates = B.article_stubs(spark, sf).join(labelled, "url_hash", "left_semi")
@@ -296,7 +294,7 @@ def upsert_merge(spark, sf):
     tasks = _tasks(spark, sf)
     res = Art.extract_tags(B.classification_results(spark, sf, tasks))
     patch = res.join(tasks, "output_location").select("url_hash", "tags")
-    out = Art.upsert_merge(B.articles(spark, sf), patch)
+    out = Art.upsert_merge(B.articles(spark, sf, summaries=True), patch)
     return flat(out.select("url_hash", "title", "tags", "summary"))
 
 
@@ -320,6 +318,15 @@ def frontier_tags(spark, sf):
     return _frontier(spark, sf).select("url", "tag")
 
 
+@register
+def frontier_redirects(spark, sf):
+    """Three levels of the walk, without a budget, in which the redirect
+    target of a visited page counts as seen."""
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    return Fr.bfs_frontier(B.seeds(spark, sf), B.edges(spark, sf), max_visits=None, max_depth=3,
+                           aliases=Fr.redirects(good))
+
+
 @register
 def redirect_alias(spark, sf):
     good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
@@ -350,10 +357,10 @@ def summarize(spark, sf):
 
 @register
 def classify_nb(spark, sf):
-    """Naive Bayes trained on the labelled documents (class = quality),
-    applied to every document."""
+    """Naive Bayes (class = quality) applied to every document, trained on
+    the labelled ones except every fifth, which is held out."""
     docs = read_table(spark, sf, "documents")
-    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id")
+    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id").where(F.col("doc_id") % 5 != 0)
     model = Tx.nb_train(labelled, "quality")
     return Tx.nb_classify(docs, model)
 

@@ -19,14 +19,34 @@ def with_(*ctes: str) -> str:
 
 
 # ----------------------------------------------------------------- bindings
-ARTICLES = """articles_b AS (
+TOKEN = r"'[\p{L}\p{N}_]+'"
+SENTS = r"list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"
+SUMMARY = f"""sents AS (SELECT doc_id, unnest({SENTS}) AS sentence, CAST(generate_subscripts({SENTS}, 1) AS INTEGER) AS pos
+          FROM documents),
+stoks AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {TOKEN})) AS token FROM sents),
+sc AS (SELECT doc_id, token, count(*) AS c FROM stoks GROUP BY doc_id, token),
+sn AS (SELECT doc_id, count(*) AS n FROM stoks GROUP BY doc_id),
+ssc AS (SELECT t.doc_id, t.pos, round(avg(CAST(sc.c AS DOUBLE) / CAST(sn.n AS DOUBLE)), 9) AS score
+       FROM stoks t JOIN sc ON sc.doc_id = t.doc_id AND sc.token = t.token JOIN sn ON sn.doc_id = t.doc_id
+       GROUP BY t.doc_id, t.pos),
+sbest AS (SELECT * FROM ssc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos ASC) <= 3),
+ssum AS (SELECT b.doc_id, string_agg(s.sentence, ' ' ORDER BY b.pos) AS summary
+         FROM sbest b JOIN sents s ON s.doc_id = b.doc_id AND s.pos = b.pos GROUP BY b.doc_id)"""
+
+
+def articles_cte(summary: str = "NULL", source: str = "documents") -> str:
+    return f"""articles_b AS (
   SELECT md5('doc:' || CAST(doc_id AS VARCHAR)) AS url_hash,
          'https://' || source || '.example.com/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url,
-         substring(text, 1, 60) AS title, source,
+         ({SENTS})[1] AS title, source,
          [lang, source] AS tags,
-         substring(text, 1, 200) AS summary,
+         CAST({summary} AS VARCHAR) AS summary,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 37) % 1009 AS BIGINT)) AS indexed_at
-  FROM documents)"""
+  FROM {source})"""
+
+
+ARTICLES = articles_cte()
+ARTICLES_SUM = SUMMARY + ",\n" + articles_cte("summary", "documents LEFT JOIN ssum USING (doc_id)")
 
 RAW_EVENTS = """hev AS (
   SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id,
@@ -81,9 +101,6 @@ TOPTAGS = """tt AS (
   FROM intr WHERE interest IS NOT NULL
   QUALIFY tag_rank <= 3)"""
 
-TOKEN = r"'[\p{L}\p{N}_]+'"
-
-
 def bm25_ctes(query_tags_sql: str, k: int = 30) -> str:
     """qtok/fd/st/post/dft/sc/hits CTEs over articles_b for the query tags."""
     return f"""fd AS (
@@ -156,7 +173,7 @@ SELECT * FROM rec r WHERE NOT EXISTS (
     AND d.user_id = r.user_id AND d.url_hash = r.key)"""
 SQL["trending"] = with_(ARTICLES, LATEST) + """
 SELECT pos, key, title, array_to_string(tags, ',') AS tags FROM lat"""
-SQL["summary_view"] = with_(ARTICLES, EVENTS, LIKED) + """
+SQL["summary_view"] = with_(ARTICLES_SUM, EVENTS, LIKED) + """
 SELECT r.user_id, a.title, a.url_hash AS key, a.summary AS text, a.url AS source,
        array_to_string(coalesce(a.tags, []), ',') AS tags, coalesce(l.liked, false) AS liked
 FROM (SELECT DISTINCT user_id, url_hash FROM hev) r
@@ -399,10 +416,11 @@ CRES = f"""cres AS (
          ['quality:' || CAST(quality AS VARCHAR), 'toxic:' || CAST(toxic AS VARCHAR)] AS tags,
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST((doc_id * 7) % 1000 AS BIGINT)) AS arrived_at
   FROM labels l JOIN tasks t ON t.url_hash = {DOCH} AND t.task = 'classification')"""
-SRES = f"""sres AS (
-  SELECT t.output_location, {DOCH} AS url_hash, substring(text, 1, 200) AS summary,
+SRES = SUMMARY + f""",
+sres AS (
+  SELECT t.output_location, {DOCH} AS url_hash, summary,
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST((doc_id * 11) % 1000 AS BIGINT)) AS arrived_at
-  FROM documents d JOIN tasks t ON t.url_hash = {DOCH} AND t.task = 'summary')"""
+  FROM ssum d JOIN tasks t ON t.url_hash = {DOCH} AND t.task = 'summary')"""
 
 SQL["inference_tasks"] = with_(TASKS) + "SELECT * FROM tasks"
 SQL["extract_tags"] = with_(TASKS, CRES) + "SELECT output_location, array_to_string(tags, ',') AS tags FROM cres"
@@ -413,22 +431,23 @@ SQL["metadata_merge"] = with_(ARTICLES, TASKS, CRES, SRES) + """
 SELECT a.url_hash, a.title, array_to_string(c.tags, ',') AS tags, s.summary,
        greatest(c.arrived_at, s.arrived_at) AS indexed_at
 FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash LEFT JOIN sres s ON s.url_hash = a.url_hash"""
-SQL["upsert_replace"] = with_(ARTICLES) + f"""
+SQL["upsert_replace"] = with_(ARTICLES_SUM) + f"""
 SELECT a.url_hash, a.title,
        CASE WHEN a.url_hash IN (SELECT {DOCH} FROM labels) THEN NULL ELSE array_to_string(a.tags, ',') END AS tags,
        CASE WHEN a.url_hash IN (SELECT {DOCH} FROM labels) THEN NULL ELSE a.summary END AS summary
 FROM articles_b a"""
-SQL["upsert_merge"] = with_(ARTICLES, TASKS, CRES) + """
+SQL["upsert_merge"] = with_(ARTICLES_SUM, TASKS, CRES) + """
 SELECT a.url_hash, a.title, array_to_string(coalesce(c.tags, a.tags), ',') AS tags, a.summary
 FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash"""
 
 
 # ---------------------------------------------------------------- graph
-GRAPH = PAGES + f""",
+GRAPH = PAGES + ",\n" + OUTLINKS + f""",
 npg AS (SELECT count(*) AS n FROM pg),
 eid AS (SELECT s.canonical_url AS src, unnest([(s.page_id * 3 + 1) % npg.n, (s.page_id * 5 + 2) % npg.n]) AS dst_id
         FROM pg s CROSS JOIN npg),
-edges_b AS (SELECT e.src, d.canonical_url AS dst FROM eid e JOIN pg d ON d.page_id = e.dst_id),
+edges_b AS (SELECT e.src, d.canonical_url AS dst FROM eid e JOIN pg d ON d.page_id = e.dst_id
+            UNION ALL SELECT p.canonical_url, o.link FROM olinks o JOIN pg p ON p.page_id = o.page_id),
 seeds_b AS (SELECT regexp_extract(canonical_url, '^[a-z][a-z0-9+.\\-]*://[^/]*/([^/]*)', 1) AS tag,
                    canonical_url AS url, CAST(page_id AS INTEGER) AS seed_pos
             FROM pg WHERE page_id IN (0, 1, 2))"""
@@ -449,6 +468,26 @@ visits AS (
 
 SQL["frontier"] = "WITH RECURSIVE " + GRAPH + ",\n" + BFS + "\nSELECT * FROM visits"
 SQL["frontier_tags"] = "WITH RECURSIVE " + GRAPH + ",\n" + BFS + "\nSELECT url, tag FROM visits"
+
+
+def _levels_sql(depth: int) -> str:
+    """The first levels, one CTE each; a level's redirect targets are barred from the next."""
+    out = ["""bar AS (SELECT src, dst FROM al2 WHERE src <> dst),
+lv0 AS (SELECT url, seed_pos FROM (SELECT url, min(seed_pos) AS seed_pos FROM seeds_b GROUP BY url)),
+seen0 AS (SELECT url FROM lv0 UNION SELECT dst FROM bar WHERE src IN (SELECT url FROM lv0))"""]
+    for j in range(1, depth + 1):
+        out.append(f"""lv{j} AS (SELECT e.dst AS url, min(l.seed_pos) AS seed_pos FROM lv{j - 1} l JOIN edges_b e ON e.src = l.url
+  WHERE e.dst NOT IN (SELECT url FROM seen{j - 1}) GROUP BY e.dst),
+seen{j} AS (SELECT url FROM seen{j - 1} UNION SELECT url FROM lv{j} UNION SELECT dst FROM bar WHERE src IN (SELECT url FROM lv{j}))""")
+    rows = " UNION ALL ".join(f"SELECT url, seed_pos, {j} AS depth FROM lv{j}" for j in range(depth + 1))
+    return ",\n".join(out) + f""",
+walked AS ({rows})
+SELECT md5(w.url) AS url_hash, w.url, s.tag, w.seed_pos, CAST(w.depth AS INTEGER) AS depth
+FROM walked w JOIN (SELECT DISTINCT seed_pos, tag FROM seeds_b) s ON s.seed_pos = w.seed_pos"""
+
+
+SQL["frontier_redirects"] = with_(GRAPH, CRAWL, f"""al2 AS (
+  SELECT DISTINCT {s_canon('url')} AS src, {s_canon('real_url')} AS dst FROM crawl WHERE ok AND real_url IS NOT NULL)""")[:-1] + ",\n" + _levels_sql(3)
 SQL["redirect_alias"] = with_(CRAWL, f"""al AS (
   SELECT {s_canon('url')} AS url FROM crawl WHERE ok
   UNION SELECT {s_canon('real_url')} FROM crawl WHERE ok AND real_url IS NOT NULL)""") + \
@@ -482,21 +521,33 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
        gram, tf, df, score
 FROM sc QUALIFY rank <= 10"""
 
-SENTS = r"list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"
-SQL["summarize"] = f"""WITH
-sents AS (SELECT doc_id, unnest({SENTS}) AS sentence, CAST(generate_subscripts({SENTS}, 1) AS INTEGER) AS pos
-          FROM documents),
-toks AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {TOKEN})) AS token FROM sents),
-c AS (SELECT doc_id, token, count(*) AS c FROM toks GROUP BY doc_id, token),
-n AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id),
-sc AS (SELECT t.doc_id, t.pos, round(avg(CAST(c.c AS DOUBLE) / CAST(n.n AS DOUBLE)), 9) AS score
-       FROM toks t JOIN c ON c.doc_id = t.doc_id AND c.token = t.token JOIN n ON n.doc_id = t.doc_id
-       GROUP BY t.doc_id, t.pos),
-best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos ASC) <= 3)
-SELECT b.doc_id, b.pos, s.sentence, b.score FROM best b JOIN sents s ON s.doc_id = b.doc_id AND s.pos = b.pos"""
+
+
+def _mmr_sql(candidates: int = 20, top_n: int = 10, diversity: float = 0.7) -> str:
+    """The greedy rounds, one CTE each, over the TF-IDF candidates."""
+    base = SQL["keywords_tfidf"].replace("rank <= 10", f"rank <= {candidates}")
+    alike = ("CAST(len(list_intersect(list_distinct(string_split(h, ' ')), list_distinct(string_split(c.gram, ' ')))) AS DOUBLE) / "
+             "len(list_distinct(list_concat(string_split(h, ' '), string_split(c.gram, ' '))))")
+    value = (f"round(CAST({1 - diversity!r} AS DOUBLE) * (CASE WHEN t.top > 0 THEN c.score / t.top ELSE 0.0 END) - CAST({diversity!r} AS DOUBLE) * "
+             f"coalesce(list_max(list_transform(p.chosen, lambda h: {alike})), 0.0), 12)")
+    out = [f"cand AS ({base})", "top AS (SELECT doc_id, max(score) AS top FROM cand GROUP BY doc_id)",
+           "p0 AS (SELECT DISTINCT doc_id, []::VARCHAR[] AS chosen FROM cand)"]
+    for j in range(1, top_n + 1):
+        out.append(f"""p{j} AS (SELECT c.doc_id, list_append(p.chosen, c.gram) AS chosen
+  FROM cand c JOIN p{j - 1} p ON p.doc_id = c.doc_id JOIN top t ON t.doc_id = c.doc_id
+  WHERE NOT list_contains(p.chosen, c.gram)
+  QUALIFY row_number() OVER (PARTITION BY c.doc_id ORDER BY {value} DESC, c.rank ASC) = 1)""")
+    rows = " UNION ALL ".join(f"SELECT doc_id, CAST({j} AS INTEGER) AS rank, chosen[{j}] AS gram FROM p{j}" for j in range(1, top_n + 1))
+    return with_(*out) + f"SELECT r.doc_id, r.rank, r.gram, c.score FROM ({rows}) r JOIN cand c ON c.doc_id = r.doc_id AND c.gram = r.gram"
+
+
+SQL["keywords_mmr"] = _mmr_sql()
+SQL["summarize"] = with_(SUMMARY) + """
+SELECT b.doc_id, b.pos, s.sentence, b.score FROM sbest b JOIN sents s ON s.doc_id = b.doc_id AND s.pos = b.pos"""
 
 SQL["classify_nb"] = f"""WITH
-lab AS (SELECT d.doc_id, l.quality AS class, d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+lab AS (SELECT d.doc_id, l.quality AS class, d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+        WHERE d.doc_id % 5 <> 0),
 cnt AS (SELECT token, class, count(*) AS cnt FROM (
           SELECT class, unnest(regexp_extract_all(lower(text), {TOKEN})) AS token FROM lab) GROUP BY token, class),
 voc AS (SELECT DISTINCT token FROM cnt),

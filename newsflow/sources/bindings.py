@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.text import sentences
+from ..operators import text as Tx
+from ..operators.pages import outlinks
 from .tables import read_table
 
 # Fixed values of the bindings.
-EVENT_MAP = {"purchase": "like", "error": "dislike", "view": "read", "click": "readmore"}
 TEST_DOMAINS = ["example.org", "ththan.example.net", "ample.com"]
+LINK_PATHS = ["/d", "/t", "/%c3"]
 INDEX_EPOCH = "2024-01-01 00:00:00"
 RESULT_EPOCH = "2024-02-01 00:00:00"
 
@@ -29,20 +32,28 @@ def _minutes_after(epoch: str, minutes) -> F.Column:
     return F.timestamp_add("MINUTE", minutes, F.to_timestamp_ntz(F.lit(epoch)))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _summaries(docs: DataFrame) -> DataFrame:
+    """(doc_id, summary): the summary job's sentences in order."""
+    best = Tx.summarize(docs, k=3).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"))
+    return best.select("doc_id", F.array_join(F.transform("_s", lambda x: x["sentence"]), " ").alias("summary"))
+
+
+def articles(spark: SparkSession, sf_dir: str, summaries: bool = False) -> DataFrame:
     """articles(url_hash, url, title, source, published_date, keywords, tags,
-    summary, indexed_at) from ``documents``; tags = [lang, source]."""
+    summary, indexed_at) from ``documents``; title = first sentence, tags =
+    [lang, source], summary = the extractive summary where asked for."""
     d = read_table(spark, sf_dir, "documents")
+    d = d.join(_summaries(d), "doc_id", "left") if summaries else d.withColumn("summary", F.lit(None).cast("string"))
     return d.select(
         _doc_hash("doc_id").alias("url_hash"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"),
                  F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        F.try_element_at(sentences("text"), F.lit(1)).alias("title"),
         F.col("source"),
         F.lit(None).cast("string").alias("published_date"),
         F.lit(None).cast("array<string>").alias("keywords"),
         F.array("lang", "source").alias("tags"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.col("summary"),
         _minutes_after(INDEX_EPOCH, (F.col("doc_id") * 37) % 1009).alias("indexed_at"),
     )
 
@@ -52,7 +63,6 @@ def article_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary yet (they arrive later as model results)."""
     return (articles(spark, sf_dir)
             .withColumn("tags", F.lit(None).cast("array<string>"))
-            .withColumn("summary", F.lit(None).cast("string"))
             .withColumn("indexed_at", F.lit(None).cast("timestamp_ntz")))
 
 
@@ -84,10 +94,11 @@ def classification_results(spark: SparkSession, sf_dir: str, tasks: DataFrame) -
 
 
 def summary_results(spark: SparkSession, sf_dir: str, tasks: DataFrame) -> DataFrame:
-    """Summary result objects for every document: [{summary_text}]."""
+    """Summary result objects, [{summary_text}], for every document that the
+    summary job finds a sentence in."""
     d = read_table(spark, sf_dir, "documents")
-    arr = F.array(F.struct(F.substring("text", 1, 200).alias("summary_text")))
-    res = d.select(_doc_hash("doc_id").alias("url_hash"), F.to_json(arr).alias("body"),
+    arr = F.array(F.struct(F.col("summary").alias("summary_text")))
+    res = _summaries(d).select(_doc_hash("doc_id").alias("url_hash"), F.to_json(arr).alias("body"),
                    _minutes_after(RESULT_EPOCH, (F.col("doc_id") * 11) % 1000).alias("arrived_at"))
     return (res.join(tasks.where(F.col("task") == "summary"), "url_hash")
             .select("output_location", "body", "arrived_at"))
@@ -112,16 +123,20 @@ def crawl_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link graph over the pages: page i links to (3i+1) mod n and
-    (5i+2) mod n, by page_id; URLs canonical."""
+    """Link graph over the pages: the links found in them (inside the test
+    domains and paths), and page i to pages (3i+1) mod n and (5i+2) mod n,
+    by page_id, so that a walk does not end at once; URLs canonical."""
     p = read_table(spark, sf_dir, "pages").select("page_id", U.canonical_url("url").alias("u"))
     n = p.agg(F.count("*").alias("n"))
     src = p.crossJoin(F.broadcast(n))
     out = src.select(F.col("u").alias("src_url"),
                      F.explode(F.array((F.col("page_id") * 3 + 1) % F.col("n"),
                                        (F.col("page_id") * 5 + 2) % F.col("n"))).alias("dst_id"))
-    return (out.join(p.select(F.col("page_id").alias("dst_id"), F.col("u").alias("dst_url")), "dst_id")
+    made = (out.join(p.select(F.col("page_id").alias("dst_id"), F.col("u").alias("dst_url")), "dst_id")
             .select("src_url", "dst_url"))
+    links = outlinks(read_table(spark, sf_dir, "pages"), TEST_DOMAINS, LINK_PATHS)
+    found = links.join(p, "page_id").select(F.col("u").alias("src_url"), F.col("link").alias("dst_url"))
+    return made.unionByName(found)
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

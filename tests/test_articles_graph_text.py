@@ -58,42 +58,43 @@ def test_upserts(spark):
     assert {r["k"]: (r["v"], r["w"]) for r in twice.collect()} == mer        # idempotent
 
 
-def brute_bfs(seeds, edges, seen, budget):
-    adj = {}
+def brute_bfs(seeds, edges, seen, budget, aliases=()):
+    """A queue per level; a redirect target of a visit is barred from the next level on."""
+    md5 = lambda u: __import__("hashlib").md5(u.encode()).hexdigest()
+    adj, final = {}, {}
     for s, d in edges:
         adj.setdefault(s, []).append(d)
+    for u, f in aliases:
+        final.setdefault(u, []).append(f)
     first = {}
     for tag, url, pos in sorted(seeds, key=lambda x: x[2]):
         first.setdefault(url, (tag, pos))
-    level = sorted(((u, t, p) for u, (t, p) in first.items() if u not in seen), key=lambda x: (x[2], x[0]))
-    visited, out, depth = set(), [], 0
+    level = {u: tp for u, tp in first.items() if u not in seen}
+    barred, out, depth = set(seen), [], 0
     while level and (budget is None or len(out) < budget):
-        level = [x for x in level if x[0] not in visited]
-        level.sort(key=lambda x: (x[2], __import__("hashlib").md5(x[0].encode()).hexdigest()))
-        for u, t, p in level:
-            if budget is not None and len(out) >= budget:
-                break
-            visited.add(u)
-            out.append((u, t, p, depth))
+        rows = sorted(level.items(), key=lambda x: (x[1][1], md5(x[0])))
+        rows = rows if budget is None else rows[:budget - len(out)]
+        out += [(u, t, p, depth) for u, (t, p) in rows]
+        barred |= set(level)
+        barred |= {f for u in level for f in final.get(u, [])}
         nxt = {}
-        for u, t, p in level:
+        for u, (t, p) in level.items():
             for v in adj.get(u, []):
-                if v in visited or v in seen:
-                    continue
-                if v not in nxt or p < nxt[v][1]:
+                if v not in barred and (v not in nxt or (p, t) < (nxt[v][1], nxt[v][0])):
                     nxt[v] = (t, p)
-        level = [(v, t, p) for v, (t, p) in nxt.items()]
-        depth += 1
+        level, depth = nxt, depth + 1
     return sorted(out)
 
 
-def _bfs(spark, seeds, edges, seen=None, budget=500, **kw):
+def _bfs(spark, seeds, edges, seen=None, budget=500, aliases=None, **kw):
     s = spark.createDataFrame(seeds, "tag string, url string, seed_pos int")
     e = spark.createDataFrame(edges, "src_url string, dst_url string")
-    sn = None
+    sn = al = None
     if seen:
         sn = spark.createDataFrame([(u,) for u in seen], "u string").select(F.md5("u").alias("url_hash"))
-    out = Fr.bfs_frontier(s, e, sn, max_visits=budget, **kw)
+    if aliases:
+        al = spark.createDataFrame(aliases, "url string, final_url string")
+    out = Fr.bfs_frontier(s, e, sn, max_visits=budget, aliases=al, **kw)
     return sorted((r["url"], r["tag"], r["seed_pos"], r["depth"]) for r in out.collect())
 
 
@@ -103,24 +104,32 @@ def test_bfs_fixtures(spark):
              ("a", "b"), ("b", "s0"),                                     # cycle
              ("s1", "c"), ("c", "d"), ("a", "d"),                         # diamond: least seed wins
              ("x", "y")]                                                  # unreachable
-    for kw in ({}, {"relax_below": 0}):
-        got = _bfs(spark, seeds, edges, **kw)
-        assert got == brute_bfs(seeds, edges, set(), 500)
-        assert ("d", "t0", 0, 2) in got and ("a", "t0", 0, 1) in got
-        cut = _bfs(spark, seeds, edges, budget=3, **kw)                    # budget inside a level
-        assert cut == brute_bfs(seeds, edges, set(), 3) and len(cut) == 3
-        st = _bfs(spark, seeds, edges, seen=["a"], **kw)                   # stored seen set
-        assert st == brute_bfs(seeds, edges, {"a"}, 500)
+    got = _bfs(spark, seeds, edges)
+    assert got == brute_bfs(seeds, edges, set(), 500)
+    assert ("d", "t0", 0, 2) in got and ("a", "t0", 0, 1) in got
+    cut = _bfs(spark, seeds, edges, budget=3)                              # budget inside a level
+    assert cut == brute_bfs(seeds, edges, set(), 3) and len(cut) == 3
+    assert _bfs(spark, seeds, edges, seen=["a"]) == brute_bfs(seeds, edges, {"a"}, 500)
+    assert _bfs(spark, seeds, edges, max_depth=1) == [r for r in got if r[3] <= 1]
 
 
-def test_bfs_random_graphs_both_paths(spark):
+def test_bfs_redirects(spark):
+    seeds = [("t", "s", 0)]
+    edges = [("s", "a"), ("s", "b"), ("a", "c"), ("b", "d"), ("c", "e"), ("d", "e2")]
+    aliases = [("s", "a"), ("a", "d"), ("b", "b"), ("c", "e")]
+    got = _bfs(spark, seeds, edges, aliases=aliases)
+    # a is the seed's own target, d is a's (and a is never visited, so d is), e is c's
+    assert got == brute_bfs(seeds, edges, set(), 500, aliases) == [("b", "t", 0, 1), ("d", "t", 0, 2), ("e2", "t", 0, 3), ("s", "t", 0, 0)]
+
+
+def test_bfs_random_graphs(spark):
     rnd = random.Random(7)
-    for n in (30, 60):
+    for n, levels in ((30, 3), (60, 8)):
         edges = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(n * 2)]
         seeds = [("ta", "n0", 0), ("tb", "n1", 1), ("tc", "n2", 2)]
-        want = brute_bfs(seeds, edges, set(), 25)
-        assert _bfs(spark, seeds, edges, budget=25, hops_per_job=3) == want
-        assert _bfs(spark, seeds, edges, budget=25, relax_below=0) == want
+        assert _bfs(spark, seeds, edges, budget=25, levels_per_job=levels) == brute_bfs(seeds, edges, set(), 25)
+        aliases = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(n // 3)]
+        assert _bfs(spark, seeds, edges, budget=None, aliases=aliases) == brute_bfs(seeds, edges, set(), None, aliases)
 
 
 def brute_mmr(cands, top_n, diversity):
