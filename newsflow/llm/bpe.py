@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 MAX_VOCAB_BYTES = 64 << 20
 LONG_TEXT = 1 << 20       # characters from which pre-tokens are drawn lazily
 CACHED_BYTES = 48         # longest pre-token that is remembered
@@ -187,17 +189,14 @@ class Codec:
                         for i in range(0, len(numbers), 1 << 16))
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(vocab, pattern: str) -> Codec:
     """The process's codec for a broadcast vocabulary."""
-    data = vocab.value
+    data, codecs = vocab.value, worker_cache("bpe")
     key = (hash(data), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    if key not in codecs:
+        codecs.clear()
+        codecs[key] = Codec(data, pattern)
+    return codecs[key]
 
 
 def _with_columns(batch: pa.RecordBatch, lo: int, hi: int, added: dict[str, pa.Array]) -> pa.RecordBatch:

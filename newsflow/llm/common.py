@@ -55,3 +55,14 @@ def utf8_of(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or not len(a):
         return np.empty(0, np.uint8), offsets - offsets[:1]
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+_OWNER: list = [None, {}]
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as this Python worker runs tasks of one
+    operator: workers are reused, and what another operator kept is dropped."""
+    if _OWNER[0] != owner:
+        _OWNER[0], _OWNER[1] = owner, {}
+    return _OWNER[1]

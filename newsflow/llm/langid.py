@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8_of
+from .common import utf8_of, worker_cache
 
 BUCKETS = 1 << 15
 DIM = 12
 GRAMS = (2, 3, 4)
 PER_CLASS = 800          # labelled documents of a language that training reads
 MAX_CLASSES = 1000
-WINDOW = 1 << 20         # bytes of text worked on at a time
+WINDOW = 1 << 17         # bytes of text worked on at a time
 UND = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -224,6 +224,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def _identify(model, text_col: str, letters_col: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         m: Model = model.value
         names = np.array([*m.classes, UND], dtype=object)
         for batch in batches:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh, key_runs
+from .common import fresh, key_runs, worker_cache
 from .components import components
 
 MAX_EDITS = 2
@@ -156,6 +156,7 @@ def _file_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(keys, lines):
         return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, lines)],
                                           names=["key", "line"])
+    worker_cache("lines")
     for batch in batches:
         seen, keys, lines = set(), [], []
         for text in batch.column(0):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import fresh, key_runs
+from .common import fresh, key_runs, worker_cache
 from .components import components
 
 SEED = 42
@@ -111,6 +111,7 @@ def fingerprint(text: str | None, k: int) -> int:
 
 def _fingerprints(text_col: str, k: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             col = batch.column(text_col)
             prints = np.fromiter((fingerprint(col[i].as_py(), k) for i in range(len(col))), np.uint64, len(col))

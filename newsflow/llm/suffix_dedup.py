@@ -15,14 +15,16 @@ documents; strings are judged on the input.
 2. Suffix sort of the anchor sequences (``suffix_ranks``), by the
    difference-cover scheme modulo 3: the triples at positions not divisible
    by 3 are sorted and named; while a name that occurs twice stands for less
-   than is needed, the sequences of names are sorted by recursion; then the
+   than is needed, the sequences of names are sorted by recursion (here to
+   names of ``3 ** LEVELS`` symbols, some 1,400 bytes); then the
    remaining suffixes are merged in by (symbol, rank of the next position)
    against the suffixes at 1 mod 3 and by (two symbols, rank after them)
    against those at 2 mod 3. Merging is counting: the rank of a suffix is the
    number of smaller ones, summed over the three residues, from prefix sums
    over the sorted different keys, so keys that very many suffixes share cost
    one row each.
-3. Adjacent prefixes. Neighbours in suffix order are compared on the next
+3. Adjacent prefixes. Suffixes of one rank are ordered by the hash of their
+   prefix, and neighbours in suffix order are compared on the next
    ``2 * (length - gram + 1) + length`` bytes (to the end of a symbol). Where
    they agree, every string whose anchor lies well inside is repeated.
 4. Exact check of what is left: the strings of anchors near the ends of such
@@ -58,12 +60,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import fresh, key_runs
+from .common import fresh, key_runs, worker_cache
 from .line_dedup import bounded
 
 LENGTH = 400
 GRAM = 128
 PIECE = 1 << 19          # strings of a document worked on at a time
+LEVELS = 2               # names of 9 symbols; what they leave tied is ordered by its prefix
 GROUP = 4000             # surroundings of a piece compared in one task
 WINDOWS = 1 << 20        # strings hashed at a time
 OUT_ROWS = 50_000
@@ -127,6 +130,7 @@ def _anchor_rows(length: int, gram: int):
     reach = 2 * (length - gram + 1) + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffix")
         sid = TaskContext.get().partitionId() << 36
         held, rows = [], 0
         for batch in batches:
@@ -160,35 +164,30 @@ def _gathered(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 # --------------------------------------------------------------- suffix sort
 def _prefix_counts(keys: DataFrame, order: list[str], counts: list[str]) -> DataFrame:
-    """For different keys with counts: ``less_<count>``, the sum over smaller
-    keys. Keys are dealt by range; the totals of the parts (a row each) are
-    accumulated and added to the running sums inside them."""
+    """Adds to different keys with counts ``less_<count>``, the sum over
+    smaller keys. Keys are dealt by range; the totals of the parts (a row
+    each) are accumulated and added to the running sums inside them."""
     dealt = materialize(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "keys")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).select(
         "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     less = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}")).alias(f"less_{c}") for c in counts]
-    return dealt.join(F.broadcast(totals), "_part").select(*order, *counts, *less)
+    return dealt.join(F.broadcast(totals), "_part").select(*keys.columns, *less)
 
 
 def _named(rows: DataFrame, keys: list[str], size: Column) -> DataFrame:
     """Different keys in order: name (from 1), less_n (rows with smaller
     keys), n, and the bytes they stand for."""
-    different = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("bytes")).withColumn("one", F.lit(1).cast("long"))
-    found = _prefix_counts(different.select(*keys, "n", "one"), keys, ["n", "one"])
-    bytes_ = different.select(*[F.col(k).alias(f"_{k}") for k in keys], "bytes")
-    same = None
-    for k in keys:
-        same = (F.col(k) == F.col(f"_{k}")) if same is None else same & (F.col(k) == F.col(f"_{k}"))
-    return found.join(bytes_, same).select(*keys, "n", "less_n", "bytes", (F.col("less_one") + 1).alias("name"))
+    different = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("bytes"), F.max(F.lit(1).cast("long")).alias("one"))
+    return _prefix_counts(different, keys, ["n", "one"]).select(*keys, "n", "less_n", "bytes", (F.col("less_one") + 1).alias("name"))
 
 
-def suffix_ranks(rows: DataFrame, reach: int) -> DataFrame:
+def suffix_ranks(rows: DataFrame, reach: int, levels: int | None = None) -> DataFrame:
     """(s, i, rank) for strings given as rows (s, i, c, size): symbol c > 0 at
     position i of string s stands for ``size`` bytes. rank: number of smaller
-    suffixes; suffixes that agree to their ends or over ``reach`` bytes may
-    share one."""
+    suffixes; suffixes that agree to their ends, over ``reach`` bytes or, if
+    ``levels`` is given, over 3 ** levels symbols may share one."""
     in_order = Window.partitionBy("s").orderBy("i")
     nxt = lambda c, k: F.lead(c, k, 0).over(in_order)
     third = F.pmod("i", F.lit(3))
@@ -199,12 +198,13 @@ def suffix_ranks(rows: DataFrame, reach: int) -> DataFrame:
 
     # sort the sampled triples and name them
     sampled = rows.where("r3 > 0")
-    names = materialize(_named(sampled, ["c", "c1", "c2"], F.col("wide")), "names")
+    names = _named(sampled, ["c", "c1", "c2"], F.col("wide"))
     named = sampled.join(names, ["c", "c1", "c2"])
-    if names.where((F.col("n") > 1) & (F.col("c2") > 0) & (F.col("bytes") < reach)).limit(1).count():
+    open_ = (F.col("n") > 1) & (F.col("c2") > 0) & (F.col("bytes") < reach)
+    if levels != 1 and names.where(open_).limit(1).count():
         deeper = materialize(named.select(F.col("s3").alias("s"), F.col("i3").alias("i"), F.col("name").alias("c"),
                                           F.col("wide").alias("size")), "names-string")
-        ranks = suffix_ranks(deeper, reach)  # recurse on the names
+        ranks = suffix_ranks(deeper, reach, levels and levels - 1)  # recurse on the names
     else:
         ranks = named.select(F.col("s3").alias("s"), F.col("i3").alias("i"), F.col("less_n").alias("rank"))
     ranks = ranks.select(F.col("s").alias("s3"), F.col("i").alias("i3"), F.col("rank").alias("r"))
@@ -219,11 +219,10 @@ def suffix_ranks(rows: DataFrame, reach: int) -> DataFrame:
         .select("c", "r1", F.col("less_n0").alias("a0"), F.col("less_n1").alias("a1"))
     b = _prefix_counts(known.where("r3 <> 1").groupBy("c", "c1", "r2").agg(of(0), of(2)), ["c", "c1", "r2"], ["n0", "n2"]) \
         .select("c", "c1", "r2", F.col("less_n0").alias("b0"), F.col("less_n2").alias("b2"))
-    merged = (known.where("r3 = 0").join(a, ["c", "r1"]).join(b, ["c", "c1", "r2"])
+    return (known.where("r3 = 0").join(a, ["c", "r1"]).join(b, ["c", "c1", "r2"])
               .select("s", "i", (F.col("a0") + F.col("a1") + F.col("b2")).alias("rank"))
               .unionByName(known.where("r3 = 1").join(a, ["c", "r1"]).select("s", "i", (F.col("r") + F.col("a0")).alias("rank")))
               .unionByName(known.where("r3 = 2").join(b, ["c", "c1", "r2"]).select("s", "i", (F.col("r") + F.col("b0")).alias("rank"))))
-    return materialize(merged, "ranks")
 
 
 def _agreeing(shared: DataFrame, reach: int) -> DataFrame:
@@ -237,7 +236,7 @@ def _agreeing(shared: DataFrame, reach: int) -> DataFrame:
     strings = materialize(strings.join(symbols.select("piece", "symbol", "name"), ["piece", "symbol"])
                           .select("sid", "pos", "until", "prefix", "piece", "s", "i", F.col("name").alias("c"),
                                   F.col("size").cast("long").alias("size")), "strings")
-    ranks = suffix_ranks(strings.select("s", "i", "c", "size"), reach)
+    ranks = suffix_ranks(strings.select("s", "i", "c", "size"), reach, LEVELS)
     order = ["rank", "prefix", "_salt"]  # the salt lets equal suffixes fall into several parts
     dealt = strings.join(ranks, ["s", "i"]).withColumn("_salt", F.xxhash64("sid", "pos")) \
         .withColumn("own", F.struct("piece", "prefix"))
