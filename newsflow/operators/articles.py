@@ -34,6 +34,18 @@ def inference_tasks(articles: DataFrame, tasks: Iterable[str] = TASKS,
     return x.select(F.element_at(F.split(uri, "/"), -1).alias("output_location"), "url_hash", "task")
 
 
+def page_articles(parsed: DataFrame, keywords: DataFrame, tasks: Iterable[str] = TASKS) -> DataFrame:
+    """E1 as one job: parsed pages (one row per url_hash) become article rows
+    with their keywords (url_hash, rank, gram), the model payload and the
+    output location of each task as ``<task>_location``."""
+    from .pages import payload
+    words = keywords.groupBy("url_hash").agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("_k")).select(
+        "url_hash", F.transform("_k", lambda k: k["gram"]).alias("keywords"))
+    places = inference_tasks(parsed, tasks).groupBy("url_hash").agg(
+        *[F.max(F.when(F.col("task") == t, F.col("output_location"))).alias(f"{t}_location") for t in tasks])
+    return (parsed.drop("text").join(words, "url_hash", "left").join(payload(parsed), "url_hash").join(places, "url_hash"))
+
+
 def extract_tags(results: DataFrame, body_col: str = "body") -> DataFrame:
     """SRC2/F10: label of every element of a classification result -> tags."""
     parsed = F.from_json(F.col(body_col), schemas.CLASSIFICATION_RESULT)

@@ -69,7 +69,9 @@ def parse_pages(raw: DataFrame, html_col: str = "html", sep: str = "",
               .withColumn("published_date", F.lit(published_date).cast("string"))
               .drop(html_col))
     bad = raw.where(~ok).select(*[c for c in raw.columns if c != html_col],
-                                F.lit("title not found").alias("err"))
+                                F.lit("title not found").alias("err"),
+                                F.concat(F.lit("parse_pages: no <title> element in "), F.length(html_col),
+                                         F.lit(" characters")).alias("trace"))
     return parsed, bad
 
 

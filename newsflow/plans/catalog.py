@@ -298,6 +298,18 @@ def upsert_merge(spark, sf):
     return flat(out.select("url_hash", "title", "tags", "summary"))
 
 
+@register
+def page_to_article(spark, sf):
+    """The newest parsed page of each URL with keywords, payload and the
+    places of its two model results."""
+    from ..operators import text as Tx
+    parsed = _parsed(spark, sf)
+    empty = spark.createDataFrame([], parsed.schema)
+    newest = Art.upsert_replace(empty, parsed, order_col="page_id")
+    keywords = Tx.keywords_tfidf(newest, "url_hash", "text", top_n=10)
+    return flat(Art.page_articles(newest, keywords).drop("page_id"))
+
+
 # ---------------------------------------------------------------- graph
 from ..operators import frontier as Fr  # noqa: E402
 
@@ -398,7 +410,15 @@ def stream_liked_state(spark, sf):
 def stream_page_parse(spark, sf):
     pages = read_table(spark, sf, "pages")
     src = X.stage_files(pages, "x1-in", STREAM_FILES)
-    return X.stream_page_parse(spark, src, pages.schema)
+    return X.stream_page_parse(spark, src, pages.schema)[0]
+
+
+@register
+def stream_quarantine(spark, sf):
+    """The pages of the parsing stream that have no title, with message and trace."""
+    pages = B.damaged_pages(spark, sf)
+    src = X.stage_files(pages, "x1-in", STREAM_FILES)
+    return X.stream_page_parse(spark, src, pages.schema)[1]
 
 
 @register

@@ -583,5 +583,20 @@ SQL["stream_history_counts"] = SQL["user_tag_counts"]
 SQL["stream_liked_state"] = SQL["liked_state"]
 SQL["stream_page_parse"] = with_(PARSED) + """
 SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY page_id DESC) = 1"""
+SQL["stream_quarantine"] = f"""WITH damaged AS (
+  SELECT page_id, {s_canon('url')} AS url,
+         CASE WHEN page_id % 7 = 3 THEN regexp_replace(html, {TITLE_RE}, '', 'g') ELSE html END AS html FROM pages)
+SELECT page_id, md5(url) AS url_hash, url, 'title not found' AS err,
+       'parse_pages: no <title> element in ' || length(html) || ' characters' AS trace
+FROM damaged WHERE NOT {s_has_title('html')}"""
+PAGE_KEYWORDS = SQL["keywords_tfidf"].replace("doc_id", "url_hash").replace("FROM documents", "FROM newest")
+SQL["page_to_article"] = with_(PARSED, "newest AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY page_id DESC) = 1)",
+                               f"kw AS ({PAGE_KEYWORDS})",
+                               "kws AS (SELECT url_hash, string_agg(gram, ',' ORDER BY rank) AS keywords FROM kw GROUP BY url_hash)") + """
+SELECT n.url_hash, n.url, n.title, n.source, n.published_date, k.keywords,
+       CAST(json_object('inputs', substring(n.text, 1, 2200)) AS VARCHAR) AS body,
+       md5(n.url_hash || ':classification') || '.out' AS classification_location,
+       md5(n.url_hash || ':summary') || '.out' AS summary_location
+FROM newest n LEFT JOIN kws k ON k.url_hash = n.url_hash"""
 SQL["stream_result_merge"] = SQL["metadata_merge"]
 SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"

@@ -122,6 +122,12 @@ def crawl_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~ok, err).alias("err"))
 
 
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages of which every seventh (page_id) arrived without its title."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.withColumn("html", F.when(F.col("page_id") % 7 == 3, F.regexp_replace("html", H.TITLE_RE, "")).otherwise(F.col("html")))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link graph over the pages: the links found in them (inside the test
     domains and paths), and page i to pages (3i+1) mod n and (5i+2) mod n,

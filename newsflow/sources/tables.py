@@ -24,14 +24,15 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_PAGES).parquet(path)
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
+def read_html_files(spark: SparkSession, path: str, urls: DataFrame | None = None) -> DataFrame:
     """SRC1 from loose HTML objects: one file per page, the key is the file
-    name, bodies decoded as UTF-8 on the executors."""
+    name, bodies decoded as UTF-8 on the executors. ``urls`` (url_hash, url)
+    names the pages; without it their URL is NULL."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("url_hash"),
-        F.lit(None).cast("string").alias("url"),
-        F.decode("content", "UTF-8").alias("html"))
+    pages = raw.select(F.element_at(F.split("path", "/"), -1).alias("url_hash"), F.decode("content", "UTF-8").alias("html"))
+    if urls is None:
+        return pages.select("url_hash", F.lit(None).cast("string").alias("url"), "html")
+    return pages.join(urls.select("url_hash", "url"), "url_hash", "left").select("url_hash", "url", "html")
 
 
 def read_result_json(spark: SparkSession, path: str, element_schema) -> DataFrame:
