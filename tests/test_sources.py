@@ -8,11 +8,11 @@ from newsflow.sources import tables as S
 
 def test_html_files_and_raw_pages(spark, tmp_path):
     (tmp_path / "html").mkdir()
-    for key, body in (("h1", "<title>é</title>"), ("h2", "")):
+    for key, body in (("h1", "<title>é</title>"), ("h2", "x")):
         (tmp_path / "html" / key).write_bytes(body.encode())
     urls = spark.createDataFrame([("h1", "http://a/")], "url_hash string, url string")
     got = {tuple(r) for r in S.read_html_files(spark, str(tmp_path / "html"), urls).collect()}
-    assert got == {("h1", "http://a/", "<title>é</title>"), ("h2", None, "")}
+    assert got == {("h1", "http://a/", "<title>é</title>"), ("h2", None, "x")}
     assert {r.url for r in S.read_html_files(spark, str(tmp_path / "html")).collect()} == {None}
     S.read_html_files(spark, str(tmp_path / "html"), urls).write.parquet(str(tmp_path / "raw"))
     assert {tuple(r) for r in S.read_raw_pages(spark, str(tmp_path / "raw")).collect()} == got
