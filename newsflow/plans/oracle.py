@@ -390,7 +390,7 @@ CRAWL = f"""crawl AS (
          regexp_replace(url, '^http://', 'https://') AS real_url
   FROM pages)"""
 SQL["quarantine_split"] = with_(CRAWL) + """
-SELECT page_id, 'good' AS part, 200 AS status_code, title, CAST(NULL AS VARCHAR) AS err FROM crawl WHERE ok
+SELECT page_id, 'good' AS part, CASE WHEN page_id % 11 = 5 THEN 404 ELSE 200 END AS status_code, title, CAST(NULL AS VARCHAR) AS err FROM crawl WHERE ok
 UNION ALL
 SELECT page_id, 'quarantine', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), 'title not found' FROM crawl WHERE NOT ok"""
 SQL["content_store"] = with_(CRAWL, f"""cs AS (

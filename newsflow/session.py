@@ -68,8 +68,20 @@ def _conf_settable(spark: SparkSession) -> bool:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never node-local
     on a cluster), for stream sources, sinks and stream checkpoints."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), "newsflow-scratch", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(base.rstrip("/"), "newsflow-scratch", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has written under the shared
+    checkpoint folder. Call it when no result that reads them is needed any
+    more: results of the library are lazy and may read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "table"):

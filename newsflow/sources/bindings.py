@@ -106,11 +106,12 @@ def summary_results(spark: SparkSession, sf_dir: str, tasks: DataFrame) -> DataF
 
 def crawl_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl records (D2) for the supplied pages: fetched as given, served
-    from https (so http URLs are redirected); a page without a title fails
-    the way the browser step does."""
+    from https (so http URLs are redirected), every eleventh with status
+    404; a page without a title fails the way the browser step does."""
     p = read_table(spark, sf_dir, "pages")
     ok = H.has_title("html")
-    status = F.struct(F.lit(200).alias("code"), F.lit("OK").alias("text"))
+    gone = F.col("page_id") % 11 == 5
+    status = F.struct(F.when(gone, 404).otherwise(200).alias("code"), F.when(gone, "Not Found").otherwise("OK").alias("text"))
     content = F.struct(H.title("html").alias("title"), F.col("html").alias("html_content"))
     err = F.struct(F.lit("title not found").alias("err"), F.lit("").alias("trace"))
     return p.select(
