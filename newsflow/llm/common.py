@@ -8,6 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import materialize
+
+FILES_PER_CORE = 4
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for tables that follow a shuffle: no more than a few
+    files per core of the cluster, however many shuffle partitions there are."""
+    return materialize(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism), name)
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names close to ``names`` that the table does not use (Spark

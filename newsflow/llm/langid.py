@@ -76,8 +76,8 @@ def _laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(offsets) - 1
     starts = offsets + np.arange(n + 1)
     out = np.full(len(data) + n + 1, 32, np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(n) + 1, np.diff(offsets))
-    out[at] = _FOLD[data]
+    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        np.take(_FOLD, data[lo:hi], out=out[lo + i + 1:hi + i + 1])
     return out, starts
 
 

@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import fresh, key_runs, worker_cache
+from .common import fresh, key_runs, stored, worker_cache
 from .line_dedup import bounded
 
 LENGTH = 400
@@ -167,7 +167,7 @@ def _prefix_counts(keys: DataFrame, order: list[str], counts: list[str]) -> Data
     """Adds to different keys with counts ``less_<count>``, the sum over
     smaller keys. Keys are dealt by range; the totals of the parts (a row
     each) are accumulated and added to the running sums inside them."""
-    dealt = materialize(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "keys")
+    dealt = stored(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "keys")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).select(
         "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in counts])
@@ -194,7 +194,7 @@ def suffix_ranks(rows: DataFrame, reach: int, levels: int | None = None) -> Data
     rows = rows.select("s", "i", "c", "size", nxt("c", 1).alias("c1"), nxt("c", 2).alias("c2"),
                        (F.col("size") + nxt("size", 1) + nxt("size", 2)).alias("wide"),
                        F.when(third > 0, F.xxhash64("s", third)).alias("s3"), F.floor(F.col("i") / 3).alias("i3"), third.alias("r3"))
-    rows = materialize(rows, "triples")
+    rows = stored(rows, "triples")
 
     # sort the sampled triples and name them
     sampled = rows.where("r3 > 0")
@@ -202,7 +202,7 @@ def suffix_ranks(rows: DataFrame, reach: int, levels: int | None = None) -> Data
     named = sampled.join(names, ["c", "c1", "c2"])
     open_ = (F.col("n") > 1) & (F.col("c2") > 0) & (F.col("bytes") < reach)
     if levels != 1 and names.where(open_).limit(1).count():
-        deeper = materialize(named.select(F.col("s3").alias("s"), F.col("i3").alias("i"), F.col("name").alias("c"),
+        deeper = stored(named.select(F.col("s3").alias("s"), F.col("i3").alias("i"), F.col("name").alias("c"),
                                           F.col("wide").alias("size")), "names-string")
         ranks = suffix_ranks(deeper, reach, levels and levels - 1)  # recurse on the names
     else:
@@ -210,7 +210,7 @@ def suffix_ranks(rows: DataFrame, reach: int, levels: int | None = None) -> Data
     ranks = ranks.select(F.col("s").alias("s3"), F.col("i").alias("i3"), F.col("rank").alias("r"))
     rest = rows.where("r3 = 0").withColumn("r", F.lit(None).cast("long"))
     known = rows.where("r3 > 0").join(ranks, ["s3", "i3"]).select(*rest.columns).unionByName(rest)
-    known = materialize(known.select("s", "i", "c", "c1", "r3", "r", F.lead("r", 1, -1).over(in_order).alias("r1"),
+    known = stored(known.select("s", "i", "c", "c1", "r3", "r", F.lead("r", 1, -1).over(in_order).alias("r1"),
                                      F.lead("r", 2, -1).over(in_order).alias("r2")), "ranked-sample")
 
     # merge the remaining suffixes by counting
@@ -233,14 +233,14 @@ def _agreeing(shared: DataFrame, reach: int) -> DataFrame:
     strings = shared.withColumn("_row", F.row_number().over(w)).select(
         "sid", "pos", "until", "prefix", "piece", "symbol", "size", F.xxhash64("sid", F.col("at") - F.col("_row")).alias("s"), "_row")
     strings = strings.withColumn("i", (F.row_number().over(Window.partitionBy("s").orderBy("_row")) - 1).cast("long"))
-    strings = materialize(strings.join(symbols.select("piece", "symbol", "name"), ["piece", "symbol"])
+    strings = stored(strings.join(symbols.select("piece", "symbol", "name"), ["piece", "symbol"])
                           .select("sid", "pos", "until", "prefix", "piece", "s", "i", F.col("name").alias("c"),
                                   F.col("size").cast("long").alias("size")), "strings")
     ranks = suffix_ranks(strings.select("s", "i", "c", "size"), reach, LEVELS)
     order = ["rank", "prefix", "_salt"]  # the salt lets equal suffixes fall into several parts
     dealt = strings.join(ranks, ["s", "i"]).withColumn("_salt", F.xxhash64("sid", "pos")) \
         .withColumn("own", F.struct("piece", "prefix"))
-    dealt = materialize(dealt.select("sid", "pos", "until", "prefix", "own", "rank", "_salt").repartitionByRange(*order)
+    dealt = stored(dealt.select("sid", "pos", "until", "prefix", "own", "rank", "_salt").repartitionByRange(*order)
                         .withColumn("_part", F.spark_partition_id()), "suffix-array")
     inside, parts = Window.partitionBy("_part").orderBy(*order), Window.orderBy("_part")
     edges = dealt.groupBy("_part").agg(F.min_by("own", F.struct(*order)).alias("_first"), F.max_by("own", F.struct(*order)).alias("_last")) \
@@ -357,20 +357,21 @@ def _checked(texts: DataFrame, shared: DataFrame, agreeing: DataFrame, length: i
         .unionByName(agreeing.select("sid", F.col("pos").alias("x"), F.lit(0).alias("last"), F.struct("until", "prefix", "pos").alias("run")),
                      allowMissingColumns=True)
     so_far = Window.partitionBy("sid").orderBy("x", "last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    judged = materialize(events.withColumn("run", F.max("run").over(so_far)).where("last = 1")
+    judged = stored(events.withColumn("run", F.max("run").over(so_far)).where("last = 1")
                          .withColumn("inside", F.coalesce(F.col("run.until") >= F.col("hi") + length, F.lit(False))), "judged")
     inside = judged.where("inside")
     follows = inside.select("sid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
 
     open_ = judged.where(~F.col("inside")).select("piece", "sid", "t1", "t2", "lo", "hi", F.lit(0).alias("kind"))
-    kinds = (inside.join(open_.select("piece").distinct(), "piece", "left_semi")
-             .groupBy("piece", F.col("run.prefix").alias("prefix"), (F.col("pos") - F.col("run.pos")).alias("ahead"))
+    # kinds are made before the join: a piece that recurs all over a text has few of them
+    kinds = (inside.groupBy("piece", F.col("run.prefix").alias("prefix"), (F.col("pos") - F.col("run.pos")).alias("ahead"))
              .agg(F.min(F.struct("sid", "t1", "t2", "lo", "hi")).alias("one"))
+             .join(open_.select("piece").distinct(), "piece", "left_semi")
              .select("piece", "one.*", F.lit(1).alias("kind")))
-    need = materialize(open_.unionByName(kinds.select(*open_.columns)), "need")
+    need = stored(open_.unionByName(kinds.select(*open_.columns)), "need")
     needs = need.groupBy("t1", "t2").agg(F.collect_list(F.struct("piece", "sid", "lo", "hi", "kind")).alias("needs"))
     wanted = texts.join(bounded(need.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    contexts = materialize(wanted.join(needs, ["t1", "t2"]).select("text", "needs").mapInArrow(
+    contexts = stored(wanted.join(needs, ["t1", "t2"]).select("text", "needs").mapInArrow(
         _contexts(length), "piece long, sid long, lo int, hi int, kind int, context binary"), "contexts")
     many = need.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("piece")
     few = contexts.join(many, "piece", "left_anti").repartition("piece").sortWithinPartitions("piece") \
@@ -417,20 +418,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         "sid long, t1 long, t2 int, n int, at int, pos int, lo int, hi int, until int, size int, piece long, symbol long, prefix long")), "anchors")
 
     # equal texts: one stands for all, and goes as a whole
-    equal = materialize(found.where("at = 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("copies")), "texts")
+    equal = stored(found.where("at = 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("copies")), "texts")
     others = found.where("at = 0").join(bounded(equal.select("sid")), "sid", "left_anti").select("sid")
-    single = found.join(bounded(materialize(others, "copies")), "sid", "left_anti")
+    single = found.join(bounded(stored(others, "copies")), "sid", "left_anti")
     met = single.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("piece")
-    shared = materialize(single.join(bounded(materialize(met, "pieces")), "piece", "left_semi"), "shared")
-    agreeing = materialize(_agreeing(shared, 2 * (length - gram + 1) + length), "agreeing")
+    shared = stored(single.join(bounded(stored(met, "pieces")), "piece", "left_semi"), "shared")
+    agreeing = stored(_agreeing(shared, 2 * (length - gram + 1) + length), "agreeing")
     follows, checked = _checked(texts, shared, agreeing, length)
     whole = equal.where("copies > 1").select("sid", F.lit(0).alias("a"), F.col("n").alias("b"))
-    spans = materialize(follows.unionByName(checked).unionByName(whole), "spans")
+    spans = stored(follows.unionByName(checked).unionByName(whole), "spans")
 
     k1, k2, raw = fresh(docs, "t1", "t2", "raw")
     by_text = spans.join(equal.select("sid", "t1", "t2"), "sid").groupBy(F.col("t1").alias(k1), F.col("t2").alias(k2)).agg(
         F.collect_list(F.struct("a", "b")).alias(raw))
-    by_text = materialize(by_text, "spans-by-text")
+    by_text = stored(by_text, "spans-by-text")
     keyed = docs.withColumns({k1: t1, k2: t2})
     keys = bounded(by_text.select(k1, k2))
     hit = keyed.join(keys, [k1, k2], "left_semi").join(by_text, [k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns], raw)
