@@ -83,9 +83,9 @@ def bfs_frontier(seeds: DataFrame, edges: DataFrame, seen: DataFrame | None = No
         levels, last = [], frontier
         for step in range(1, steps + 1):
             reached = (last.select(F.col("url_hash").alias("src_hash"), "tag", "seed_pos").join(ek, "src_hash")
-                       .select("url_hash", "url", "tag", "seed_pos", F.lit(depth + step).alias("depth"))
-                       .join(known, "url_hash", "left_anti"))
-            last = _least(reached)
+                       .select("url_hash", "url", "tag", "seed_pos", F.lit(depth + step).alias("depth")))
+            # reduced before the shuffle by URL, which the anti join and the next level then share
+            last = _least(reached).join(known, "url_hash", "left_anti")
             levels.append(last)
         found = materialize(_least(_union(levels)) if steps > 1 else levels[0], "bfs-visits")
         depth += steps
