@@ -1,27 +1,39 @@
 """Line dedup: exact and near-duplicate lines by a segment-partition edit join.
 
 A line is a near duplicate of another when their edit distance (code points)
-is at most ``allowed(length of the shorter)``: one edit per ten characters, up
-to ``MAX_EDITS``. Lines under ``MIN_CHARS`` characters are left alone. Lines
+is at most ``allowed(length of the shorter)``: one edit per ``EDIT_CHARS``
+characters (5 %) at every length, and on short lines one per ten characters
+up to two. Lines under ``MIN_CHARS`` characters are left alone. Lines
 in the same class (connected by links, copies included) are reduced to the
 first occurrence by (document id, line number).
 
-* Segments: a line of length l is cut into allowed(l) + 1 even segments. That
-  many edits cannot touch every segment, so a line within the distance
-  contains one of them unchanged, near the same place.
-* Probes: every line looks for indexed lines of its own length and of up to
-  MAX_EDITS less, with the substrings that can be that segment: of the
-  segment's length, and within the shift that the edits before and after it
-  leave (the multi-match-aware windows).
+* Segments: a line of length l < ``LONG`` is cut into allowed(l) + 1 even
+  segments. That many edits cannot touch every segment, so a line within the
+  distance contains one of them unchanged, near the same place.
+* Probes: every line looks for indexed lines under ``LONG`` of its own length
+  and of up to allowed(LONG - 1) less, with the substrings that can be that
+  segment: of the segment's length, and within the shift that the edits before
+  and after it leave (the multi-match-aware windows).
+* Anchors: the windows of a line with t edits number about t ** 3 (more than
+  1,000 at 250 characters), so longer lines meet by winnowing, which loses
+  nothing either: t edits leave a run of (l - t) / (t + 1) characters or more
+  unchanged, at least ``GRAM + WINDOW - 1``, and two lines that share so long
+  a run share the gram of least hash in it. Keys name the gram, a class of
+  lengths and a stretch of places; the shorter line is filed under its own,
+  the longer one looks under all that its length and place can have shifted
+  to.
 * Verification: lines that meet under a key are compared by a banded
-  bit-parallel edit distance, after their common ends are taken off.
+  bit-parallel edit distance, after their common ends are taken off. Anchors
+  are many to a line, so those first give the pairs whose lengths and places
+  are within the distance; a pair is given its texts once.
 
 In Spark: tasks turn each batch's different lines into 16-byte (key, line)
 rows. A partial aggregate finds the keys under which an indexed line meets
 another line; only rows with such keys go on, and only the lines among them
 are carried as text. Keys with more than ``GROUP`` lines are dealt over
 blocks, every two blocks meeting in one task, so no task holds a whole hot
-group; tasks give out verified links only, never candidate pairs. The set of
+group; for lines under ``LONG`` tasks give out verified links only, never
+candidate pairs. The set of
 meeting keys, and then of their lines, is broadcast while it has at most
 ``BROADCAST_ROWS`` rows and joined by shuffle beyond that.
 
@@ -46,15 +58,21 @@ from ..session import materialize
 from .common import fresh, key_runs, worker_cache
 from .components import components
 
-MAX_EDITS = 2
+MAX_EDITS = 2                # of one per MIN_CHARS characters
 MIN_CHARS = 10
+EDIT_CHARS = 20              # one edit per so many characters, without a bound
+LONG = 80                    # lines that meet by anchors
+GRAM, WINDOW = 10, 7
+CLASSES = 1.3                # ratio of the lengths of a class, over 1 + 1 / EDIT_CHARS
+STRETCH = 8                  # a stretch of places is so many times the edits of its class
+CHUNK = 1 << 20              # characters or pairs worked on at once
 GROUP = 1000                 # lines of a key compared in one task
 BROADCAST_ROWS = 4_000_000   # longs: 32 MB
 ROWS_OUT = 1 << 18           # rows of an output batch
 
 
 def allowed(length: int) -> int:
-    return min(MAX_EDITS, length // MIN_CHARS)
+    return max(min(MAX_EDITS, length // MIN_CHARS), length // EDIT_CHARS)
 
 
 def segments(length: int) -> list[tuple[int, int]]:
@@ -79,9 +97,9 @@ def probes(length: int) -> list[tuple[int, int, int, int]]:
     if length in _PLANS:
         return _PLANS[length]
     out = []
-    for less in range(MAX_EDITS + 1):
+    for less in range(allowed(LONG - 1) + 1):
         other = length - less
-        if other < MIN_CHARS or less > allowed(other):
+        if not MIN_CHARS <= other < LONG or less > allowed(other):
             continue
         edits = allowed(other)
         for i, (p, n) in enumerate(segments(other)):
@@ -93,6 +111,55 @@ def probes(length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+# least lengths of the classes of long lines, up to what a string can hold
+_EDGES = np.unique((LONG * CLASSES ** np.arange(72)).astype(np.int64))
+_SHIFTS = np.array([allowed(int(n) - 1) for n in _EDGES[1:]])   # most edits in a class
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def anchors(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, hash) of the grams that are the least of a window."""
+    size = np.array([len(x) for x in lines], np.int64)
+    ends = np.cumsum(size)
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    grams = np.zeros(len(points) - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + points[j:len(points) - GRAM + 1 + j]
+    grams = _mix(grams)
+    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1)
+    line = np.repeat(np.arange(len(lines)), size)[:len(least)]
+    start = np.flatnonzero(np.arange(len(least)) + GRAM + WINDOW - 1 <= ends[line])   # windows inside a line
+    at = np.unique(start + least[start])
+    line = np.searchsorted(ends, at, side="right")
+    return line, at - (ends - size)[line], grams[at]
+
+
+def anchor_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key, indexed) of all keys long lines are filed or looked
+    up under."""
+    line, at, gram = anchors(lines)
+    size = np.array([len(x) for x in lines], np.int64)[line]
+    own = np.searchsorted(_EDGES, size, side="right") - 1
+    least = np.maximum(-(-size * EDIT_CHARS // (EDIT_CHARS + 1)), LONG)      # of a line within the distance
+    below = np.searchsorted(_EDGES, least, side="right") - 1
+    out = []
+    for kind, some in ((own, slice(None)), (below, np.flatnonzero(below < own))):
+        kind, n, place, h = kind[some], line[some], at[some], gram[some]
+        shift = _SHIFTS[kind]
+        low, high = np.maximum(place - shift, 0) // (STRETCH * shift), (place + shift) // (STRETCH * shift)
+        for stretch, these in ((low, slice(None)), (high, np.flatnonzero(high > low))):
+            part = stretch[these]
+            where = _mix((kind[these] << 40 | part).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            filed = (kind[these] == own[some][these]) & (part == place[these] // (STRETCH * shift[these]))
+            out.append((n[these], place[these], _mix(h[these] + where), filed))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance, or most + 1 if it is larger: bit-parallel over a band
     of 2 * most + 1 rows that moves down the diagonal."""
@@ -117,12 +184,12 @@ def edit_distance(a: str, b: str, most: int) -> int:
     up, down = every & ~((1 << most) - 1), 0
     distance, last = most, 1 << (width - 1)
     column, turn = 0, len(a) - most
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
     for column in range(len(b)):
-        c, same = b[column], 0
-        first = column - most
-        for i in range(max(0, -first), min(width, len(a) - first)):
-            if a[first + i] == c:
-                same |= 1 << i
+        same, first = places.get(b[column], 0), column - most
+        same = (same >> first if first >= 0 else same << -first) & every
         diagonal = ((((same & up) + up) ^ up) | same | down) & every
         plus = (down | ~(diagonal | up)) & every
         minus = diagonal & up
@@ -149,16 +216,27 @@ def _full_distance(a: str, b: str) -> int:
 
 # ------------------------------------------------------------------ key rows
 def _file_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line) for the lines of a batch of texts; the lowest bit of line
-    tells whether the entry is an indexed segment."""
+    """(key, line, place) for the lines of a batch of texts; the lowest bit of
+    line tells whether the entry is an indexed one. place is 0 for segments;
+    for anchors it holds the place and, in the lower half, the line's length."""
     digest = xxhash.xxh64_intdigest
 
-    def out(keys, lines):
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, lines)],
-                                          names=["key", "line"])
+    def out(keys, lines, places):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (keys, lines, places)], names=["key", "line", "place"])
+
+    def long_rows(numbers, texts):
+        line, at, keys, filed = anchor_keys(texts)
+        size = np.array([len(x) for x in texts], np.uint64)[line]
+        lines = np.array(numbers, np.uint64)[line] | filed.astype(np.uint64)
+        places = at.astype(np.uint64) << np.uint64(32) | size
+        for lo in range(0, len(keys), ROWS_OUT):
+            yield out(*(x[lo:lo + ROWS_OUT] for x in (keys, lines, places)))
+
     worker_cache("lines")
     for batch in batches:
         seen, keys, lines = set(), [], []
+        numbers, texts, held = [], [], 0
         for text in batch.column(0):
             for line in (text.as_py() or "").split("\n"):
                 if len(line) < MIN_CHARS:
@@ -171,10 +249,19 @@ def _file_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(digest(line[at:at + n], seed))
                     lines.append(number | indexed)
                 if len(keys) >= ROWS_OUT:
-                    yield out(keys, lines)
+                    yield out(keys, lines, [0] * len(keys))
                     keys, lines = [], []
+                if len(line) >= LONG:
+                    numbers.append(number)
+                    texts.append(line)
+                    held += len(line)
+                if held >= CHUNK:
+                    yield from long_rows(numbers, texts)
+                    numbers, texts, held = [], [], 0
         if keys:
-            yield out(keys, lines)
+            yield out(keys, lines, [0] * len(keys))
+        if texts:
+            yield from long_rows(numbers, texts)
 
 
 def _line_number() -> Column:
@@ -216,6 +303,74 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*pairs)], names=["a", "b"])
 
 
+def _near_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of long lines of a (key, blocks) run whose lengths and places
+    are within the distance: rows (key, side, indexed, number, place)."""
+    for batch in key_runs(batches):
+        key, side, indexed, number, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        size, at = place & 0xFFFFFFFF, place >> 32
+        order = np.lexsort((size, key))
+        key, side, indexed, number, size, at = (x[order] for x in (key, side, indexed, number, size, at))
+        run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        most = size // EDIT_CHARS
+        by = run << 32 | size
+        first, top = np.searchsorted(by, by), np.searchsorted(by, by + most, side="right")
+        x = np.flatnonzero((indexed == 1) & (top - first > 1))
+        found, total = [], np.cumsum((top - first)[x])
+        while len(x):
+            n = max(1, int(np.searchsorted(total, CHUNK, side="right")))
+            now, x, total = x[:n], x[n:], total[n:] - total[n - 1]
+            width = (top - first)[now]
+            i = np.repeat(now, width)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + first[i]
+            fine = (np.abs(at[i] - at[j]) <= most[i]) & (number[i] != number[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            i, j = i[fine], j[fine]
+            found.append(np.unique(np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])]), axis=1))
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _trigrams(text: str) -> set[str]:
+    return {text[i:i + 3] for i in range(len(text) - 2)}
+
+
+def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among pairs of long lines: rows (a, b, text, other). An edit
+    takes away at most three trigrams of the shorter line."""
+    for batch in batches:
+        grams, found = {}, []
+        for a, b, text, other in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if len(text) > len(other):
+                a, b, text, other = b, a, other, text
+            most = allowed(len(text))
+            for t in (text, other):
+                if t not in grams:
+                    grams[t] = _trigrams(t)
+            if len(grams[text] - grams[other]) <= 3 * most and edit_distance(other, text, most) <= most:
+                found.append((min((a, text), (b, other))[1], max((a, text), (b, other))[1]))
+        if found:
+            pairs = [(xxhash.xxh64_intdigest(p, 42), xxhash.xxh64_intdigest(q, 42)) for p, q in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*pairs)], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+    """(key, side, columns): a key's lines in blocks; every two blocks, and
+    every block with itself, meet once."""
+    many = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    rows = rows.join(many, "key", "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("number", F.lit(5)), blocks).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
+                       F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+                       .cast("int").alias("side"), *columns)
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(place, line) of every occurrence; place orders them."""
     rows = docs.select(F.col(id_col).isNull().alias("_no_id"), F.col(id_col).alias("_id"),
@@ -225,30 +380,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b): all links between different lines, as their XXH64 values."""
-    filed = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(_file_lines, "key long, line long")
+    filed = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(_file_lines, "key long, line long, place long")
     met = materialize(filed.groupBy("key").agg(F.min(_line_number()).alias("x"), F.max(_line_number()).alias("y"),
                                                F.max(F.col("line").bitwiseAND(F.lit(1).cast("long"))).alias("filed"))
                       .where((F.col("x") < F.col("y")) & (F.col("filed") == 1)).select("key"), "met-keys")
-    hits = materialize(filed.join(bounded(met), "key").distinct(), "hits")
-    numbers = materialize(hits.select(_line_number().alias("number")).distinct(), "hit-lines")
-    texts = (docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("text"))
-             .where(F.length("text") >= MIN_CHARS)
-             .select(F.xxhash64("text").bitwiseAND(F.lit(-2).cast("long")).alias("number"), "text")
-             .join(bounded(numbers), "number", "left_semi").distinct())
-    many = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
-    rows = (hits.select("key", F.col("line").bitwiseAND(F.lit(1).cast("long")).alias("indexed"), _line_number().alias("number"))
-            .join(texts, "number").join(many, "key", "left"))
-    # a key's lines in blocks; every two blocks, and every block with itself, meet once
-    blocks = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("number", F.lit(5)), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
-                       F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-                       .cast("int").alias("side"), "indexed", "number", "text")
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_verify, "a long, b long").distinct()
+    hits = materialize(filed.join(bounded(met), "key").distinct()
+                       .select("key", F.col("line").bitwiseAND(F.lit(1).cast("long")).alias("indexed"),
+                               _line_number().alias("number"), "place"), "hits")
+    short, long_ = hits.where("place = 0"), hits.where("place <> 0")
+    pairs = materialize(_dealt(long_, long_, "indexed", "number", "place")
+                        .mapInArrow(_near_places, "a long, b long").distinct(), "long-pairs")
+    numbers = materialize(short.select("number").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("number")))
+                          .distinct(), "hit-lines")
+    texts = materialize(docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("text"))
+                        .where(F.length("text") >= MIN_CHARS)
+                        .select(F.xxhash64("text").bitwiseAND(F.lit(-2).cast("long")).alias("number"), "text")
+                        .join(bounded(numbers), "number", "left_semi").distinct(), "hit-texts")
+    near = _dealt(short.join(texts, "number"), short, "indexed", "number", "text").mapInArrow(_verify, "a long, b long")
+    far = (pairs.join(texts.select(F.col("number").alias("a"), "text"), "a")
+           .join(texts.select(F.col("number").alias("b"), F.col("text").alias("other")), "b")
+           .select("a", "b", "text", "other").mapInArrow(_verify_pairs, "a long, b long"))
+    return near.unionByName(far).distinct()
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
