@@ -3,7 +3,9 @@
 A line is a near duplicate of another when their edit distance (code points)
 is at most ``allowed(length of the shorter)``: one edit per ``EDIT_CHARS``
 characters (5 %) at every length, and on short lines one per ten characters
-up to two. Lines under ``MIN_CHARS`` characters are left alone. Lines
+up to two. Lines under ``MIN_CHARS`` characters have no near duplicates; with
+``every_line`` their exact copies go too (blank lines separate and are never
+copies), without it they are left alone. Lines
 in the same class (connected by links, copies included) are reduced to the
 first occurrence by (document id, line number).
 
@@ -38,8 +40,9 @@ meeting keys, and then of their lines, is broadcast while it has at most
 ``BROADCAST_ROWS`` rows and joined by shuffle beyond that.
 
 Defined results: a NULL text has no lines; an empty text has one empty line;
-lines are separated by line feeds only; a document all of whose lines go is
-dropped by ``dedup_lines``; NULL ids come last in the order; documents with
+lines are separated by line feeds only; a document all of whose lines go (with
+``every_line``: one that loses lines and has only blank ones left) is dropped
+by ``dedup_lines``; NULL ids come last in the order; documents with
 one id are ordered by a hash of their text, and rows repeated as a whole are
 cut alike; other columns pass through.
 """
@@ -403,10 +406,16 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return near.unionByName(far).distinct()
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _written(line: Column) -> Column:
+    """Not blank."""
+    return line.rlike(r"(?U)\S")
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, every_line: bool) -> DataFrame:
     """(place, kept, degree, removed) for every occurrence of a line that has
     copies or links: kept is the place of the occurrence that stays."""
-    lines = _lines(docs, id_col, text_col).where(F.length("line") >= MIN_CHARS).select(
+    counted = F.length("line") >= MIN_CHARS
+    lines = _lines(docs, id_col, text_col).where(counted | _written(F.col("line")) if every_line else counted).select(
         "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     classes = materialize(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     pairs = materialize(links(docs, text_col), "line-links")
@@ -420,12 +429,12 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.join(several, ["h1", "h2"]).select("place", "kept", "degree", (F.col("place") != F.col("kept")).alias("removed"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
     """(id, n_lines, n_removed, n_links, removed_lines, kept_in) per document:
     the numbers of the removed lines (from 0) in order, the ids of the
     documents in which their kept lines are, and the number of links of the
     document's lines to different lines."""
-    cut = _cut(docs, id_col, text_col)
+    cut = _cut(docs, id_col, text_col, every_line)
     by_doc = cut.groupBy("place._no_id", "place._id", "place._text").agg(
         F.sum("degree").alias("n_links"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.struct(F.col("place._at").alias("at"), F.col("kept._id").alias("in"))))).alias("cuts"))
@@ -439,16 +448,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     F.transform(cuts, lambda c: c["at"]).alias("removed_lines"), F.transform(cuts, lambda c: c["in"]).alias("kept_in")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
     """``docs`` without the removed lines; documents that lose every line go."""
-    cut = _cut(docs, id_col, text_col).where("removed")
+    cut = _cut(docs, id_col, text_col, every_line).where("removed")
     key_id, key_text, gone, lines = fresh(docs, "_id", "_text", "gone", "lines")
     by_doc = cut.groupBy(F.col("place._id").alias(key_id), F.col("place._text").alias(key_text)).agg(
         F.collect_set("place._at").alias(gone))
     same = docs[id_col].eqNullSafe(by_doc[key_id]) & (F.xxhash64(docs[text_col]) == by_doc[key_text])
     joined = docs.join(by_doc, same, "left").withColumn(lines, F.split(F.col(text_col), "\n", -1))
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
-    kept = joined.where(F.col(gone).isNull() | (F.size(gone) < F.size(lines)))
+    rest = F.transform(left, lambda i: F.col(lines)[i])
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    some = F.exists(rest, _written) if every_line else F.size(gone) < F.size(lines)
+    kept = joined.where(F.col(gone).isNull() | some)
     return kept.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -87,7 +87,7 @@ def op6_cover_tree(spark, sf_dir):
 @register
 def op1_line_dedup(spark, sf_dir):
     """Copies and near copies (edit distance) of lines over all documents."""
-    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), "doc_id", "text", every_line=True)
 
 
 def shape_topic(text: str = "text"):
