@@ -339,6 +339,13 @@ def frontier_redirects(spark, sf):
                            aliases=Fr.redirects(good))
 
 
+@register
+def frontier_redirects_whole(spark, sf):
+    """The same walk to its end: neither a budget nor a depth."""
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    return Fr.bfs_frontier(B.seeds(spark, sf), B.edges(spark, sf), max_visits=None, aliases=Fr.redirects(good))
+
+
 @register
 def redirect_alias(spark, sf):
     good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))

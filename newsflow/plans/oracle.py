@@ -488,6 +488,23 @@ FROM walked w JOIN (SELECT DISTINCT seed_pos, tag FROM seeds_b) s ON s.seed_pos
 
 SQL["frontier_redirects"] = with_(GRAPH, CRAWL, f"""al2 AS (
   SELECT DISTINCT {s_canon('url')} AS src, {s_canon('real_url')} AS dst FROM crawl WHERE ok AND real_url IS NOT NULL)""")[:-1] + ",\n" + _levels_sql(3)
+# to the walk's end: every step carries the new level ('v') and all that is barred by then ('b')
+WALK = """bar AS MATERIALIZED (SELECT src, dst FROM al2 WHERE src <> dst),
+links_b AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges_b),
+walk(kind, url, seed_pos, depth) AS (
+  SELECT 'v', url, min(seed_pos), 0 FROM seeds_b GROUP BY url
+  UNION ALL
+  (WITH nb AS (SELECT url FROM walk UNION SELECT b.dst FROM bar b JOIN walk w ON b.src = w.url WHERE w.kind = 'v'),
+   nv AS (SELECT e.dst AS url, min(w.seed_pos) AS seed_pos, min(w.depth) + 1 AS depth
+          FROM walk w JOIN links_b e ON e.src = w.url LEFT JOIN nb ON nb.url = e.dst
+          WHERE w.kind = 'v' AND nb.url IS NULL GROUP BY e.dst)
+   SELECT 'v', url, seed_pos, depth FROM nv
+   UNION ALL
+   SELECT 'b', url, NULL, NULL FROM nb WHERE EXISTS (SELECT 1 FROM nv)))
+SELECT md5(w.url) AS url_hash, w.url, s.tag, w.seed_pos, CAST(w.depth AS INTEGER) AS depth
+FROM walk w JOIN (SELECT DISTINCT seed_pos, tag FROM seeds_b) s ON s.seed_pos = w.seed_pos
+WHERE w.kind = 'v'"""
+SQL["frontier_redirects_whole"] = SQL["frontier_redirects"].replace("WITH ", "WITH RECURSIVE ", 1).replace(_levels_sql(3), WALK)
 SQL["redirect_alias"] = with_(CRAWL, f"""al AS (
   SELECT {s_canon('url')} AS url FROM crawl WHERE ok
   UNION SELECT {s_canon('real_url')} FROM crawl WHERE ok AND real_url IS NOT NULL)""") + \
