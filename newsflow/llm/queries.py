@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (ann_forest, bpe, chat_format, langid, line_dedup, mixing, sharding, simhash,
+from . import (ann_forest, bpe, chat_format, filter_audit, langid, line_dedup, mixing, sharding, simhash,
                suffix_dedup, topk_covertree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,56 @@ def op10_repeated_passages(spark, sf_dir):
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                         removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op11_filter_audit(spark, sf_dir):
+    """Five filters in all 120 orders, per language."""
+    return filter_audit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT w.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 3 * length(body) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN w.doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM worded w LEFT JOIN marks m ON m.doc_id = w.doc_id),
+kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, s AS step, substr(filter_order, s, 1) AS filter, substr(filter_order, 1, s - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+cells AS (
+  SELECT k.part, t.filter_order, t.step, t.filter,
+         sum(CASE WHEN NOT hit AND NOT gone THEN k.n ELSE 0 END) AS kept,
+         sum(CASE WHEN hit AND NOT gone THEN k.n ELSE 0 END) AS removed,
+         sum(CASE WHEN hit AND gone THEN k.n ELSE 0 END) AS redundant,
+         sum(CASE WHEN k.fails = t.filter THEN k.n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN hit AND NOT gone THEN k.good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN hit AND NOT gone THEN k.toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, contains(fails, filter) AS hit, translate(fails, before, '') <> fails AS gone
+        FROM kinds, steps) k JOIN steps t USING (filter_order, step, filter)
+  GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM cells
+"""
