@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (ann_forest, bpe, chat_format, filter_audit, langid, line_dedup, mixing, sharding, simhash,
+from . import (ann_forest, bpe, chat_format, filter_audit, langid, line_dedup, mixing, sharding, simhash, spelling,
                suffix_dedup, topk_covertree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,57 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS B
        CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
 FROM cells
 """
+
+
+@register
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all texts with the near word they are a variant of."""
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+# the 16 values are those of the CRC-32 of the zlib format, four bits at a time
+SQL["op12_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten([[4294967295], flatten(list_transform(
+           list_transform(string_split(concat(CAST(doc_id AS VARCHAR), ':', run), ''), lambda c: CAST(unicode(c) AS BIGINT)),
+           lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))]) AS b
+  FROM runs),
+halves AS (
+  SELECT run, n, flatten([b[1:1], flatten(list_transform(b[2:], lambda x: [x & 15, x >> 4]))]) AS b FROM bytes),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(b, lambda a, x: xor(a >> 4, list_extract(
+    [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+     3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108],
+    CAST((xor(a, x) & 15) + 1 AS INTEGER))))) AS h
+  FROM halves),
+vocab AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2))
+                       ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (
+  SELECT word, n, concat(substr(word, 1, i), '*', substr(word, i + 2)) AS hole,
+         concat(substr(word, 1, i), substr(word, i + 2)) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocab b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocab b ON a.less = b.word),
+best AS (
+  SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place,
+         count(*) OVER (PARTITION BY word) AS n_near
+  FROM near),
+formed AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.n >= 2 * v.n THEN b.other END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word AND b.place = 1),
+walk AS (
+  SELECT word, word AS at, form AS next FROM formed
+  UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
+"""
