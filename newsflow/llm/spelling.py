@@ -7,9 +7,9 @@ every word are generated and looked up:
 * counting: tasks count the words of their texts and give out (word, n)
   partial counts, so frequent words are reduced map side;
 * filters: the vocabulary is sharded by word length, and every shard has a
-  blocked Bloom filter, one 64-bit block to a word. ``BITS`` bits a word are
-  spent up to ``MAX_BLOCKS`` blocks in all (16 MB): that bounds the broadcast
-  whatever the size of the vocabulary. Beyond it the filters let more pass,
+  blocked Bloom filter, four bits of one block to a word. It grows with the
+  vocabulary up to ``MAX_BLOCKS`` blocks in all (16 MB), which bounds the
+  broadcast. Beyond it the filters let more pass,
   which costs shuffled rows and loses nothing;
 * probes: a word's deletions are looked up in the shard of the next shorter
   words, its replacements by a larger code point in its own. Insertions are
@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import bloom
 from .common import worker_cache
 
 LETTERS = "A-Za-zÀ-ÿ"
@@ -51,7 +52,6 @@ MIN_POINTS = 5
 MIN_COUNT = 3
 TYPO_EVERY = 97          # runs whose hash this divides lose a code point
 SHARDS = 64              # words of this length or more share a shard
-BITS = 32                # bits of the filters per word
 MAX_BLOCKS = 1 << 21     # of 64 bits, over all shards
 PROBES = 1 << 20         # edits looked up at once
 PIECE = 1 << 22          # code points of a text worked on at once
@@ -119,21 +119,6 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(block, bits) of mixed hashes: four of 64 bits in one block."""
-    one, six = np.uint64(1), np.uint64(63)
-    bits = np.zeros(h.shape, np.uint64)
-    for i in range(4):
-        bits |= one << (h >> np.uint64(6 * i) & six)
-    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64), bits
-
-
 def _by_length(words: list[str]) -> Iterator[tuple[int, list[int], np.ndarray]]:
     """(length, places in ``words``, matrix of code points), a few rows of
     long words at a time."""
@@ -151,17 +136,13 @@ def _shard(length: int) -> int:
     return min(length, SHARDS)
 
 
-def _fill(sizes: dict[int, int]):
-    """(word) to (shard, block, bits)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, _, points in _by_length(batch.column(0).to_pylist()):
-                h = _mix((points * _powers(n)).sum(axis=1, dtype=np.uint64))
-                block, bits = _block(h, sizes[_shard(n)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), _shard(n), np.int32)), pa.array(block.astype(np.int32)), pa.array(bits.view(np.int64))],
-                    names=["shard", "block", "bits"])
-    return run
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word) to (shard, h)."""
+    for batch in batches:
+        for n, _, points in _by_length(batch.column(0).to_pylist()):
+            h = bloom.mix((points * _powers(n)).sum(axis=1, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), _shard(n), np.int32)), pa.array(h.view(np.int64))],
+                                             names=["shard", "h"])
 
 
 def bloom_filters(words: DataFrame) -> dict[int, np.ndarray]:
@@ -169,22 +150,12 @@ def bloom_filters(words: DataFrame) -> dict[int, np.ndarray]:
     shard at most."""
     shard = F.least(F.length("word"), F.lit(SHARDS))
     counts = {r.shard: r.n for r in words.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = min(BITS / 64, MAX_BLOCKS / max(sum(counts.values()), 1))
-    sizes = {s: int(n * share) + 1 for s, n in counts.items()}
-    rows = words.select("word").mapInArrow(_fill(sizes), "shard int, block int, bits long")
-    filled = rows.groupBy("shard", "block").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = {s: np.zeros(n, np.uint64) for s, n in sizes.items()}
-    at, block, bits = (filled.column(c).to_numpy() for c in ("shard", "block", "bits"))
-    for s in out:
-        mine = at == s
-        out[s][block[mine]] = bits[mine].view(np.uint64)
-    return out
+    return bloom.fill(words.select("word").mapInArrow(_hash, "shard int, h long"), bloom.sizes(counts, MAX_BLOCKS))
 
 
 # -------------------------------------------------------------------- probes
 def _passes(h: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    block, bits = _block(_mix(h), len(blocks))
-    return blocks[block] & bits == bits
+    return bloom.contains(blocks, bloom.mix(h))
 
 
 def edits(words: list[str], filters: dict[int, np.ndarray], letters: np.ndarray) -> Iterator[tuple[list[int], list[str]]]:
