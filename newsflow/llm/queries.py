@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (ann_forest, bpe, chat_format, filter_audit, langid, line_dedup, mixing, sharding, simhash, spelling,
-               suffix_dedup, topk_covertree)
+               substring_dedup, suffix_dedup, topk_covertree)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -227,3 +227,39 @@ walk AS (
 SELECT f.word, f.form, w.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
 FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
 """
+
+
+@register
+def op13_substring_dedup(spark, sf_dir):
+    """All words in 20-word windows that also start earlier, removed."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.remove_repeats(docs, "text", "doc_id", window=20)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (
+  SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM worded)),
+firsts AS (
+  SELECT win, min({'doc': doc_id, 'at': i}) AS least FROM places WHERE win IS NOT NULL GROUP BY win),
+marked AS (
+  SELECT p.doc_id, p.i, p.word, coalesce(f.least <> {'doc': p.doc_id, 'at': p.i}, false) AS later
+  FROM places p LEFT JOIN firsts f ON f.win = p.win),
+cut AS (
+  SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM marked),
+edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM cut),
+per_doc AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM edges GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.n_words, 0) AS n_words, coalesce(p.n_removed, 0) AS n_removed,
+       coalesce(p.n_spans, 0) AS n_spans, sha256(coalesce(p.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id
+"""
