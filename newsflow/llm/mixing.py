@@ -98,7 +98,8 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
             break
         capped = r[0]
         s = max(s, (budget - (r[1] or 0)) / r[2])
-    return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), ratio * s), F.lit(0.0)))
+    # least() skips NULL: a cell without tokens has no ratio
+    return cells.withColumn("probability", F.when(ratio.isNotNull(), F.least(F.lit(1.0), ratio * s)).otherwise(0.0))
 
 
 def mix(docs: DataFrame, dims: list[str], budget_share: float, id_col: str = "doc_id", text_col: str = "text",
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, dims: list[str], budget_share: float, id_col: str = "do
     a share of all tokens."""
     tokens, probability, taken = out
     keyed = docs.withColumn(tokens, word_count(text_col))
-    keys = [f"_d{i}" for i in range(len(dims))]
+    keys = fresh(keyed, *[f"d{i}" for i in range(len(dims))])
     cells = materialize(keyed.groupBy(*[F.col(d).alias(k) for d, k in zip(dims, keys)])
                         .agg(F.sum(tokens).alias("tokens")), "cells")
     size = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()

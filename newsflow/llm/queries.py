@@ -91,11 +91,13 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def shape_topic(text: str = "text"):
-    """Stand-in topic: what a text looks like."""
+    """Stand-in topic: what a text looks like. Without words it is blank, with
+    a bar to every four words or more a table, with a mark (no letter, digit
+    or space) to every word or more marked; the rest is told by its length."""
     words = mixing.word_count(text)
     marks = F.regexp_count(F.col(text), F.lit(r"[^\p{L}\p{N}\s]"))
     return (F.when(words == 0, "blank").when(F.regexp_count(F.col(text), F.lit(r"\|")) * 4 > words, "table")
-            .when(marks > words, "marked").when(words < 100, "short").when(words < 1000, "article").otherwise("long"))
+            .when(marks >= words, "marked").when(words < 100, "short").when(words < 1000, "article").otherwise("long"))
 
 
 MIX_DIMS = ["source", "lang", "topic"]

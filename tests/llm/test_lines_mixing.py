@@ -195,3 +195,29 @@ def test_topics(spark):
     texts = [None, " ", "a | b | c", "a! b? c. d, e.", "just words here", "w " * 200, "w " * 2000]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(shape_topic().alias("t"))
     assert [r.t for r in df.collect()] == ["blank", "blank", "table", "marked", "short", "article", "long"]
+
+
+def test_no_tokens_no_probability_and_clashing_names(spark):
+    df = spark.createDataFrame(mixed_docs(200), "doc_id long, text string, source string, lang string, topic string, probability string")
+    df = df.withColumns({"d0": F.lit("mine"), "_d1": F.col("doc_id"), "D2": F.lit(7)})
+    got = mixing.mix(df, MIX_DIMS, 0.5, out=("n", "p", "yes"))
+    assert got.columns == [*df.columns, "n", "p", "yes"]
+    rows = got.collect()
+    assert {(r.d0, r.D2) for r in rows} == {("mine", 7)} and all(r["_d1"] == r.doc_id for r in rows)
+    blank = {(r.source, r.lang, r.topic) for r in rows} - {(r.source, r.lang, r.topic) for r in rows if r.n}
+    for r in rows:
+        if (r.source, r.lang, r.topic) in blank:
+            assert r.p == 0.0 and not r.yes
+    alone = df.where(F.col("doc_id") < 3).withColumns({"text": F.when(F.col("doc_id") == 0, " "), "source": F.col("doc_id").cast("string")})
+    assert {(r.n, r.p, r.yes) for r in mixing.mix(alone, MIX_DIMS, 0.5, out=("n", "p", "yes")).collect()} == {(0, 0.0, False)}
+
+
+def test_mix_query_with_blank_texts(spark, tmp_path):
+    from newsflow.llm import queries as Q
+    rows = [(i, t, "s%d" % (i % 2), "en") for i, t in enumerate([None, " ", "", *["some words here"] * 40])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["op9_source_mix"](spark, str(tmp_path)).collect()
+    assert len(got) == 43
+    for r in got:
+        if r.doc_id < 3:
+            assert (r.topic, r.n_tokens, r.probability, r.taken) == ("blank", 0, 0.0, False)
