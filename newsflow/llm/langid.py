@@ -10,12 +10,16 @@ row of per-language weights per gram and divides by their number, over the
 whole text, in windows of bounded size.
 
 Training uses a bounded, documented sample: at most ``per_class`` labelled
-documents of each language, those with the least hash of their id, whole
-texts; gram counts are made in tasks and only they reach the driver. A part
+documents of each language, those with the least hash of their id (of those
+with one id, the least hash of the text; equal texts of one id count once),
+whole texts; gram counts are made in tasks and only they reach the driver. A part
 of the sample is kept from the descent to calibrate: one temperature is
 fitted to it by likelihood, and the rejection threshold is the
 ``reject_quantile`` quantile of the calibrated confidence in its true
-languages, so about that share of proper documents would be rejected.
+languages, so about that share of proper documents would be rejected, but
+never more than a quarter above an even guess (``1 / languages + 0.25``): a
+text that the model is that sure of is not rejected, whatever the sample
+says.
 
 Defined results: a text that is NULL or has no letter gets ``und`` with
 score 0 and is rejected; ties go to the language that sorts first; rows,
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8_of, worker_cache
+from .common import fresh, utf8_of, worker_cache
 
 BUCKETS = 1 << 15
 DIM = 12
@@ -175,39 +179,37 @@ def calibrate(logits: np.ndarray, y: np.ndarray, reject_quantile: float) -> tupl
     return t, float(min(np.quantile(sure, reject_quantile), 1 / logits.shape[1] + 0.25))
 
 
-def _count_batches(text_col: str, lang_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out = batch.column(text_col), []
-            for i in range(len(texts)):
-                bucket, count = gram_counts(texts[i].as_py() or "")
-                out.append((bucket.astype("<i4").tobytes(), count.astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_h"), batch.column(lang_col).cast(pa.string()), pa.array([o[0] for o in out], pa.binary()),
-                 pa.array([o[1] for o in out], pa.binary())], names=["h", "lang", "bucket", "count"])
-    return run
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, out = batch.column("text"), []
+        for i in range(len(texts)):
+            bucket, count = gram_counts(texts[i].as_py() or "")
+            out.append((bucket.astype("<i4").tobytes(), count.astype("<f4").tobytes()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("h"), batch.column("t"), batch.column("lang"), pa.array([o[0] for o in out], pa.binary()),
+             pa.array([o[1] for o in out], pa.binary())], names=["h", "t", "lang", "bucket", "count"])
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_class: int = PER_CLASS, reject_quantile: float = 0.001) -> Model:
     """Fit a model to a bounded sample of labelled documents."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(17)))
-    # the sample is named by hash thresholds per language, found on two narrow columns
-    nth = Window.partitionBy(lang_col).orderBy("_h")
-    last = (rows.select(lang_col, "_h").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= per_class)
-            .groupBy(lang_col).agg(F.max("_h").alias("_last")).limit(MAX_CLASSES + 1).collect())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.xxhash64(text_col).alias("t"))
+    # the sample is named by hash thresholds per language, found on narrow columns
+    nth = Window.partitionBy("lang").orderBy("h", "t")
+    last = (rows.select("lang", "h", "t").withColumn("n", F.dense_rank().over(nth)).where(F.col("n") <= per_class)
+            .groupBy("lang").agg(F.max("h").alias("h"), F.max_by("t", F.col("n")).alias("t")).limit(MAX_CLASSES + 1).collect())
     if len(last) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} languages")
     if not last:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     taken = F.lit(False)
     for r in last:
-        taken = taken | ((F.col(lang_col) == r[0]) & (F.col("_h") <= r[1]))
-    sample = (rows.where(taken).select(id_col, text_col, lang_col, "_h")
-              .mapInArrow(_count_batches(text_col, lang_col), "h long, lang string, bucket binary, count binary")
-              .limit(per_class * len(last)).collect())
-    sample.sort(key=lambda r: (r.h, r.lang))
+        taken = taken | ((F.col("lang") == r.lang) & ((F.col("h") < r.h) | ((F.col("h") == r.h) & (F.col("t") <= r.t))))
+    sample = (rows.where(taken).dropDuplicates(["lang", "h", "t"])
+              .mapInArrow(_count_batches, "h long, t long, lang string, bucket binary, count binary").collect())
+    sample.sort(key=lambda r: (r.h, r.t, r.lang))
     classes = sorted({r.lang for r in sample})
     x = [(np.frombuffer(r.bucket, "<i4"), np.frombuffer(r["count"], "<f4")) for r in sample]
     y = np.array([classes.index(r.lang) for r in sample])
@@ -249,7 +251,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """Adds the struct ``out``: lang_pred, score (calibrated confidence, 0 to
     1), rejected. The model is broadcast; its size is BUCKETS x languages."""
     spark: SparkSession = docs.sparkSession
-    letters = "_has_letter_" + out
+    letters, = fresh(docs, "has_letter")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType())]))])

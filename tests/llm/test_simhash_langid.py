@@ -168,3 +168,16 @@ def test_window_edges_do_not_change_the_sums(monkeypatch):
         sums, counts = langid.gram_sums(data, offsets, table)
         assert (counts == whole[1]).all()
         np.testing.assert_allclose(sums, whole[0], atol=1e-6)
+
+
+def test_a_hot_id_and_clashing_names(spark):
+    words = {"en": "the cat and the dog went out", "de": "der hund und die katze gingen raus", "fr": "le chat et le chien sont sortis"}
+    rows = [(1, f"{words['en']} {i}", "en", False) for i in range(300)] + [(1, words["en"], "en", True)] * 200
+    rows += [(i, f"{words[x]} {i}", x, True) for i in range(2, 60) for x in ("de", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, has_letter boolean")
+    df = df.withColumn("_has_letter_lang_id", F.col("doc_id"))
+    models = [langid.train(d, per_class=40) for d in (df, df.repartition(7, "text"))]
+    assert models[0].classes == ["de", "en", "fr"] and (models[0].weights == models[1].weights).all()
+    got = langid.identify(df, models[0])
+    assert got.columns == [*df.columns, "lang_id"]
+    assert all(r.lang_id.lang_pred == r.lang and r["_has_letter_lang_id"] == r.doc_id for r in got.collect())
