@@ -11,6 +11,8 @@ aggregates over exploded tokens.
 * ``keywords_mmr`` (M4): greedy maximal-marginal-relevance re-ranking of
   each document's candidates, a fold over an array of at most
   ``candidates`` elements.
+* ``keywords_maxsum`` (M3/M4): the ``top_n`` candidates that are least alike
+  in sum, exactly, by meeting in the middle (``operators.maxsum``).
 
 Scale notes: documents are dealt by id once and their tokens counted there
 (a count per document and token needs no shuffle of token rows). The counts
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, ngrams_1_2, sentences, tokens
 from ..session import materialize
+from .maxsum import least_alike
 
 
 def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: str) -> DataFrame:
@@ -156,3 +159,19 @@ def keywords_mmr(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = F.aggregate(F.sequence(F.lit(1), F.lit(top_n)), empty, pick)
     out = cand.select(id_col, F.posexplode(picked).alias("_p", "c"))
     return out.select(id_col, (F.col("_p") + 1).cast("int").alias("rank"), F.col("c.gram").alias("gram"), F.col("c.score").alias("score"))
+
+
+def keywords_maxsum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    candidates: int = 20, top_n: int = 10, stop_words=None) -> DataFrame:
+    """M3/M4: of the ``candidates`` best TF-IDF grams of a document the
+    ``top_n`` whose pairwise similarities (token Jaccard) have the least sum
+    (of equal sums the set whose ranks come first); all of them where there
+    are fewer. (id, rank, gram, score, alike): in TF-IDF order; alike is the
+    sum, which is the same in all rows of a document."""
+    cand = keywords_tfidf(docs, id_col, text_col, top_n=candidates, stop_words=stop_words)
+    cand = cand.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "gram", "score"))).alias("_c"))
+    chosen = least_alike(cand, F.transform("_c", lambda c: F.split(c["gram"], " ")), top_n, "_places", "_alike")
+    out = chosen.select(id_col, "_c", F.posexplode("_places").alias("_p", "_at"), "_alike")
+    best = F.element_at("_c", F.col("_at") + 1)
+    return out.select(id_col, (F.col("_p") + 1).cast("int").alias("rank"), best["gram"].alias("gram"),
+                      best["score"].alias("score"), F.col("_alike").alias("alike"))

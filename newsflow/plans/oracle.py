@@ -559,6 +559,53 @@ def _mmr_sql(candidates: int = 20, top_n: int = 10, diversity: float = 0.7) -> s
 
 
 SQL["keywords_mmr"] = _mmr_sql()
+
+
+def _maxsum_sql(candidates: int = 20, top_n: int = 10) -> str:
+    """Every choice, as a subset (bit mask, first rank highest) of the first
+    half of the candidates with one of the second; similarities in millionths."""
+    base = SQL["keywords_tfidf"].replace("rank <= 10", f"rank <= {candidates}")
+    h, every = candidates // 2, 1 << candidates
+    across = " + ".join(f"((a.mask >> {h - i}) & 1) * b.x{i}" for i in range(1, h + 1))
+    return with_(
+        f"cand AS MATERIALIZED (SELECT *, list_distinct(string_split(gram, ' ')) AS toks FROM ({base}))",
+        "n AS (SELECT doc_id, count(*) AS n FROM cand GROUP BY doc_id)",
+        """sim AS MATERIALIZED (SELECT * FROM (SELECT x.doc_id, x.rank AS i, y.rank AS j,
+             CAST((2000000 * len(list_intersect(x.toks, y.toks)) + len(list_distinct(list_concat(x.toks, y.toks))))
+                  // (2 * len(list_distinct(list_concat(x.toks, y.toks)))) AS BIGINT) AS s
+           FROM cand x JOIN cand y ON y.doc_id = x.doc_id AND y.rank > x.rank) WHERE s > 0)""",
+        f"masks AS (SELECT CAST(unnest(range({1 << h})) AS BIGINT) AS mask)",
+        f"places AS (SELECT mask, i FROM masks, (SELECT unnest(range(1, {h + 1})) AS i) WHERE (mask >> ({h} - i)) & 1 = 1)",
+        # a place that a short list lacks is in no mask
+        f"""halves AS (SELECT n.doc_id, p.part, m.mask, bit_count(m.mask) AS size FROM n CROSS JOIN (VALUES (0), (1)) p(part) CROSS JOIN masks m
+           WHERE n.n >= {top_n} AND (m.mask & ((1 << greatest(0, least({h}, {h} - (n.n - p.part * {h})))) - 1)) = 0)""",
+        f"""inside AS (SELECT s.doc_id, (s.i - 1) // {h} AS part, a.mask, CAST(sum(s.s) AS BIGINT) AS own
+           FROM sim s JOIN places a ON a.i = (s.i - 1) % {h} + 1 JOIN places b ON b.i = (s.j - 1) % {h} + 1 AND b.mask = a.mask
+           WHERE (s.i - 1) // {h} = (s.j - 1) // {h} GROUP BY ALL)""",
+        f"""beyond AS (SELECT s.doc_id, b.mask, {", ".join(f"CAST(coalesce(sum(s.s) FILTER (s.i = {i}), 0) AS BIGINT) AS x{i}" for i in range(1, h + 1))}
+           FROM sim s JOIN places b ON b.i = s.j - {h} WHERE s.i <= {h} GROUP BY ALL)""",
+        # of subsets that cost the same whatever is chosen in the other half the first one is enough
+        f"""meets AS (SELECT doc_id, bit_or(1 << ({h} - i)) AS bits FROM sim WHERE i <= {h} AND j > {h} GROUP BY doc_id)""",
+        """lefts AS (SELECT v.doc_id, max(v.mask) AS mask, v.size, coalesce(o.own, 0) AS own FROM halves v
+           LEFT JOIN inside o ON o.doc_id = v.doc_id AND o.part = v.part AND o.mask = v.mask
+           LEFT JOIN meets m ON m.doc_id = v.doc_id
+           WHERE v.part = 0 GROUP BY v.doc_id, v.size, coalesce(o.own, 0), v.mask & coalesce(m.bits, 0))""",
+        f"""rights AS (SELECT doc_id, max(mask) AS mask, size, own, {", ".join(f"x{i}" for i in range(1, h + 1))} FROM (
+             SELECT v.doc_id, v.mask, v.size, coalesce(o.own, 0) AS own, {", ".join(f"coalesce(x.x{i}, 0) AS x{i}" for i in range(1, h + 1))}
+             FROM halves v LEFT JOIN inside o ON o.doc_id = v.doc_id AND o.part = v.part AND o.mask = v.mask
+             LEFT JOIN beyond x ON x.doc_id = v.doc_id AND x.mask = v.mask WHERE v.part = 1) GROUP BY ALL)""",
+        f"""choices AS (SELECT a.doc_id, min((a.own + b.own + {across}) * {every} + ({every - 1} - (a.mask * {1 << h} + b.mask))) AS best
+           FROM lefts a JOIN rights b ON b.doc_id = a.doc_id AND b.size = {top_n} - a.size GROUP BY a.doc_id)""",
+        f"""picked AS (SELECT c.*, n.n, x.best // {every} AS total, {every - 1} - x.best % {every} AS mask
+           FROM cand c JOIN n USING (doc_id) LEFT JOIN choices x USING (doc_id))""",
+        "alone AS (SELECT doc_id, sum(s) AS total FROM sim GROUP BY doc_id)") + f"""
+SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.rank) AS INTEGER) AS rank, p.gram, p.score,
+       CAST(CASE WHEN p.n <= {top_n} THEN coalesce(a.total, 0) ELSE p.total END AS DOUBLE) / 1000000 AS alike
+FROM picked p LEFT JOIN alone a ON a.doc_id = p.doc_id
+WHERE p.n <= {top_n} OR CAST(p.mask >> ({candidates} - p.rank) AS BIGINT) & 1 = 1"""
+
+
+SQL["keywords_maxsum"] = _maxsum_sql()
 SQL["summarize"] = with_(SUMMARY) + """
 SELECT b.doc_id, b.pos, s.sentence, b.score FROM sbest b JOIN sents s ON s.doc_id = b.doc_id AND s.pos = b.pos"""
 
@@ -616,4 +663,5 @@ SELECT n.url_hash, n.url, n.title, n.source, n.published_date, k.keywords,
        md5(n.url_hash || ':summary') || '.out' AS summary_location
 FROM newest n LEFT JOIN kws k ON k.url_hash = n.url_hash"""
 SQL["stream_result_merge"] = SQL["metadata_merge"]
+SQL["stream_results_early"] = SQL["metadata_merge"]
 SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"
