@@ -33,8 +33,8 @@ each level, and their texts are shuffled once, to meet their marks.
 Order and defined results: documents are ordered by id (an integer), those
 without an id come last, and documents of one id by a hash of their text; rows
 repeated as a whole are cut alike. A NULL or empty text has no words, and one
-with fewer words than the window loses none; texts are worked on in pieces of
-``PIECE`` words; an empty table gives no rows. Other columns pass through,
+with fewer words than the window loses none; texts are worked on ``PIECE``
+words at a time, short ones together; an empty table gives no rows. Other columns pass through,
 but for those named like the three that are added.
 """
 
@@ -44,7 +44,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,35 +51,65 @@ from pyspark.sql import types as T
 from ..session import materialize
 from . import bloom
 from .common import fresh, key_runs, utf8_of, worker_cache
-from .words import word_chunks
+from .words import SPACE, word_chunks
 
 WINDOW = 20
 START = 5
-PIECE = 1 << 19          # windows of a text worked on at once
+PIECE = 1 << 18          # windows worked on at once
 MAX_BLOCKS = 1 << 22
 GROUP = 20_000           # places of a leader compared in one task
 HOT = 100_000            # leaders that may be dealt over blocks
-WORDS_KEPT = 1 << 19     # different words whose hashes a worker keeps
+BYTES = 1 << 20          # of texts hashed at once
 OUT_ROWS = 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --------------------------------------------------------------------- names
-class _Hashes(dict):
-    """Hash of a word, made once per worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    known = worker_cache("substrings").setdefault("words", _Hashes())
-    parts = [np.array([known[w] for w in words], np.uint64) for words in word_chunks(data)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+_RANDOM = np.random.default_rng(13)
+_TABLE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = int(_RANDOM.integers(1 << 62, 1 << 63)) | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, modulo 2 ** 64."""
+    kept = worker_cache("substrings")
+    if len(kept.get("powers", ((), ()))[0]) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        kept["powers"] = tuple(np.r_[np.uint64(1), np.multiply.accumulate(np.full(size - 1, b, np.uint64))]
+                               for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return kept["powers"]
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of texts that lie end to end, words of each
+    text): a polynomial over the bytes of a word, from prefix sums over all
+    of them, brought back to its first byte."""
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]      # words end where texts do
+    first[inner] = inside[inner]
+    last[inner - 1] = inside[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[:len(data)], out=sums[1:])
+    words = bloom.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
+    return words, np.diff(np.searchsorted(start, offsets))
+
+
+def _long_text(data: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        cut = SPACE.search(data, at + BYTES)
+        end = cut.start() if cut else len(data)
+        parts.append(hash_words(np.frombuffer(data, np.uint8)[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(parts)
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -109,14 +138,13 @@ def leaders(names: np.ndarray, span: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def survivors(words: np.ndarray, window: int, start: int, filters: dict[int, np.ndarray], length: int):
-    """The windows of a piece that are candidates at ``length``: (window,
-    place and name of its run of that length, name of its leader).
-    ``filters`` are the repeated names of the lengths before."""
+def survivors(words: np.ndarray, mine: np.ndarray, window: int, start: int, filters: dict[int, np.ndarray], length: int):
+    """Of the windows ``mine`` of a block those that are candidates at
+    ``length``: (window, place and name of its run of that length, name of its
+    leader). ``filters`` are the repeated names of the lengths before."""
     names, size = first_names(words, start), start
-    at = leaders(names, window - start + 1)
+    at = leaders(names, window - start + 1)[mine]
     lead = names[at]
-    mine = np.arange(len(at))
     while True:
         if size in filters:
             passed = bloom.contains(filters[size], names[at])
@@ -131,34 +159,40 @@ def survivors(words: np.ndarray, window: int, start: int, filters: dict[int, np.
             at = np.where(at + size <= mine + window, at, np.maximum(at - size // 2, mine))
 
 
-def pieces(words: np.ndarray, window: int, piece: int) -> Iterator[tuple[int, np.ndarray]]:
-    for lo in range(0, len(words) - window + 1, piece):
-        yield lo, words[lo:lo + piece + window - 1]
-
-
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes]]:
-    data, offsets = utf8_of(batch.column(column))
-    for i in range(batch.num_rows):
-        if offsets[i] < offsets[i + 1]:
-            yield i, data[offsets[i]:offsets[i + 1]].tobytes()
+def blocks(column: pa.Array, window: int, piece: int):
+    """Texts laid end to end, some megabytes and then ``piece`` words at a
+    time: (words, windows inside a text, row of the text and number of the
+    window in it)."""
+    data, offsets = utf8_of(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BYTES, side="right")) - 1)
+        some = data[offsets[i]:offsets[j]]
+        if len(some) > BYTES:
+            words = _long_text(some.tobytes())
+            sizes = np.array([len(words)])
+        else:
+            words, sizes = hash_words(some, offsets[i:j + 1] - offsets[i])
+        begin, count = np.cumsum(sizes) - sizes, np.maximum(sizes - window + 1, 0)
+        text = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        mine = begin[text] + number
+        for lo in range(0, len(words) - window + 1, piece):
+            own = slice(*np.searchsorted(mine, (lo, lo + piece)))
+            if own.start < own.stop:
+                yield words[lo:lo + piece + window - 1], mine[own] - lo, text[own] + i, number[own]
+        i = j
 
 
 def _count(shared, window: int, start: int, length: int, piece: int):
     """(text) to the names of its candidates at ``length``, one for each place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, n = [], 0
-            for _, text in _texts(batch, 0):
-                for _, some in pieces(word_hashes(text), window, piece):
-                    _, at, names, _ = survivors(some, window, start, shared.value, length)
-                    names = names[np.unique(at, return_index=True)[1]]
-                    held.append(names)
-                    n += len(names)
-                    if n >= OUT_ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
-                        held, n = [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
+            for words, mine, _, _ in blocks(batch.column(0), window, piece):
+                _, at, names, _ = survivors(words, mine, window, start, shared.value, length)
+                names = names[np.unique(at, return_index=True)[1]]
+                for lo in range(0, len(names), OUT_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lo:lo + OUT_ROWS].view(np.int64))], names=["h"])
     return run
 
 
@@ -167,48 +201,40 @@ def _windows(shared, window: int, start: int, piece: int):
     that one leader leads: (deal, leader, no_id, id, tie, first, names).
     leader is given for hot ones alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, hot, blocks = shared.value
+        filters, hot, parts = shared.value
         for batch in batches:
-            doc, first, lead, sizes, names, held = [], [], [], [], [], 0
-
-            def out():
-                d, h = np.concatenate(doc), np.concatenate(lead)
-                ids = [batch.column(c).take(pa.array(d)) for c in range(3)]
-                deal = h
-                block = np.zeros(len(h), bool)
-                if len(hot):
-                    place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    block = hot[place] == h
-                    by = bloom.mix(ids[1].to_numpy().view(np.uint64) * _ODD ^ ids[2].to_numpy().view(np.uint64))
-                    deal = np.where(block, bloom.mix(h + _ODD * (1 + by % blocks[place])), h)
-                ends = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32) * 8
-                packed = pa.Array.from_buffers(pa.binary(), len(d), [
-                    None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(names).tobytes())])
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(deal.view(np.int64)), pa.array(h.view(np.int64), mask=~block), *ids,
-                     pa.array(np.concatenate(first).astype(np.int32)), packed],
-                    names=["deal", "leader", "no_id", "id", "tie", "first", "names"])
-
-            for i, text in _texts(batch, 3):
-                for lo, some in pieces(word_hashes(text), window, piece):
-                    mine, _, name, led = survivors(some, window, start, filters, window)
-                    if not len(mine):
-                        continue
-                    cut = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1] + 1) | (led[1:] != led[:-1])])
-                    doc.append(np.full(len(cut), i))
-                    first.append(mine[cut] + lo)
-                    lead.append(led[cut])
-                    sizes.append(np.diff(np.r_[cut, len(mine)]))
-                    names.append(name)
-                    held += len(cut)
-                    if held >= OUT_ROWS:
-                        yield out()
-                        doc, first, lead, sizes, names, held = [], [], [], [], [], 0
-            if held:
-                yield out()
+            for words, mine, row, number in blocks(batch.column(3), window, piece):
+                left, _, names, lead = survivors(words, mine, window, start, filters, window)
+                if not len(left):
+                    continue
+                # where in ``mine`` the candidates are: both are sorted
+                at = np.searchsorted(mine, left)
+                cut = np.flatnonzero(np.r_[True, (left[1:] != left[:-1] + 1) | (lead[1:] != lead[:-1])])
+                ends = np.r_[cut, len(left)]
+                for lo in range(0, len(cut), OUT_ROWS):
+                    some = cut[lo:lo + OUT_ROWS]
+                    yield _window_rows(batch, row[at[some]], number[at[some]], lead[some],
+                                       ends[lo:lo + len(some) + 1], names, hot, parts)
     return run
 
 
+def _window_rows(batch, row, first, lead, ends, names, hot, parts) -> pa.RecordBatch:
+    ids = [batch.column(c).take(pa.array(row)) for c in range(3)]
+    deal, dealt = lead, np.zeros(len(lead), bool)
+    if len(hot):
+        place = np.minimum(np.searchsorted(hot, lead), len(hot) - 1)
+        dealt = hot[place] == lead
+        by = bloom.mix(ids[1].to_numpy().view(np.uint64) * _ODD ^ ids[2].to_numpy().view(np.uint64))
+        deal = np.where(dealt, bloom.mix(lead + _ODD * (1 + by % parts[place])), lead)
+    packed = pa.Array.from_buffers(pa.binary(), len(row), [
+        None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32).tobytes()),
+        pa.py_buffer(names[ends[0]:ends[-1]].tobytes())])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(deal.view(np.int64)), pa.array(lead.view(np.int64), mask=~dealt), *ids,
+         pa.array(first.astype(np.int32)), packed],
+        names=["deal", "leader", "no_id", "id", "tie", "first", "names"])
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole runs of ``deal`` to (no_id, id, tie, first, n, leader, name): runs
     of n windows that also start earlier and, of dealt leaders, the first
@@ -303,7 +329,7 @@ def repeated_windows(docs: DataFrame, text_col: str, id_col: str, window: int =
         F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     empty = "no_id boolean, id long, tie long, first int, n int"
     filters: dict[int, np.ndarray] = {}
-    hot, blocks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    hot, parts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     length = start
     while length < window:
         counted = rows.select("text").mapInArrow(_count(spark.sparkContext.broadcast(filters), window, start, length, PIECE), "h long")
@@ -315,10 +341,10 @@ def repeated_windows(docs: DataFrame, text_col: str, id_col: str, window: int =
             many = repeated.where(F.col("n") > GROUP).orderBy(F.desc("n")).limit(HOT).toArrow()
             keys = many.column("h").to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            hot, blocks = keys[order], (many.column("n").to_numpy()[order] // GROUP + 1).astype(np.uint64)
+            hot, parts = keys[order], (many.column("n").to_numpy()[order] // GROUP + 1).astype(np.uint64)
         filters = {length: bloom.fill(repeated.select(F.lit(0).alias("shard"), "h"), bloom.sizes({0: n}, MAX_BLOCKS))[0]}
         length *= 2
-    shared = spark.sparkContext.broadcast((filters, hot, blocks))
+    shared = spark.sparkContext.broadcast((filters, hot, parts))
     dealt = rows.mapInArrow(_windows(shared, window, start, PIECE),
                             "deal long, leader long, no_id boolean, id long, tie long, first int, names binary")
     marks = (dealt.repartition("deal").sortWithinPartitions("deal")
