@@ -2,48 +2,107 @@
 
 ``bfs_frontier`` is level-synchronous breadth-first search over an edge
 table. Only the newest level (the frontier) meets the edges; what it reaches
-is anti-joined with everything seen (visited, stored, redirect targets) and
-reduced to one row per URL hash. The seed's topic tag travels with every
-descendant; when several parents reach a URL in the same level, the least
-seed position wins, which is first-in-first-out order of a crawler's queue.
-The visit budget counts distinct visits and is cut inside a level by
-(seed_pos, url_hash).
-
-Several levels run in one job (``levels_per_job``), each from the level
-before it; at the end of the job every URL keeps its least (depth,
-seed_pos). The levels of a job are written as one table under the session's
-shared checkpoint folder, so a plan spans one job's levels, a lost executor
-recomputes at most those, and the visited set is the union of these tables,
-compacted as they grow in number. The driver receives row counts only.
-
-Scale: edges are written once, clustered by source hash; a level's join
-with them is left to AQE, which broadcasts a small frontier after measuring
-it (edges are then scanned in place, so a hub's edges are not gathered in
-one task) or shuffles with skew splitting. The per-URL reductions are
-``min_by`` aggregates over fixed-size values with partial aggregation.
-Only the budget cut (at most ``max_visits`` rows per partition) passes
-through a single ordered task.
+is reduced to one row per URL hash and anti-joined with everything known
+(visited, or target of a visited redirect). The seed that a URL is reached
+from travels with it as a number that follows (seed position, tag); when
+several parents reach a URL in the same level, the least seed wins, which is
+first-in-first-out order of a crawler's queue. The visit budget counts
+distinct visits and is cut inside a level by (seed_pos, url_hash).
+
+Tables: links (one row per source: what it links to, and its redirect
+targets) are bucketed by source hash, visits by URL hash, so a level joins its
+frontier with the links and its new URLs with all that is known bucket by
+bucket: neither the links nor the visits are shuffled in any level. The one
+exchange of a level carries (URL hash, number), reduced before it; the number
+holds kind, level and seed in this order, so the reduction is the minimum of a
+long. URLs, tags and positions meet the hashes once, at the end.
+
+A job takes several levels, as a row stream: a level's rows give out
+themselves and, the newest ones, their links, so every level reads the one
+before it once: two joins and one exchange to a level. Jobs begin with one
+level and double while they find at most ``LIGHT`` rows; a job that finds more
+is followed by one of a single level, so that a walk that grows is cut at its
+budget. Every ``COMPACT_EVERY`` jobs the known hashes are written as one file
+per bucket.
+
+The tables are external ones under the session's shared checkpoint folder,
+dropped from the catalog at the end: a lost executor costs one job at most.
+Bucketed joins need no statistics; set ``spark.sql.shuffle.partitions``, which
+is also the number of buckets, for the size of the largest level. The driver
+receives counts only. Only the budget cut (at most ``max_visits`` rows per
+partition) passes through a single ordered task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
+
+LIGHT = 100_000        # visits of a job up to which the next one takes twice its levels
+COMPACT_EVERY = 3      # jobs
+LEVEL, BARRED, REACHED = 1 << 47, 1 << 61, 1 << 62     # in a mark, above the seed
+
+
+class _Bucketed:
+    """An external table bucketed by a column, and as many partitions of a
+    shuffle by it."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str, buckets: int, partition: str | None = None):
+        self.spark, self.key, self.buckets, self.partition = spark, key, buckets, partition
+        self.path = scratch_path(spark, name)
+        self.name = f"newsflow_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.buckets, self.key)
+
+    def append(self, df: DataFrame) -> None:
+        """``df`` must already be dealt by the key."""
+        w = df.write.mode("append").option("path", self.path).bucketBy(self.buckets, self.key).sortBy(self.key)
+        (w.partitionBy(self.partition) if self.partition else w).saveAsTable(self.name)
 
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-def _least(df: DataFrame) -> DataFrame:
-    """One row per URL hash: the least (depth, seed_pos), then tag and URL."""
-    best = F.min(F.struct("depth", "seed_pos", "tag", "url"))
-    return df.groupBy("url_hash").agg(best.alias("_v")).select("url_hash", "_v.url", "_v.tag", "_v.seed_pos", "_v.depth")
+    def files(self, spark: SparkSession, schema) -> DataFrame:
+        """The rows without the table, which may be dropped."""
+        return spark.read.schema(schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def next_level(state: str, links: str, known: list[str]) -> str:
+    """SQL for one more level of (url_hash, mark, fresh), relations given by
+    name or in parentheses. mark is kind << 61 | level << 47 | seed; kinds are
+    visited, barred and reached, in this order, so the least mark of a hash
+    says what becomes of it: what is only reached is visited, and fresh. Fresh
+    rows that a table of known hashes has go."""
+    none = "CAST(array() AS ARRAY<STRING>)"
+    rows = (f"concat(array(named_struct('h', s.url_hash, 'm', s.mark)), "
+            f"transform(coalesce(l.dst_hashes, {none}), d -> named_struct('h', d, 'm', s.mark + {REACHED + LEVEL})), "
+            f"transform(coalesce(l.final_hashes, {none}), d -> named_struct('h', d, 'm', {BARRED})))")
+    anti = "".join(f" LEFT ANTI JOIN {k} k{i} ON r.url_hash = k{i}.url_hash AND r.fresh" for i, k in enumerate(known))
+    return f"""SELECT r.* FROM (
+  SELECT url_hash, if(m >= {REACHED}, m - {REACHED}, m) AS mark, m >= {REACHED} AS fresh FROM (
+    SELECT e.h AS url_hash, min(e.m) AS m FROM (
+      SELECT explode({rows}) AS e FROM {state} s LEFT JOIN {links} l ON s.url_hash = l.src_hash AND s.fresh)
+    GROUP BY e.h)) r{anti}"""
+
+
+def walk_sql(start: str, steps: int, links: str, known: list[str]) -> str:
+    """SQL for some levels from ``start``, each a name for the next one."""
+    levels = [f"s0 AS ({start})"] + [f"s{i + 1} AS ({next_level(f's{i}', links, known)})" for i in range(steps)]
+    return f"WITH {', '.join(levels)} SELECT * FROM s{steps}"
 
 
 def bfs_frontier(seeds: DataFrame, edges: DataFrame, seen: DataFrame | None = None,
                  max_visits: int | None = 500, max_depth: int | None = None,
-                 aliases: DataFrame | None = None, levels_per_job: int = 8,
-                 compact_every: int = 8) -> DataFrame:
+                 aliases: DataFrame | None = None, levels_per_job: int = 12) -> DataFrame:
     """(url_hash, url, tag, seed_pos, depth) of every visit.
 
     seeds: (tag, url, seed_pos); edges: (src_url, dst_url), URLs already
@@ -51,64 +110,87 @@ def bfs_frontier(seeds: DataFrame, edges: DataFrame, seen: DataFrame | None = No
     never visited and never expanded; aliases: optional (url, final_url),
     canonical: the redirect target of a visited URL counts as seen from the
     next level on (G3), while one that is reached in the same level, or
-    before, is visited as well.
+    before, is visited as well. levels_per_job: the most levels of a job
+    (they are one statement, and Spark's analyser gives up beyond some twenty).
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    ek = edges.select(F.md5("src_url").alias("src_hash"), F.col("dst_url").alias("url"),
-                      F.md5("dst_url").alias("url_hash")).distinct()
-    s0 = seeds.select(F.md5("url").alias("url_hash"), "url", "tag",
-                      F.col("seed_pos").cast("int").alias("seed_pos"), F.lit(0).alias("depth"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    # seeds in the order of (position, tag); an increasing id follows a sort
+    seeds = seeds.select("url", "tag", F.col("seed_pos").cast("int").alias("seed_pos"))
+    numbered = materialize(seeds.select("seed_pos", "tag").distinct().orderBy("seed_pos", "tag")
+                           .withColumn("seed", F.monotonically_increasing_id()), "bfs-seeds")
+    same = seeds["seed_pos"].eqNullSafe(numbered["seed_pos"]) & seeds["tag"].eqNullSafe(numbered["tag"])
+    first = seeds.join(numbered, same).select(F.md5("url").alias("url_hash"), "url", "seed")
+    pairs = edges.where(F.col("src_url").isNotNull() & F.col("dst_url").isNotNull()).select(
+        F.md5("src_url").alias("src_hash"), F.md5("dst_url").alias("url_hash"), F.col("dst_url").alias("url"))
     if seen is not None:
-        ek = ek.join(seen.select("url_hash"), "url_hash", "left_anti")
-        s0 = s0.join(seen.select("url_hash"), "url_hash", "left_anti")
-    ek = materialize(ek.repartition("src_hash").sortWithinPartitions("src_hash"), "bfs-edges")
-    final = None
+        pairs = pairs.join(seen.select("url_hash"), "url_hash", "left_anti")
+        first = first.join(seen.select("url_hash"), "url_hash", "left_anti")
+    pairs = materialize(pairs, "bfs-pairs")
+
+    # a chain of bucketed joins leaves adaptive execution nothing to adapt, and
+    # it would plan the rest of the chain anew after every level
+    chain = spark.newSession()
+    chain.conf.set("spark.sql.adaptive.enabled", "false")
+    chain.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    links = _Bucketed(chain, "bfs-links", "src_hash", buckets)
+    visits = _Bucketed(chain, "bfs-visits", "url_hash", buckets, "job")
+    tables, compacted, upto = [links, visits], None, -1
+    out_links = pairs.select("src_hash", F.col("url_hash").alias("dst"), F.lit(None).cast("string").alias("final"))
     if aliases is not None:
-        final = materialize(aliases.where(F.col("url") != F.col("final_url"))
-                            .select(F.md5("url").alias("src_hash"), F.md5("final_url").alias("url_hash")).distinct(), "bfs-aliases")
-        # a redirect takes effect level by level
-        levels_per_job = 1
-    visited = [materialize(_least(s0), "bfs-visits")]
-    barred: list[DataFrame] = []   # redirect targets of what was visited
-    frontier, depth = visited[0], 0
-    n_visited = n = frontier.count()
+        out_links = out_links.unionByName(aliases.where("url <> final_url").select(
+            F.md5("url").alias("src_hash"), F.lit(None).cast("string").alias("dst"), F.md5("final_url").alias("final")))
+    links.append(links.dealt(out_links).groupBy("src_hash").agg(F.collect_set("dst").alias("dst_hashes"),
+                                                                 F.collect_set("final").alias("final_hashes")))
+    level = F.shiftright("mark", 47).bitwiseAND(F.lit((1 << 14) - 1)).cast("int")
+    visited = F.col("mark") < BARRED
+
+    def write(state: DataFrame, job: int, base: int) -> None:
+        visits.append(state.select("url_hash", F.col("mark").bitwiseAND(F.lit(LEVEL - 1)).alias("seed"), visited.alias("visited"),
+                                   (level + base).alias("depth"), F.col("fresh"), F.lit(job).alias("job")))
+
+    def found(job: int, depth: int) -> tuple[int, int]:
+        """(rows that a job visited, those of them in its last level)."""
+        rows = visits.read().where((F.col("job") == job) & F.col("visited"))
+        return tuple(rows.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == depth)).first())
+
+    write(visits.dealt(first).groupBy("url_hash").agg(F.min("seed").alias("mark")).withColumn("fresh", F.lit(True)), 0, 0)
+    job = depth = 0
+    steps = 1
+    n_visited = n = found(0, 0)[0]
     while n and (max_depth is None or depth < max_depth) and (max_visits is None or n_visited < max_visits):
-        known = _union([v.select("url_hash") for v in visited] + barred)
-        if final is not None:
-            barred.append(materialize(final.join(frontier.select(F.col("url_hash").alias("src_hash")), "src_hash", "left_semi")
-                                      .select("url_hash"), "bfs-barred"))
-            known = known.unionByName(barred[-1])
-        steps = levels_per_job if max_depth is None else min(levels_per_job, max_depth - depth)
-        levels, last = [], frontier
-        for step in range(1, steps + 1):
-            reached = (last.select(F.col("url_hash").alias("src_hash"), "tag", "seed_pos").join(ek, "src_hash")
-                       .select("url_hash", "url", "tag", "seed_pos", F.lit(depth + step).alias("depth")))
-            # reduced before the shuffle by URL, which the anti join and the next level then share
-            last = _least(reached).join(known, "url_hash", "left_anti")
-            levels.append(last)
-        found = materialize(_least(_union(levels)) if steps > 1 else levels[0], "bfs-visits")
+        steps = min(steps, levels_per_job) if max_depth is None else min(steps, levels_per_job, max_depth - depth)
+        if job - upto > COMPACT_EVERY:
+            if compacted is not None:
+                compacted.drop()
+            compacted, upto = _Bucketed(chain, "bfs-known", "url_hash", buckets), job
+            tables.append(compacted)
+            compacted.append(visits.read().where(F.col("job") <= job).select("url_hash"))
+        known = [f"(SELECT url_hash FROM {visits.name} WHERE job > {upto})"] + ([] if compacted is None else [compacted.name])
+        start = (f"SELECT url_hash, seed AS mark, true AS fresh FROM {visits.name} "
+                 f"WHERE job = {job} AND visited AND depth = {depth}")
+        state = chain.sql(walk_sql(start, steps, links.name, known))
+        job += 1
+        # the frontier's own rows, of level 0, are there already
+        write(state.where(~visited | (level > 0)), job, depth)
         depth += steps
-        stats = found.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == depth)).first()
-        frontier, n = found.where(F.col("depth") == depth), stats[1]
-        n_visited += stats[0]
-        visited.append(found)
-        if len(visited) > compact_every:
-            visited = [materialize(_union(visited), "bfs-visits")]
-        if len(barred) > compact_every:
-            barred = [materialize(_union(barred).distinct(), "bfs-barred")]
-    out = _union(visited).select("url_hash", "url", "tag", "seed_pos", F.col("depth").cast("int"))
+        new, n = found(job, depth)
+        n_visited += new
+        steps = 2 * steps if new <= LIGHT else 1
+
+    schema = "url_hash string, seed long, visited boolean, depth int"
+    out = visits.files(spark, schema).where("visited").select("url_hash", "seed", "depth")
+    for t in tables:
+        t.drop()
     if max_visits is not None and n_visited > max_visits:
         # the budget cut inside the last level: (depth, seed_pos, url_hash)
-        out = materialize(out.orderBy("depth", "seed_pos", "url_hash").limit(max_visits), "bfs-cut")
-    return out
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
+        ranked = out.join(numbered, "seed").orderBy("depth", F.asc("seed_pos"), "url_hash").limit(max_visits)
+        out = materialize(ranked.select("url_hash", "seed", "depth"), "bfs-cut")
+    urls = pairs.select("url_hash", "url").unionByName(first.select("url_hash", "url")).distinct()
+    return (out.join(urls, "url_hash").join(numbered, "seed")
+            .select("url_hash", "url", "tag", "seed_pos", F.col("depth").cast("int").alias("depth")))
 
 
 def redirects(crawl: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators import history as Hst
 from ..operators import recommend as Rec
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,6 +244,7 @@ def url_dedup(spark, sf):
 
 # ---------------------------------------------------------------- article assembly
 from ..operators import articles as Art  # noqa: E402
+from ..operators import keyed_table as Kt  # noqa: E402
 
 
 def _tasks(spark, sf):
@@ -299,6 +300,42 @@ def upsert_merge(spark, sf):
     return flat(out.select("url_hash", "title", "tags", "summary"))
 
 
+BUCKETS = 64
+
+
+def _article_table(spark, sf, name):
+    """The article rows with summaries as version 0 of a keyed table."""
+    base = B.articles(spark, sf, summaries=True)
+    table = Kt.KeyedTable(spark, scratch_path(spark, name), "url_hash", base.schema, BUCKETS)
+    Kt.replace_into(table, 0, base)
+    return table
+
+
+@register
+def upsert_replace_bucketed(spark, sf):
+    """``upsert_replace`` as a new version of a table that rewrites the
+    buckets of the re-processed pages; the repeated write changes nothing."""
+    table = _article_table(spark, sf, "articles-replace")
+    labelled = read_table(spark, sf, "labels").select(
+        F.md5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("url_hash"))
+    updates = B.article_stubs(spark, sf).join(labelled, "url_hash", "left_semi")
+    for _ in range(2):
+        Kt.replace_into(table, 1, updates)
+    return flat(table.read().select("url_hash", "title", "tags", "summary"))
+
+
+@register
+def upsert_merge_bucketed(spark, sf):
+    """``upsert_merge`` as two versions: the results of even and odd minutes."""
+    table = _article_table(spark, sf, "articles-merge")
+    tasks = _tasks(spark, sf)
+    res = Art.extract_tags(B.classification_results(spark, sf, tasks))
+    patch = res.join(tasks, "output_location").select("url_hash", "tags", (F.minute("arrived_at") % 2).alias("half"))
+    for half in (0, 1):
+        Kt.merge_into(table, half + 1, patch.where(F.col("half") == half).drop("half"))
+    return flat(table.read().select("url_hash", "title", "tags", "summary"))
+
+
 @register
 def page_to_article(spark, sf):
     """The newest parsed page of each URL with keywords, payload and the
@@ -360,6 +397,20 @@ def seen_anti(spark, sf):
     return Fr.unseen(B.edges(spark, sf).select(F.col("dst_url").alias("url")), stored)
 
 
+@register
+def seen_runs(spark, sf):
+    """The unseen URLs of two runs: version 0 holds the stored pages, the
+    first run meets the links of even pages, the second all links again."""
+    good, _ = Flt.quarantine_split(B.crawl_output(spark, sf))
+    seen = Kt.SeenSet(spark, scratch_path(spark, "seen"), buckets=BUCKETS)
+    seen.add(0, Pg.content_store(good, B.seeds(spark, sf), B.TEST_DOMAINS).select("url_hash"))
+    links = materialize(B.edges(spark, sf).select(F.md5("src_url").alias("src"), F.md5("dst_url").alias("url_hash"),
+                                                  F.col("dst_url").alias("url")), "links")
+    even = F.conv(F.substring("src", 32, 1), 16, 10).cast("int") % 2 == 0
+    runs = [seen.add(1, links.where(even)), seen.add(2, links)]
+    return runs[0].unionByName(runs[1]).join(links.select("url_hash", "url").distinct(), "url_hash")
+
+
 # ---------------------------------------------------------------- text jobs
 from ..operators import scoring as Sc  # noqa: E402
 from ..operators import text as Tx  # noqa: E402

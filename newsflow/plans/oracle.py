@@ -441,6 +441,10 @@ SELECT a.url_hash, a.title, array_to_string(coalesce(c.tags, a.tags), ',') AS ta
 FROM articles_b a LEFT JOIN cres c ON c.url_hash = a.url_hash"""
 
 
+SQL["upsert_replace_bucketed"] = SQL["upsert_replace"]
+SQL["upsert_merge_bucketed"] = SQL["upsert_merge"]
+
+
 # ---------------------------------------------------------------- graph
 GRAPH = PAGES + ",\n" + OUTLINKS + f""",
 npg AS (SELECT count(*) AS n FROM pg),
@@ -452,11 +456,12 @@ seeds_b AS (SELECT regexp_extract(canonical_url, '^[a-z][a-z0-9+.\\-]*://[^/]*/(
                    canonical_url AS url, CAST(page_id AS INTEGER) AS seed_pos
             FROM pg WHERE page_id IN (0, 1, 2))"""
 
-BFS = """s0 AS (SELECT url, min(seed_pos) AS seed_pos FROM seeds_b GROUP BY url),
+BFS = """links_b AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges_b),
+s0 AS (SELECT url, min(seed_pos) AS seed_pos FROM seeds_b GROUP BY url),
 walk(url, seed_pos, depth) AS (
   SELECT url, seed_pos, 0 FROM s0
   UNION
-  SELECT e.dst, w.seed_pos, w.depth + 1 FROM walk w JOIN edges_b e ON e.src = w.url
+  SELECT e.dst, w.seed_pos, w.depth + 1 FROM walk w JOIN links_b e ON e.src = w.url
   WHERE w.depth < (SELECT n FROM npg)),
 best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
 firsts AS (SELECT w.url, min(w.seed_pos) AS seed_pos, b.depth FROM walk w
@@ -518,6 +523,8 @@ stored AS (SELECT DISTINCT md5(furl) AS url_hash FROM cs
 SELECT DISTINCT md5(dst) AS url_hash, dst AS url FROM edges_b
 WHERE md5(dst) NOT IN (SELECT url_hash FROM stored)"""
 
+SQL["seen_runs"] = SQL["seen_anti"]
+
 
 # ---------------------------------------------------------------- text jobs
 from ..functions.text import STOP_WORDS  # noqa: E402

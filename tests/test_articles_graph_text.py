@@ -160,3 +160,37 @@ def test_mmr_against_brute_force(spark):
     for d in (1, 2):
         c = [(r["gram"], r["score"]) for r in cands if r["doc_id"] == d]
         assert got[d] == brute_mmr(c, 5, 0.7)
+
+
+def test_levels_shuffle_neither_links_nor_visits(spark):
+    """Each level: one join with the links, one anti join per known table, one
+    exchange below them that carries (hash, mark), and no exchange on a table."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chain = spark.newSession()
+    for k, v in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1"), ("shuffle.partitions", str(buckets))):
+        chain.conf.set(f"spark.sql.{k}", v)
+    links, visits = Fr._Bucketed(chain, "t-links", "src_hash", buckets), Fr._Bucketed(chain, "t-visits", "url_hash", buckets, "job")
+    one = spark.createDataFrame([("a", ["b"], [])], "src_hash string, dst_hashes array<string>, final_hashes array<string>")
+    links.append(links.dealt(one))
+    visits.append(visits.dealt(spark.createDataFrame([("a", 0, True, 0, True, 0)],
+                                                     "url_hash string, seed long, visited boolean, depth int, fresh boolean, job int")))
+    for steps in (1, 5):
+        start = f"SELECT url_hash, seed AS mark, true AS fresh FROM {visits.name} WHERE job = 0"
+        df = chain.sql(Fr.walk_sql(start, steps, links.name, [f"(SELECT url_hash FROM {visits.name} WHERE job > -1)"]))
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        kinds = [line.lstrip(" :+-*()0123456789").split(" ")[0] for line in lines]
+        assert kinds.count("SortMergeJoin") == 2 * steps and kinds.count("Exchange") == steps
+        scans = [i for i, k in enumerate(kinds) if k == "FileScan"]
+        assert len(scans) == 2 * steps + 1
+        depth = lambda i: len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        for i in scans[1:]:       # all but the start: nothing above them, up to their join, is an exchange
+            above, now = [], depth(i)
+            for j in range(i - 1, -1, -1):
+                if depth(j) < now:
+                    above.append(kinds[j])
+                    now = depth(j)
+                if above and above[-1] == "SortMergeJoin":
+                    break
+            assert "Exchange" not in above
+    for t in (links, visits):
+        t.drop()
