@@ -23,6 +23,7 @@ WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0)
 
 REFERENCE_RE = r"(&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?|&|[^&]+)"
 ANCHOR_RE = r"""(?i)<a([\s/](?:[^"'>]+|"[^"]*"|'[^']*')*)>"""
+BASE_RE = r"""(?i)<base([\s/](?:[^"'>]+|"[^"]*"|'[^']*')*)>"""
 ATTRIBUTE_RE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 HREF_NAME_RE = r"(?i)^href(\s*=\s*|$)"
 TITLE_RE = r"(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>"
@@ -76,6 +77,16 @@ def unescape(c, attribute: bool = False) -> Column:
 def hrefs(html) -> Column:
     """Values of the href attributes of all anchors, in document order,
     references decoded; anchors without one are left out."""
+    return _hrefs_of(html, ANCHOR_RE)
+
+
+def base_href(html) -> Column:
+    """Value of the href attribute of the first base element that has one,
+    references decoded; NULL without one."""
+    return F.try_element_at(_hrefs_of(html, BASE_RE), F.lit(1))
+
+
+def _hrefs_of(html, element_re: str) -> Column:
     def href(attributes: Column) -> Column:
         each = F.regexp_extract_all(attributes, F.lit(ATTRIBUTE_RE), 0)
         first = F.try_element_at(F.filter(each, lambda a: a.rlike(HREF_NAME_RE)), F.lit(1))
@@ -83,8 +94,8 @@ def hrefs(html) -> Column:
         quoted = value.rlike("""^["']""")
         return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
-    anchors = F.regexp_extract_all(strip_blocks(html), F.lit(ANCHOR_RE), 1)
-    found = F.filter(F.transform(anchors, href), lambda h: h.isNotNull())
+    elements = F.regexp_extract_all(strip_blocks(html), F.lit(element_re), 1)
+    found = F.filter(F.transform(elements, href), lambda h: h.isNotNull())
     return F.transform(found, lambda h: unescape(h, attribute=True))
 
 

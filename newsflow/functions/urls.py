@@ -159,3 +159,11 @@ def fix_dot_segments(joined) -> Column:
                      F.when(j_path.startswith("/"), remove_dot_segments(j_path)).otherwise(j_path),
                      j_tail)
     return F.when(joined.rlike(SCHEME_AUTH_RE), fixed).otherwise(joined)
+
+
+def document_base(url, base_href) -> Column:
+    """what a page's links are resolved against: the href of its base
+    element, itself resolved against the page's URL, or that URL where there
+    is none or where it gives no hierarchical URL (``data:``, ``mailto:``)."""
+    resolved = fix_dot_segments(resolve_link(url, base_href))
+    return F.when(resolved.rlike(SCHEME_AUTH_RE), resolved).otherwise(_c(url))

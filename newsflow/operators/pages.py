@@ -26,14 +26,21 @@ def canonicalize(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 def link_candidates(pages: DataFrame, base_col: str = "url", html_col: str = "html",
                     keep: Iterable[str] = ("page_id",)) -> DataFrame:
-    """every anchor of every page, resolved and canonical (P7: anchors
-    without an href attribute never match)."""
+    """every anchor of every page, resolved against the page's base
+    element or its URL, and canonical (P7: anchors without an href attribute
+    never match)."""
     keep = list(keep)
-    base = F.col(base_col)
+    # the base is a column of its own: the links' expression reads it per link
+    bases = H.base_href(html_col)
+    pages = pages.select(*keep, F.col(html_col).alias("_html"), F.col(base_col).alias("_url"),
+                         F.when(F.contains(F.lower(html_col), F.lit("<base")), bases).alias("_href"))
+    pages = pages.select(*keep, "_html", F.when(F.col("_href").isNull(), F.col("_url"))
+                         .otherwise(U.document_base("_url", "_href")).alias("_base"))
+    base = F.col("_base")
     # Each step is its own array transform, so every intermediate is
     # computed once per link; exploding last keeps later filters on the
     # link above the generator instead of re-inlining the whole expression.
-    links = F.transform(H.hrefs(html_col), lambda h: U.resolve_link(base, h))
+    links = F.transform(H.hrefs("_html"), lambda h: U.resolve_link(base, h))
     links = F.transform(links, lambda j: U.fix_dot_segments(j))
     links = F.transform(links, lambda a: U.strip_query(a))
     links = F.transform(links, lambda s: U.canonical_from_stripped(s))

@@ -3,32 +3,39 @@ aggregates over exploded tokens.
 
 * ``keywords_tfidf`` (M3): 1-2-gram TF-IDF after English stop words,
   best ``top_n`` per document.
-* ``summarize`` (M2): extractive SumBasic-style scoring (mean document
-  probability of a sentence's tokens), best ``k`` sentences per document
-  given in document order.
-* ``nb_train`` / ``nb_classify`` (M1): multinomial naive Bayes with
-  Laplace smoothing.
+* ``summarize`` (M2): extractive SumBasic scoring (mean document probability
+  of a sentence's tokens, on request with its re-weighting after each
+  choice), best ``k`` sentences per document given in document order.
+* ``nb_train`` / ``nb_classify`` / ``nb_scores`` (M1): multinomial naive Bayes
+  with Laplace smoothing; the best class, or the scores of all.
 * ``keywords_mmr`` (M4): greedy maximal-marginal-relevance re-ranking of
   each document's candidates, a fold over an array of at most
   ``candidates`` elements.
 * ``keywords_maxsum`` (M3/M4): the ``top_n`` candidates that are least alike
   in sum, exactly, by meeting in the middle (``operators.maxsum``).
 
-Scale notes: documents are dealt by id once and their tokens counted there
-(a count per document and token needs no shuffle of token rows). The counts
-are written as a table where two uses follow (document frequencies and the
-join back), so texts are tokenised once and both sides of the joins on a
-token are plain shuffles of tables, which adaptive execution can split when
-a token is in most documents. Every ``ln`` result is rounded before ranking
-so ties break the same way everywhere.
+Scale notes: a row is a document, so what is counted per document is counted
+inside the row (run lengths of the sorted terms) and no text is ever shuffled:
+shuffles carry (id, term, count). The counts are written as a table where two
+uses follow (document frequencies and the join back), so texts are tokenised
+once and both sides of the joins on a term are plain shuffles of tables, which
+adaptive execution can split when a term is in most documents. Sentences are
+ranked where the document is. Every ``ln`` result is rounded before ranking so
+ties break the same way everywhere.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_tokens, ngrams_1_2, sentences, tokens
 from ..session import materialize
@@ -36,17 +43,23 @@ from .maxsum import least_alike
 
 
 def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: str) -> DataFrame:
-    """(id, term, count) of an array expression over each document."""
-    own = docs.repartition(id_col).select(id_col, terms.alias("_terms"))
-    return own.select(id_col, F.explode("_terms").alias(out)).groupBy(id_col, out).agg(F.count("*").alias(count))
+    """(id, term, count) of an array expression over each document (row),
+    from run lengths of its sorted terms: no shuffle."""
+    own = docs.select(id_col, terms.alias("_t")).where(F.size("_t") > 0).select(id_col, F.array_sort("_t").alias("_t"))
+    at = F.filter(F.sequence(F.lit(1), F.size("_t")),
+                  lambda i: (i == 1) | (F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
+    own = own.select(id_col, "_t", at.alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_t") + 1))
+    runs = own.select(id_col, "_t", F.explode(F.arrays_zip(F.col("_at"), ends.alias("_to"))).alias("_r"))
+    return runs.select(id_col, F.element_at("_t", F.col("_r")["_at"]).alias(out),
+                       (F.col("_r")["_to"] - F.col("_r")["_at"]).cast("long").alias(count))
 
 
 def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    top_n: int = 10, stop_words=None, digits: int = 9) -> DataFrame:
     """M3: (id, rank, gram, tf, df, score); score = tf * ln((N+1)/(df+1))."""
-    own = docs.select(id_col, text_col).repartition(id_col).select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
-    grams = own.select(id_col, F.explode(ngrams_1_2("_toks")).alias("gram"))
-    tf = materialize(grams.groupBy(id_col, "gram").agg(F.count("*").alias("tf")), "tf")
+    own = docs.select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
+    tf = materialize(term_counts(own, id_col, ngrams_1_2("_toks"), "gram", "tf"), "tf")
     df_ = materialize(tf.groupBy("gram").agg(F.count("*").alias("df")), "df")
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
     scored = (tf.join(df_, "gram").crossJoin(F.broadcast(n))
@@ -56,25 +69,59 @@ def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select(id_col, F.col("rank").cast("int").alias("rank"), "gram", "tf", "df", "score"))
 
 
+def best_sentences(tokens_of: list[list[str]], k: int, digits: int, reweight: bool) -> list[tuple[int, float]]:
+    """(place from 0, score) of the ``k`` best sentences in order. A score is
+    the mean probability of the sentence's tokens; with ``reweight`` the
+    probabilities of a chosen sentence's tokens are squared before the next
+    choice (as in SumBasic), and a score is that of the round. Sentences
+    without tokens are never chosen; ties go to the earlier one."""
+    counts = Counter(t for toks in tokens_of for t in toks)
+    n = sum(counts.values())
+    weight = {t: c / n for t, c in counts.items()}
+    left = {p: toks for p, toks in enumerate(tokens_of) if toks}
+    score = lambda p: round_half_up(sum(weight[t] for t in left[p]) / len(left[p]), digits)
+    if not reweight:
+        return sorted(heapq.nsmallest(k, ((-score(p), p) for p in left)), key=lambda x: x[1])
+    out = []
+    while left and len(out) < k:
+        best = min((-score(p), p) for p in left)
+        out.append(best)
+        for t in set(left.pop(best[1])):
+            weight[t] **= 2
+    return sorted(out, key=lambda x: x[1])
+
+
+def round_half_up(x: float, digits: int) -> float:
+    """As the engine rounds: half up on the decimal digits of the number."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
-              digits: int = 9) -> DataFrame:
+              digits: int = 9, reweight: bool = False) -> DataFrame:
     """M2: (id, pos, sentence, score) for the ``k`` best sentences of each
-    document, pos = 1-based sentence position, in document order. Scoring,
-    ranking and the way back to the sentences stay in the partition the
-    document was dealt to: texts are shuffled once."""
-    by_doc = docs.select(id_col, text_col).repartition(id_col)
-    sent = by_doc.select(id_col, F.posexplode(sentences(text_col)).alias("pos", "sentence"))
-    toks = sent.select(id_col, (F.col("pos") + 1).cast("int").alias("pos"), F.explode(tokens("sentence")).alias("token"))
-    toks = (toks.withColumn("c", F.count("*").over(Window.partitionBy(id_col, "token")))
-            .withColumn("n", F.count("*").over(Window.partitionBy(id_col))))
-    scores = (toks.groupBy(id_col, "pos")
-              .agg(F.round(F.avg(F.col("c") / F.col("n")), digits).alias("score")))
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("pos"))
-    best = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    best = best.groupBy(id_col).agg(F.collect_list(F.struct("pos", "score")).alias("_best"))  # at most k
-    found = by_doc.join(best, id_col).select(id_col, sentences(text_col).alias("_s"), F.explode("_best").alias("b"))
-    return found.select(id_col, F.col("b.pos").alias("pos"), F.element_at("_s", F.col("b.pos")).alias("sentence"),
-                        F.col("b.score").alias("score"))
+    document, pos = 1-based sentence position, in document order; see
+    ``best_sentences``. The sentences and their tokens are made by the engine,
+    chosen in the row's own task and given out: nothing is shuffled."""
+    kind = docs.select(id_col).schema[0]
+    rows = docs.select(id_col, sentences(text_col).alias("_s")).select(id_col, "_s", F.transform("_s", tokens).alias("_t"))
+    schema = T.StructType([kind, T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos, score, sentence = [], [], [], []
+            for i in range(batch.num_rows):
+                toks = batch.column(2)[i].as_py()
+                for minus, p in best_sentences(toks, k, digits, reweight) if toks else []:
+                    row.append(i)
+                    pos.append(p + 1)
+                    score.append(-minus)
+                    sentence.append(batch.column(1)[i][p].as_py())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(sentence, pa.string()),
+                 pa.array(score, pa.float64())], names=[kind.name, "pos", "sentence", "score"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
@@ -103,15 +150,13 @@ def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
     return {"classes": classes, "weights": weights, "alpha": alpha}
 
 
-def nb_classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
-                digits: int = 6) -> DataFrame:
-    """M1 scoring: (id, pred, score), score = log_prior + sum over known
-    tokens of f * ln((count + alpha) / norm), rounded; ties go to the
-    smaller class. Tokens outside the training vocabulary are ignored. One
-    join with the model gives both the known tokens and the class sums; the
-    classes meet the documents as one array, not as rows."""
+def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits: int) -> DataFrame:
+    """(id, _scores): for each document the array of (minus, class) of all
+    classes, minus the rounded score with its sign turned. One join with the
+    model gives both the known tokens and the class sums; the classes meet the
+    documents as one array, not as rows."""
     log_alpha = math.log(model["alpha"])
-    tf = materialize(term_counts(docs.select(id_col, text_col), id_col, tokens(text_col), "token", "f"), "nb-tf")
+    tf = term_counts(docs.select(id_col, text_col), id_col, tokens(text_col), "token", "f")
     hit = tf.join(model["weights"], "token")
     # one entry per class, and one without a class that counts the known tokens
     entries = F.concat(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("class"), e["value"].alias("w"))),
@@ -129,8 +174,31 @@ def nb_classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
         return F.struct((-F.round(c["log_prior"] + known * (F.lit(log_alpha) - c["log_norm"]) + seen, digits)).alias("minus"),
                         c["class"].alias("class"))
 
-    best = F.array_min(F.transform("classes", score))
-    return every.select(id_col, best.alias("_b")).select(id_col, F.col("_b.class").alias("pred"), (-F.col("_b.minus")).alias("score"))
+    return every.select(id_col, F.array_sort(F.transform("classes", score)).alias("_scores"))
+
+
+def nb_classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+                digits: int = 6) -> DataFrame:
+    """M1 scoring: (id, pred, score), score = log_prior + sum over known
+    tokens of f * ln((count + alpha) / norm), rounded; ties go to the
+    smaller class. Tokens outside the training vocabulary are ignored."""
+    best = F.try_element_at("_scores", F.lit(1))
+    return _nb_scored(docs, model, id_col, text_col, digits).select(
+        id_col, best["class"].alias("pred"), (-best["minus"]).alias("score"))
+
+
+def nb_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+    """(id, labels) with all labels of a document, best first: an
+    array of (label, score) as a classification result holds it. Scores are
+    probabilities that add up to 1, from log scores by the log-sum-exp of
+    their differences to the best one, so that nothing overflows or vanishes;
+    ties go to the smaller class."""
+    scored = _nb_scored(docs, model, id_col, text_col, digits)
+    top = F.element_at("_scores", 1)["minus"]
+    total = F.aggregate("_scores", F.lit(0.0), lambda acc, c: acc + F.exp(top - c["minus"]))
+    labels = F.transform("_scores", lambda c: F.struct(c["class"].cast("string").alias("label"),
+                                                       F.round(F.exp(top - c["minus"]) / total, digits).alias("score")))
+    return scored.select(id_col, labels.alias("labels"))
 
 
 def keywords_mmr(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

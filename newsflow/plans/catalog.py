@@ -198,6 +198,12 @@ def outlinks(spark, sf):
     return Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, B.LINK_PATHS)
 
 
+@register
+def outlinks_based(spark, sf):
+    """Links of pages of which a third has a base element."""
+    return Pg.outlinks(B.based_pages(spark, sf), B.TEST_DOMAINS, B.LINK_PATHS)
+
+
 @register
 def outlink_counts(spark, sf):
     return Pg.outlink_counts(Pg.outlinks(read_table(spark, sf, "pages"), B.TEST_DOMAINS, B.LINK_PATHS))
@@ -426,14 +432,31 @@ def summarize(spark, sf):
     return Tx.summarize(read_table(spark, sf, "documents"), k=3)
 
 
+@register
+def summarize_reweighted(spark, sf):
+    """Summaries in which the words of a chosen sentence count less after it."""
+    return Tx.summarize(read_table(spark, sf, "documents"), k=3, reweight=True)
+
+
+def _nb_model(spark, sf):
+    """Naive Bayes (class = quality), trained on the labelled documents except
+    every fifth, which is held out."""
+    labelled = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id").where(F.col("doc_id") % 5 != 0)
+    return Tx.nb_train(labelled, "quality")
+
+
 @register
 def classify_nb(spark, sf):
-    """Naive Bayes (class = quality) applied to every document, trained on
-    the labelled ones except every fifth, which is held out."""
-    docs = read_table(spark, sf, "documents")
-    labelled = docs.join(read_table(spark, sf, "labels"), "doc_id").where(F.col("doc_id") % 5 != 0)
-    model = Tx.nb_train(labelled, "quality")
-    return Tx.nb_classify(docs, model)
+    """The best class of every document."""
+    return Tx.nb_classify(read_table(spark, sf, "documents"), _nb_model(spark, sf))
+
+
+@register
+def classify_scores(spark, sf):
+    """The scores of all classes of every document, best first."""
+    scored = Tx.nb_scores(read_table(spark, sf, "documents"), _nb_model(spark, sf))
+    return scored.select("doc_id", F.posexplode("labels").alias("p", "l")).select(
+        "doc_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("l.label").alias("label"), F.col("l.score").alias("score"))
 
 
 @register

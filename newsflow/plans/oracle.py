@@ -261,6 +261,7 @@ def s_unescape(x: str, attribute: bool = False) -> str:
 
 
 ANCHOR_RE = """'(?i)<a([\\s/](?:[^"''>]+|"[^"]*"|''[^'']*'')*)>'"""
+BASE_RE = """'(?i)<base([\\s/](?:[^"''>]+|"[^"]*"|''[^'']*'')*)>'"""
 ATTRIBUTE_RE = """'[^\\s"''>/=]+(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''>]+))?'"""
 HREF_NAME_RE = "'(?i)^href(\\s*=\\s*|$)'"
 TITLE_RE = r"'(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>'"
@@ -291,12 +292,12 @@ def s_paragraphs(h: str, sep: str = "") -> str:
             f"lambda para: {piece}), {q(sep)})")
 
 
-def s_hrefs(h: str) -> str:
+def s_hrefs(h: str, element_re: str = ANCHOR_RE) -> str:
     each = f"regexp_extract_all(attrs, {ATTRIBUTE_RE})"
     first = f"list_filter({each}, lambda a: regexp_matches(a, {HREF_NAME_RE}))[1]"
     value = f"regexp_replace({first}, {HREF_NAME_RE}, '')"
     value = f"CASE WHEN regexp_matches({value}, '^[\"'']') THEN {value}[2:-2] ELSE {value} END"
-    found = f"list_transform(regexp_extract_all({s_stripped(h)}, {ANCHOR_RE}, 1), lambda attrs: {value})"
+    found = f"list_transform(regexp_extract_all({s_stripped(h)}, {element_re}, 1), lambda attrs: {value})"
     return f"list_filter({found}, lambda x: x IS NOT NULL)"
 
 
@@ -354,7 +355,10 @@ parsed AS (
 
 LINKS = f"""lraw AS (
   SELECT page_id, base, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS link_pos
-  FROM (SELECT page_id, url AS base, {s_hrefs('html')} AS hs FROM pages)),
+  FROM (SELECT page_id, CASE WHEN regexp_matches(own, {SA}) THEN own ELSE url END AS base, {s_hrefs('html')} AS hs
+        FROM (SELECT *, {s_fix_dots('own0')} AS own FROM (SELECT *, {s_resolve('url', 'based')} AS own0
+              FROM (SELECT *, {s_unescape('based0', attribute=True)} AS based FROM (
+                    SELECT *, {s_hrefs('html', BASE_RE)}[1] AS based0 FROM pages)))))),
 lhref AS (SELECT page_id, base, link_pos, {s_unescape('href', attribute=True)} AS href FROM lraw),
 lres AS (SELECT page_id, link_pos, {s_resolve('base', 'href')} AS joined FROM lhref),
 lcand AS (SELECT page_id, link_pos, {s_canon(s_fix_dots('joined'))} AS link FROM lres)"""
@@ -379,6 +383,9 @@ SELECT page_id, canonical_url FROM pg
 WHERE {s_auth('canonical_url')} <> ''
   AND len(list_intersect({s_suffixes(s_auth('canonical_url'))}, [{', '.join(q(d) for d in TEST_DOMAINS)}])) > 0"""
 SQL["outlinks"] = with_(OUTLINKS) + "SELECT * FROM olinks"
+SQL["outlinks_based"] = with_("""based_pages AS (
+  SELECT page_id, url, CASE WHEN page_id % 3 = 1 THEN '<base href="/t/' || CAST(page_id AS VARCHAR) || '/x/">' || html ELSE html END AS html
+  FROM pages)""", OUTLINKS.replace("FROM pages", "FROM based_pages")) + "SELECT * FROM olinks"
 SQL["outlink_counts"] = with_(OUTLINKS) + "SELECT page_id, count(DISTINCT link) AS n_links FROM olinks GROUP BY page_id"
 SQL["page_parse"] = with_(PARSED) + "SELECT * FROM parsed"
 SQL["clean_text"] = f"SELECT doc_id, {s_clean('text')} AS text_clean FROM documents"
@@ -643,6 +650,37 @@ sc AS (SELECT d.doc_id, c.class,
 SELECT doc_id, class AS pred, score FROM sc
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class ASC) = 1"""
 
+NB_ALL = SQL["classify_nb"][:SQL["classify_nb"].index("SELECT doc_id, class AS pred, score FROM sc")]
+SQL["classify_scores"] = NB_ALL + """SELECT doc_id,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class ASC) AS INTEGER) AS rank,
+       CAST(class AS VARCHAR) AS label,
+       round(exp(score - max(score) OVER (PARTITION BY doc_id)) / sum(exp(score - top)) OVER (PARTITION BY doc_id), 6) AS score
+FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM sc)"""
+
+
+def _reweighted_sql(k: int = 3) -> str:
+    """The rounds of the choice, one CTE each: a token's probability is
+    squared once for each chosen sentence that has it."""
+    out = [f"""rs AS (SELECT doc_id, unnest({SENTS}) AS sentence, CAST(generate_subscripts({SENTS}, 1) AS INTEGER) AS pos FROM documents)""",
+           f"""rt AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {TOKEN})) AS token FROM rs)""",
+           """rp0 AS MATERIALIZED (SELECT doc_id, token, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY doc_id) AS p
+             FROM rt GROUP BY doc_id, token)"""]
+    chosen = ["SELECT NULL::BIGINT AS doc_id, NULL::INTEGER AS pos, NULL::DOUBLE AS score WHERE false"]
+    for j in range(1, k + 1):
+        before = " UNION ALL ".join(chosen)
+        out.append(f"""rc{j} AS MATERIALIZED (SELECT t.doc_id, t.pos, round(avg(p.p), 9) AS score
+             FROM rt t JOIN rp{j - 1} p ON p.doc_id = t.doc_id AND p.token = t.token
+             WHERE (t.doc_id, t.pos) NOT IN (SELECT doc_id, pos FROM ({before})) GROUP BY t.doc_id, t.pos
+             QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY round(avg(p.p), 9) DESC, t.pos) = 1)""")
+        chosen.append(f"SELECT doc_id, pos, score FROM rc{j}")
+        out.append(f"""rp{j} AS MATERIALIZED (SELECT p.doc_id, p.token, CASE WHEN c.token IS NULL THEN p.p ELSE p.p * p.p END AS p
+             FROM rp{j - 1} p LEFT JOIN (SELECT DISTINCT t.doc_id, t.token FROM rt t JOIN rc{j} c ON c.doc_id = t.doc_id AND c.pos = t.pos) c
+             ON c.doc_id = p.doc_id AND c.token = p.token)""")
+    return with_(*out) + f"""
+SELECT c.doc_id, c.pos, s.sentence, c.score FROM ({" UNION ALL ".join(chosen[1:])}) c JOIN rs s ON s.doc_id = c.doc_id AND s.pos = c.pos"""
+
+
+SQL["summarize_reweighted"] = _reweighted_sql()
 SQL["score_batches"] = with_(PARSED) + """
 SELECT url_hash, CAST(length(substring(text, 1, 2200)) AS BIGINT) AS n_chars,
        CASE WHEN length(substring(text, 1, 2200)) >= 1000 THEN 'long' ELSE 'short' END AS label

@@ -129,6 +129,13 @@ def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("html", F.when(F.col("page_id") % 7 == 3, F.regexp_replace("html", H.TITLE_RE, "")).otherwise(F.col("html")))
 
 
+def based_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages of which every third (page_id) has a base element in front."""
+    p = read_table(spark, sf_dir, "pages")
+    base = F.concat(F.lit('<base href="/t/'), F.col("page_id").cast("string"), F.lit('/x/">'))
+    return p.withColumn("html", F.when(F.col("page_id") % 3 == 1, F.concat(base, "html")).otherwise(F.col("html")))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link graph over the pages: the links found in them (inside the test
     domains and paths), and page i to pages (3i+1) mod n and (5i+2) mod n,

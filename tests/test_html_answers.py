@@ -60,3 +60,20 @@ def test_seeds_are_compared_canonically(spark):
                                  "page_id int, url string, content struct<title:string,html_content:string>, real_url string")
     seeds = spark.createDataFrame([("http://Seed.example.org/start#x",)], "url string")
     assert [r.url for r in Pg.content_store(good, seeds, ["example.org"]).collect()] == ["http://x.example.org/"]
+
+
+@pytest.mark.parametrize("head, want", [
+    ("", ["http://h.com/d/a", "http://h.com/b", "http://o.com/c"]),
+    ('<base href="/x/y/">', ["http://h.com/x/y/a", "http://h.com/b", "http://o.com/c"]),
+    ("<BASE target=_top><base\n href='http://cdn.net/r/s?q'><base href=/later/>", ["http://cdn.net/r/a", "http://cdn.net/b", "http://o.com/c"]),
+    ('<base href="../up/">', ["http://h.com/up/a", "http://h.com/b", "http://o.com/c"]),
+    ('<base href="//n.org/z&#47;">', ["http://n.org/z/a", "http://n.org/b", "http://o.com/c"]),
+    ('<!-- <base href="/no/"> --><script>"<base href=/no/>"</script>', ["http://h.com/d/a", "http://h.com/b", "http://o.com/c"]),
+    ('<base href="mailto:x@y.z">', ["http://h.com/d/a", "http://h.com/b", "http://o.com/c"]),
+    ('<basefont href="/no/"><base>', ["http://h.com/d/a", "http://h.com/b", "http://o.com/c"]),
+    ('<base href="">', ["http://h.com/d/a", "http://h.com/b", "http://o.com/c"]),
+])
+def test_base_elements(spark, head, want):
+    page = head + '<a href="a">1</a><a href="/b">2</a><a href="http://o.com/c">3</a>'
+    df = spark.createDataFrame([(1, "http://h.com/d/p?q#f", page)], "page_id int, url string, html string")
+    assert [r.link for r in Pg.link_candidates(df).orderBy("link_pos").collect()] == want
