@@ -113,13 +113,18 @@ class KeyedTable:
         self._publish(version, folders)
         return written
 
+    def _is_next(self, version: int) -> bool:
+        """Whether a version is to be written; one that exists is not."""
+        past = self.versions()
+        if version not in past and past and version < past[-1]:
+            raise ValueError("versions are written in order")
+        return version not in past
+
     def put(self, version: int, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Write the buckets of ``rows`` as ``merge(what they hold, rows)``;
         the buckets that were written (none if the version exists)."""
-        if version in self.versions():
+        if not self._is_next(version):
             return []
-        if any(v > version for v in self.versions()):
-            raise ValueError("versions are written in order")
         rows = materialize(rows, "keyed-rows")
         buckets = self.touched(rows)
         return self._write(version, merge(self.read(buckets=buckets), rows), buckets)
@@ -127,7 +132,7 @@ class KeyedTable:
     def append(self, version: int, rows: DataFrame) -> list[int]:
         """Add rows, whose keys are new, as files; a bucket of ``FOLDERS``
         folders is put together on the way."""
-        if version in self.versions():
+        if not self._is_next(version):
             return []
         rows = materialize(rows.select(*self.schema.fieldNames()), "keyed-rows")
         full = {b for b, folders in self.manifest().items() if len(folders) >= FOLDERS}

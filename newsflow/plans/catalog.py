@@ -419,6 +419,7 @@ def seen_runs(spark, sf):
 
 # ---------------------------------------------------------------- text jobs
 from ..operators import scoring as Sc  # noqa: E402
+from ..functions.text import tokens  # noqa: E402
 from ..operators import text as Tx  # noqa: E402
 
 
@@ -475,6 +476,18 @@ def score_batches(spark, sf):
                             "url_hash string, n_chars bigint, label string")
 
 
+@register
+def score_labels(spark, sf):
+    """The payloads of all documents scored by the resident naive Bayes model,
+    in a run that is stopped after half of its parts and started again."""
+    load = Sc.naive_bayes_scorer(_nb_model(spark, sf))
+    docs = read_table(spark, sf, "documents")
+    path, payload = scratch_path(spark, "scored"), tokens(F.substring(F.coalesce("text", F.lit("")), 1, 2200))
+    args = dict(outputs="pred int, score double", path=path, key_col="doc_id", inputs=payload, parts=4)
+    Sc.score_resumable(docs, load, only=(0, 1), **args)
+    return Sc.score_resumable(docs, load, **args)[0]
+
+
 # ---------------------------------------------------------------- streams
 from ..streaming import jobs as X  # noqa: E402
 
@@ -508,6 +521,23 @@ def stream_quarantine(spark, sf):
     return X.stream_page_parse(spark, src, pages.schema)[1]
 
 
+@register
+def stream_html_files(spark, sf):
+    """The pages as loose HTML objects, written out and streamed in."""
+    pages = _pages(spark, sf)
+    src = X.stage_objects(pages, "page_id", "html", "html-objects")
+    urls = pages.select(F.col("page_id").cast("string").alias("key"), "page_id", "url_hash", F.col("canonical_url").alias("url"))
+    return X.stream_html_files(spark, src, urls, key_re="page_id=([0-9]+)/")[0]
+
+
+@register
+def stream_result_files(spark, sf):
+    """The classification results as loose JSON objects."""
+    res = B.classification_results(spark, sf, _tasks(spark, sf))
+    src = X.stage_objects(res, "output_location", "body", "result-objects")
+    return flat(X.stream_result_files(spark, src, key_re="output_location=([^/]+)/")[0])
+
+
 @register
 def stream_result_merge(spark, sf):
     tasks = _tasks(spark, sf)

@@ -680,6 +680,8 @@ def _reweighted_sql(k: int = 3) -> str:
 SELECT c.doc_id, c.pos, s.sentence, c.score FROM ({" UNION ALL ".join(chosen[1:])}) c JOIN rs s ON s.doc_id = c.doc_id AND s.pos = c.pos"""
 
 
+SQL["score_labels"] = SQL["classify_nb"].replace(f"unnest(regexp_extract_all(lower(text), {TOKEN})) AS token FROM documents",
+                                                f"unnest(regexp_extract_all(lower(substring(text, 1, 2200)), {TOKEN})) AS token FROM documents")
 SQL["summarize_reweighted"] = _reweighted_sql()
 SQL["score_batches"] = with_(PARSED) + """
 SELECT url_hash, CAST(length(substring(text, 1, 2200)) AS BIGINT) AS n_chars,
@@ -708,5 +710,7 @@ SELECT n.url_hash, n.url, n.title, n.source, n.published_date, k.keywords,
        md5(n.url_hash || ':summary') || '.out' AS summary_location
 FROM newest n LEFT JOIN kws k ON k.url_hash = n.url_hash"""
 SQL["stream_result_merge"] = SQL["metadata_merge"]
+SQL["stream_html_files"] = SQL["stream_page_parse"]
+SQL["stream_result_files"] = SQL["extract_tags"]
 SQL["stream_results_early"] = SQL["metadata_merge"]
 SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"
