@@ -568,3 +568,11 @@ def stream_url_dedup(spark, sf):
     pages = read_table(spark, sf, "pages")
     src = X.stage_files(pages, "x4-in", STREAM_FILES)
     return X.stream_url_dedup(spark, src, pages.schema)
+
+
+@register
+def stream_url_seen(spark, sf):
+    """The same answer with the hashes in a bucketed table."""
+    pages = read_table(spark, sf, "pages")
+    src = X.stage_files(pages, "x4s-in", STREAM_FILES)
+    return X.stream_url_seen(spark, src, pages.schema)

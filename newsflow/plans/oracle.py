@@ -714,3 +714,4 @@ SQL["stream_html_files"] = SQL["stream_page_parse"]
 SQL["stream_result_files"] = SQL["extract_tags"]
 SQL["stream_results_early"] = SQL["metadata_merge"]
 SQL["stream_url_dedup"] = with_(LINKS) + "SELECT DISTINCT md5(link) AS url_hash, link AS url FROM lcand"
+SQL["stream_url_seen"] = SQL["stream_url_dedup"]
