@@ -57,3 +57,23 @@ def test_stages_on_no_documents(spark):
     for name, stage in C.STAGES:
         docs_out = stage(spark, docs, "")
         assert docs_out.collect() == [], name
+
+
+def test_run_applies_the_stages_in_use(spark, tmp_path):
+    """``run`` over a folder equals its stages one after the other, each over
+    what the one before it kept."""
+    langs = {i: (t, lang) for i, t, lang in labelled(150, 6)}
+    rows = [(i + 1000, t, lang, f"s{i % 3}", len(t)) for i, (t, lang) in langs.items()]
+    rows += [(i + 5000, t, lang, "copy", len(t)) for i, (t, lang) in list(langs.items())[:10]]
+    rows += [(9000, None, None, None, None), (9001, "", "xa", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in C.STAGES:
+        now = materialize(stage(spark, now, str(tmp_path)), "t")
+        kept.append({r.doc_id for r in now.select("doc_id").collect()})
+    assert all(b <= a for a, b in zip(kept, kept[1:])) and len(kept[-1]) > 20
+    assert not {i + 5000 for i in range(10)} & kept[1] and not {9000, 9001} & kept[0]
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in C.run(spark, str(tmp_path)).collect()}
+    assert got == {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in now.collect()}
