@@ -131,13 +131,14 @@ def audit(masked: DataFrame, names: Sequence[str] = FILTERS) -> DataFrame:
                              F.struct(F.col("high").alias("rank"), F.lit(-1).alias("sign")))).alias("end")
     steps = masks.join(intervals, "mask").select("part", "step", *weights, ends)
     steps = steps.select("part", "step", "end.rank", *[(F.col("end.sign") * F.col(w)).alias(w) for w in weights])
-    grid = _fixed(spark, ((rank, step, order[step - 1], "".join(order)) for rank, order in orders(names)
-                          for step in range(1, k + 1)), "rank int, step int, filter string, filter_order string")
+    grid = _fixed(spark, ((rank * k + step, rank, step, order[step - 1], "".join(order)) for rank, order in orders(names)
+                          for step in range(1, k + 1)), "cell int, rank int, step int, filter string, filter_order string")
     fails = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(f"fails_{i}") for i in range(k)]
     only = [F.sum(F.when(F.col("mask") == 1 << i, F.col("n")).otherwise(0)).alias(f"only_{i}") for i in range(k)]
     totals = masks.groupBy("part").agg(F.sum("n").alias("total"), *fails, *only)
     changes = steps.groupBy("part", "step", "rank").agg(*[F.sum(w).alias(w) for w in weights])
-    cells = totals.crossJoin(grid).join(changes, ["part", "step", "rank"], "left")   # k * k! fixed rows to a part
+    every = F.explode(F.sequence(F.lit(1), F.lit(k * factorial(k)))).alias("cell")      # k * k! cells to a part
+    cells = totals.select("*", every).join(grid, "cell").join(changes, ["part", "step", "rank"], "left")
     prefix = Window.partitionBy("part", "step").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     for w in weights:
         cells = cells.withColumn(w, F.coalesce(F.sum(w).over(prefix), F.lit(0)).cast("long"))
