@@ -15,8 +15,9 @@ aggregates over exploded tokens.
   in sum, exactly, by meeting in the middle (``operators.maxsum``).
 
 Scale notes: a row is a document, so what is counted per document is counted
-inside the row (run lengths of the sorted terms) and no text is ever shuffled:
-shuffles carry (id, term, count). The counts are written as a table where two
+inside the row (run lengths of the sorted terms) and no text is shuffled, but
+for tables of fewer partitions than cores (``spread``): shuffles carry (id,
+term, count). The counts are written as a table where two
 uses follow (document frequencies and the join back), so texts are tokenised
 once and both sides of the joins on a term are plain shuffles of tables, which
 adaptive execution can split when a term is in most documents. Sentences are
@@ -42,6 +43,13 @@ from ..session import materialize
 from .maxsum import least_alike
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores (a few
+    small files) is dealt anew; any larger one stays where it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: str) -> DataFrame:
     """(id, term, count) of an array expression over each document (row),
     from run lengths of its sorted terms: no shuffle."""
@@ -58,7 +66,7 @@ def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: st
 def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    top_n: int = 10, stop_words=None, digits: int = 9) -> DataFrame:
     """M3: (id, rank, gram, tf, df, score); score = tf * ln((N+1)/(df+1))."""
-    own = docs.select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
+    own = spread(docs.select(id_col, text_col)).select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
     tf = materialize(term_counts(own, id_col, ngrams_1_2("_toks"), "gram", "tf"), "tf")
     df_ = materialize(tf.groupBy("gram").agg(F.count("*").alias("df")), "df")
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
@@ -103,7 +111,7 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ``best_sentences``. The sentences and their tokens are made by the engine,
     chosen in the row's own task and given out: nothing is shuffled."""
     kind = docs.select(id_col).schema[0]
-    rows = docs.select(id_col, sentences(text_col).alias("_s")).select(id_col, "_s", F.transform("_s", tokens).alias("_t"))
+    rows = spread(docs.select(id_col, text_col)).select(id_col, sentences(text_col).alias("_s")).select(id_col, "_s", F.transform("_s", tokens).alias("_t"))
     schema = T.StructType([kind, T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType()),
                            T.StructField("score", T.DoubleType())])
 
@@ -156,7 +164,7 @@ def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits:
     model gives both the known tokens and the class sums; the classes meet the
     documents as one array, not as rows."""
     log_alpha = math.log(model["alpha"])
-    tf = term_counts(docs.select(id_col, text_col), id_col, tokens(text_col), "token", "f")
+    tf = term_counts(spread(docs.select(id_col, text_col)), id_col, tokens(text_col), "token", "f")
     hit = tf.join(model["weights"], "token")
     # one entry per class, and one without a class that counts the known tokens
     entries = F.concat(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("class"), e["value"].alias("w"))),
