@@ -16,28 +16,30 @@ first occurrence by (document id, line number).
   and of up to allowed(LONG - 1) less, with the substrings that can be that
   segment: of the segment's length, and within the shift that the edits before
   and after it leave (the multi-match-aware windows).
-* Anchors: the windows of a line with t edits number about t ** 3 (more than
-  1,000 at 250 characters), so longer lines meet by winnowing, which loses
-  nothing either: t edits leave a run of (l - t) / (t + 1) characters or more
-  unchanged, at least ``GRAM + WINDOW - 1``, and two lines that share so long
-  a run share the gram of least hash in it. Keys name the gram, a class of
-  lengths and a stretch of places; the shorter line is filed under its own,
-  the longer one looks under all that its length and place can have shifted
-  to.
+* Longer lines (t edits) are cut into t + 1 even segments too, of ``GRAM +
+  WINDOW - 1`` characters or more. A segment is filed under the gram of least
+  hash in its first window, a line is looked up under the grams of least hash
+  in all its windows: an unchanged segment names the same gram in both. Keys
+  name the gram, a class of lengths and a stretch of places; a pair goes on
+  where its lengths and places fit the edits that a segment leaves before and
+  after itself (the multi-match-aware windows).
+* Filters: a first pass gathers the filed keys in a Bloom filter (and those
+  filed more than once in another), a second one the keys that are looked up
+  and were filed. The third pass gives out only rows that may meet a row of
+  another line; the filters have a fixed bound, beyond which more rows pass
+  and none is lost.
 * Verification: lines that meet under a key are compared by a banded
-  bit-parallel edit distance, after their common ends are taken off. Anchors
-  are many to a line, so those first give the pairs whose lengths and places
-  are within the distance; a pair is given its texts once.
-
-In Spark: tasks turn each batch's different lines into 16-byte (key, line)
-rows. A partial aggregate finds the keys under which an indexed line meets
-another line; only rows with such keys go on, and only the lines among them
-are carried as text. Keys with more than ``GROUP`` lines are dealt over
-blocks, every two blocks meeting in one task, so no task holds a whole hot
-group; for lines under ``LONG`` tasks give out verified links only, never
-candidate pairs. The set of
-meeting keys, and then of their lines, is broadcast while it has at most
-``BROADCAST_ROWS`` rows and joined by shuffle beyond that.
+  bit-parallel edit distance, after their common ends are taken off. Longer
+  lines first give the pairs whose lengths and places fit; a pair is given
+  its texts once.
+
+In Spark: keys travel to the filters packed, in slices of the key space; rows
+are 24 bytes (key, line, place), written once. Keys with more than about
+``GROUP`` lines are dealt over blocks, every two blocks meeting in one task, so
+no task holds a whole hot group; for lines under ``LONG`` tasks give out
+verified links only, never candidate pairs. The set of lines that meet is
+broadcast while it has at most ``BROADCAST_ROWS`` rows and joined by shuffle
+beyond that.
 
 Defined results: a NULL text has no lines; an empty text has one empty line;
 lines are separated by line feeds only; a document all of whose lines go (with
@@ -58,17 +60,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import bloom
 from .common import fresh, key_runs, worker_cache
 from .components import components
 
 MAX_EDITS = 2                # of one per MIN_CHARS characters
 MIN_CHARS = 10
 EDIT_CHARS = 20              # one edit per so many characters, without a bound
-LONG = 80                    # lines that meet by anchors
-GRAM, WINDOW = 10, 7
+LONG = 80                    # lines whose segments are filed by a gram of theirs
+GRAM, WINDOW = 13, 4         # a window of 16 characters is in every segment
+FILTER_BLOCKS = 1 << 23      # 64 MB a filter
 CLASSES = 1.3                # ratio of the lengths of a class, over 1 + 1 / EDIT_CHARS
 STRETCH = 8                  # a stretch of places is so many times the edits of its class
-CHUNK = 1 << 20              # characters or pairs worked on at once
+CHUNK = 1 << 18              # characters or pairs worked on at once
 GROUP = 1000                 # lines of a key compared in one task
 BROADCAST_ROWS = 4_000_000   # longs: 32 MB
 ROWS_OUT = 1 << 18           # rows of an output batch
@@ -125,41 +129,97 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, hash) of the grams that are the least of a window."""
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_ODD, n, 1 << 64))
+
+
+def _gram_hashes(points: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of 13 code points, from those of 2, 4 and 8."""
+    two = points[:-1] * _power(1) + points[1:]
+    four = two[:-2] * _power(2) + two[2:]
+    eight = four[:-4] * _power(4) + four[4:]
+    grams = eight[:-5] * _power(5) + (four[8:-1] * _power(1) + points[12:])
+    return (grams ^ (grams >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _least_grams(grams: np.ndarray) -> np.ndarray:
+    """Place of the first least gram of every window of 4: the lowest bits
+    carry how far it is from the window's start."""
+    least = grams & ~np.uint64(3)
+    least = np.minimum(least[:-1], least[1:] + np.uint64(1))
+    least = np.minimum(least[:-2], least[2:] + np.uint64(2))
+    return (least & np.uint64(3)).astype(np.int64) + np.arange(len(least))
+
+
+def _segment_starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, start) of all segments of long lines of these sizes."""
+    parts = size // EDIT_CHARS + 1
+    line = np.repeat(np.arange(len(size)), parts)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
+    length, longer = size // parts, size % parts
+    return line, i * length[line] + np.maximum(i - (parts - longer)[line], 0)
+
+
+def _segment_of(size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of the segment that holds a place of a long line."""
+    parts = size // EDIT_CHARS + 1
+    length, even = size // parts, parts - size % parts
+    return np.where(at < even * length, at // length, even + (at - even * length) // (length + 1))
+
+
+def anchors(lines: list[str], filed_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, hash, filed) of the grams that are the least of a
+    window; filed tells those of the windows that begin a segment."""
     size = np.array([len(x) for x in lines], np.int64)
     ends = np.cumsum(size)
     points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    grams = np.zeros(len(points) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + points[j:len(points) - GRAM + 1 + j]
-    grams = _mix(grams)
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1)
-    line = np.repeat(np.arange(len(lines)), size)[:len(least)]
-    start = np.flatnonzero(np.arange(len(least)) + GRAM + WINDOW - 1 <= ends[line])   # windows inside a line
-    at = np.unique(start + least[start])
-    line = np.searchsorted(ends, at, side="right")
-    return line, at - (ends - size)[line], grams[at]
-
-
-def anchor_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, key, indexed) of all keys long lines are filed or looked
+    grams = _gram_hashes(points)
+    least = _least_grams(grams)
+    line, start = _segment_starts(size)
+    filed = least[start + (ends - size)[line]]
+    if filed_only:
+        return line, filed - (ends - size)[line], _mix(grams[filed]), np.ones(len(line), bool)
+    inside = np.ones(len(least), bool)      # windows of one line
+    for j in range(1, GRAM + WINDOW - 1):
+        inside[(ends - j)[ends - j < len(least)]] = False
+    at = least[inside]
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    of_segment = np.zeros(len(points), bool)
+    of_segment[filed] = True
+    line = np.repeat(np.arange(len(lines)), size)[at]
+    return line, at - (ends - size)[line], _mix(grams[at]), of_segment[at]
+
+
+def anchor_keys(lines: list[str], filed_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key, filed) of all keys long lines are filed or looked
     up under."""
-    line, at, gram = anchors(lines)
-    size = np.array([len(x) for x in lines], np.int64)[line]
-    own = np.searchsorted(_EDGES, size, side="right") - 1
+    line, at, gram, first = anchors(lines, filed_only)
+    size = np.array([len(x) for x in lines], np.int64)
     least = np.maximum(-(-size * EDIT_CHARS // (EDIT_CHARS + 1)), LONG)      # of a line within the distance
+    own = np.searchsorted(_EDGES, size, side="right") - 1
     below = np.searchsorted(_EDGES, least, side="right") - 1
     out = []
-    for kind, some in ((own, slice(None)), (below, np.flatnonzero(below < own))):
-        kind, n, place, h = kind[some], line[some], at[some], gram[some]
-        shift = _SHIFTS[kind]
-        low, high = np.maximum(place - shift, 0) // (STRETCH * shift), (place + shift) // (STRETCH * shift)
-        for stretch, these in ((low, slice(None)), (high, np.flatnonzero(high > low))):
-            part = stretch[these]
-            where = _mix((kind[these] << 40 | part).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            filed = (kind[these] == own[some][these]) & (part == place[these] // (STRETCH * shift[these]))
-            out.append((n[these], place[these], _mix(h[these] + where), filed))
+
+    def keys(kinds, n, place, h, filed):
+        shift = _SHIFTS[kinds][n]
+        width = STRETCH * shift
+        here = place // width
+        low, high = np.maximum(place - shift, 0) // width, (place + shift) // width
+        salt = kinds.astype(np.uint64)[n] * _power(3) + h
+        every = slice(None)
+        for stretch, some in ((here, every), (low, np.flatnonzero(low < here)), (high, np.flatnonzero(high > here))):
+            key = salt[some] + stretch[some].astype(np.uint64) * _power(5)
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            out.append((n[some], place[some], key ^ (key >> np.uint64(32)), filed[some] & (stretch is here)))
+            if filed_only:
+                break
+    keys(own, line, at, gram, first)
+    if not filed_only:
+        some = np.flatnonzero((below < own)[line])
+        keys(below, line[some], at[some], gram[some], np.zeros(len(some), bool))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -218,23 +278,20 @@ def _full_distance(a: str, b: str) -> int:
 
 
 # ------------------------------------------------------------------ key rows
-def _file_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, place) for the lines of a batch of texts; the lowest bit of
-    line tells whether the entry is an indexed one. place is 0 for segments;
-    for anchors it holds the place and, in the lower half, the line's length."""
+def _entries(batches: Iterator[pa.RecordBatch], filed_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, line, place) for the lines of texts; the lowest bit of line
+    tells whether the entry is a filed one. place is 0 for lines under
+    ``LONG``; for others it holds the place and, in the lower half, the line's
+    length. All entries of a line come together."""
     digest = xxhash.xxh64_intdigest
 
-    def out(keys, lines, places):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (keys, lines, places)], names=["key", "line", "place"])
-
-    def long_rows(numbers, texts):
-        line, at, keys, filed = anchor_keys(texts)
-        size = np.array([len(x) for x in texts], np.uint64)[line]
-        lines = np.array(numbers, np.uint64)[line] | filed.astype(np.uint64)
-        places = at.astype(np.uint64) << np.uint64(32) | size
-        for lo in range(0, len(keys), ROWS_OUT):
-            yield out(*(x[lo:lo + ROWS_OUT] for x in (keys, lines, places)))
+    def given(keys, lines, numbers, texts):
+        out = [(np.array(keys, np.uint64), np.array(lines, np.uint64), np.zeros(len(keys), np.uint64))]
+        if texts:
+            line, at, key, filed = anchor_keys(texts, filed_only)
+            size = np.array([len(x) for x in texts], np.uint64)[line]
+            out.append((key, np.array(numbers, np.uint64)[line] | filed.astype(np.uint64), at.astype(np.uint64) << np.uint64(32) | size))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     worker_cache("lines")
     for batch in batches:
@@ -249,26 +306,56 @@ def _file_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 seen.add(number)
                 for seed, at, n, indexed in probes(len(line)):
-                    keys.append(digest(line[at:at + n], seed))
-                    lines.append(number | indexed)
-                if len(keys) >= ROWS_OUT:
-                    yield out(keys, lines, [0] * len(keys))
-                    keys, lines = [], []
+                    if indexed or not filed_only:
+                        keys.append(digest(line[at:at + n], seed))
+                        lines.append(number | indexed)
                 if len(line) >= LONG:
                     numbers.append(number)
                     texts.append(line)
                     held += len(line)
-                if held >= CHUNK:
-                    yield from long_rows(numbers, texts)
-                    numbers, texts, held = [], [], 0
-        if keys:
-            yield out(keys, lines, [0] * len(keys))
-        if texts:
-            yield from long_rows(numbers, texts)
-
-
-def _line_number() -> Column:
-    return F.col("line").bitwiseAND(F.lit(-2).cast("long"))
+                if held >= CHUNK or len(keys) >= CHUNK:
+                    yield given(keys, lines, numbers, texts)
+                    keys, lines, numbers, texts, held = [], [], [], [], 0
+        if keys or texts:
+            yield given(keys, lines, numbers, texts)
+
+
+def _may_meet(keys: np.ndarray, lines: np.ndarray, once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(filed, asked): which entries are filed ones, and which are looked up
+    under a key that another line may have filed."""
+    filed = (lines & np.uint64(1)).astype(bool)
+    asked = np.flatnonzero(~filed & bloom.contains(once, keys))
+    pair = lambda rows: keys[rows] * _power(7) + (lines[rows] & ~np.uint64(1))
+    own = np.isin(pair(asked), pair(filed)) & ~bloom.contains(twice, keys[asked])
+    out = np.zeros(len(keys), bool)
+    out[asked[~own]] = True
+    return filed, out
+
+
+def _filed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from bloom.packed(keys for keys, _, _ in _entries(batches, filed_only=True))
+
+
+def _asked_keys(filters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = filters.value
+        yield from bloom.packed(keys[_may_meet(keys, lines, once, twice)[1]] for keys, lines, _ in _entries(batches))
+    return run
+
+
+def _rows(filters, answered):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = filters.value
+        for keys, lines, places in _entries(batches):
+            filed, asked = _may_meet(keys, lines, once, twice)
+            at = np.flatnonzero(filed)
+            asked[at[bloom.contains(twice, keys[at]) | bloom.contains(answered.value, keys[at])]] = True
+            columns = [pa.array(x[asked].view(np.int64)) for x in (keys, lines & ~np.uint64(1), places)]
+            indexed = pa.array((lines[asked] & np.uint64(1)).astype(bool))
+            for lo in range(0, len(indexed), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([x.slice(lo, ROWS_OUT) for x in (columns[0], indexed, *columns[1:])],
+                                                 names=["key", "indexed", "number", "place"])
+    return run
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -318,7 +405,7 @@ def _near_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = size // EDIT_CHARS
         by = run << 32 | size
         first, top = np.searchsorted(by, by), np.searchsorted(by, by + most, side="right")
-        x = np.flatnonzero((indexed == 1) & (top - first > 1))
+        x = np.flatnonzero(indexed & (top - first > 1))
         found, total = [], np.cumsum((top - first)[x])
         while len(x):
             n = max(1, int(np.searchsorted(total, CHUNK, side="right")))
@@ -326,7 +413,9 @@ def _near_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = (top - first)[now]
             i = np.repeat(now, width)
             j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + first[i]
-            fine = (np.abs(at[i] - at[j]) <= most[i]) & (number[i] != number[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            shift, before = at[j] - at[i], _segment_of(size[i], at[i])      # and the edits that may be before and after
+            fine = (np.abs(shift) <= before) & (np.abs(size[j] - size[i] - shift) <= most[i] - before)
+            fine &= (number[i] != number[j]) & ((side[i] != side[j]) | (side[i] == 2))
             i, j = i[fine], j[fine]
             found.append(np.unique(np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])]), axis=1))
         if found:
@@ -361,7 +450,9 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _dealt(rows: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
     """(key, side, columns): a key's lines in blocks; every two blocks, and
     every block with itself, meet once."""
-    many = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    every = max(1, GROUP // 32)     # of the lines one in so many is counted
+    many = (hits.where(F.pmod(F.xxhash64("number", F.lit(6)), F.lit(every)) == 0).groupBy("key")
+            .agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > GROUP))
     rows = rows.join(many, "key", "left")
     blocks = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("number", F.lit(5)), blocks).cast("int")
@@ -383,13 +474,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b): all links between different lines, as their XXH64 values."""
-    filed = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(_file_lines, "key long, line long, place long")
-    met = materialize(filed.groupBy("key").agg(F.min(_line_number()).alias("x"), F.max(_line_number()).alias("y"),
-                                               F.max(F.col("line").bitwiseAND(F.lit(1).cast("long"))).alias("filed"))
-                      .where((F.col("x") < F.col("y")) & (F.col("filed") == 1)).select("key"), "met-keys")
-    hits = materialize(filed.join(bounded(met), "key").distinct()
-                       .select("key", F.col("line").bitwiseAND(F.lit(1).cast("long")).alias("indexed"),
-                               _line_number().alias("number"), "place"), "hits")
+    texts = docs.select(text_col).where(F.col(text_col).isNotNull())
+    share = docs.sparkSession.sparkContext.broadcast
+    size = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
+    blocks = bloom.sliced(size // EDIT_CHARS, FILTER_BLOCKS)
+    filters = share(bloom.gather(texts.mapInArrow(_filed_keys, bloom.PACKED), blocks))
+    answered = share(bloom.gather(texts.mapInArrow(_asked_keys(filters), bloom.PACKED), blocks)[0])
+    hits = materialize(texts.mapInArrow(_rows(filters, answered), "key long, indexed boolean, number long, place long"), "key-rows")
     short, long_ = hits.where("place = 0"), hits.where("place <> 0")
     pairs = materialize(_dealt(long_, long_, "indexed", "number", "place")
                         .mapInArrow(_near_places, "a long, b long").distinct(), "long-pairs")
