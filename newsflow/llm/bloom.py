@@ -73,9 +73,17 @@ def _places(n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), bits
 
 
-def sliced(hashes: int, most: int) -> int:
+def sliced(hashes: int, most: int, bits: int = BITS) -> int:
     """Blocks of a filter for so many hashes, a multiple of ``SLICES``."""
-    return SLICES * min(most // SLICES, hashes * BITS // 64 // SLICES + 1)
+    return SLICES * min(most // SLICES, hashes * bits // 64 // SLICES + 1)
+
+
+def folded(blocks: np.ndarray, full: float = 0.125) -> np.ndarray:
+    """The filter in half as many blocks, and again, while no more than this
+    share of its bits is set: neighbours are blocks of one number there."""
+    while len(blocks) % 2 == 0 and np.bitwise_count(blocks).mean() <= 64 * full:
+        blocks = blocks[0::2] | blocks[1::2]
+    return blocks
 
 
 def packed(hashes: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ first occurrence by (document id, line number).
   its texts once.
 
 In Spark: keys travel to the filters packed, in slices of the key space; rows
-are 24 bytes (key, line, place), written once. Keys with more than about
+are three longs (key, line, place), written once; then the filters go. Keys with more than about
 ``GROUP`` lines are dealt over blocks, every two blocks meeting in one task, so
 no task holds a whole hot group; for lines under ``LONG`` tasks give out
 verified links only, never candidate pairs. The set of lines that meet is
@@ -70,6 +70,7 @@ EDIT_CHARS = 20              # one edit per so many characters, without a bound
 LONG = 80                    # lines whose segments are filed by a gram of theirs
 GRAM, WINDOW = 13, 4         # a window of 16 characters is in every segment
 FILTER_BLOCKS = 1 << 23      # 64 MB a filter
+FILTER_BITS = 16             # per filed key, while the bound allows
 CLASSES = 1.3                # ratio of the lengths of a class, over 1 + 1 / EDIT_CHARS
 STRETCH = 8                  # a stretch of places is so many times the edits of its class
 CHUNK = 1 << 18              # characters or pairs worked on at once
@@ -350,11 +351,9 @@ def _rows(filters, answered):
             filed, asked = _may_meet(keys, lines, once, twice)
             at = np.flatnonzero(filed)
             asked[at[bloom.contains(twice, keys[at]) | bloom.contains(answered.value, keys[at])]] = True
-            columns = [pa.array(x[asked].view(np.int64)) for x in (keys, lines & ~np.uint64(1), places)]
-            indexed = pa.array((lines[asked] & np.uint64(1)).astype(bool))
-            for lo in range(0, len(indexed), ROWS_OUT):
-                yield pa.RecordBatch.from_arrays([x.slice(lo, ROWS_OUT) for x in (columns[0], indexed, *columns[1:])],
-                                                 names=["key", "indexed", "number", "place"])
+            columns = [pa.array(x[asked].view(np.int64)) for x in (keys, lines, places)]
+            for lo in range(0, len(columns[0]), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([x.slice(lo, ROWS_OUT) for x in columns], names=["key", "line", "place"])
     return run
 
 
@@ -395,10 +394,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of long lines of a (key, blocks) run whose lengths and places
-    are within the distance: rows (key, side, indexed, number, place)."""
+    are within the distance: rows (key, line, place), with the side in the
+    free bits of place: 31 (side 1) and 63 (side 2)."""
     for batch in key_runs(batches):
-        key, side, indexed, number, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        size, at = place & 0xFFFFFFFF, place >> 32
+        key, number, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        side = np.where(place < 0, 2, place >> 31 & 1)
+        size, at = place & 0x7FFFFFFF, place >> 32 & 0x7FFFFFFF
+        indexed, number = (number & 1).astype(bool), number & ~1
         order = np.lexsort((size, key))
         key, side, indexed, number, size, at = (x[order] for x in (key, side, indexed, number, size, at))
         run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
@@ -447,21 +449,25 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*pairs)], names=["a", "b"])
 
 
-def _dealt(rows: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
-    """(key, side, columns): a key's lines in blocks; every two blocks, and
-    every block with itself, meet once."""
+def _line_number() -> Column:
+    return F.col("line").bitwiseAND(F.lit(-2).cast("long"))
+
+
+def _dealt(rows: DataFrame, hits: DataFrame, *columns: Column) -> DataFrame:
+    """(key, columns): a key's lines in blocks; every two blocks, and every
+    block with itself, meet once. The columns may tell a row's side."""
     every = max(1, GROUP // 32)     # of the lines one in so many is counted
-    many = (hits.where(F.pmod(F.xxhash64("number", F.lit(6)), F.lit(every)) == 0).groupBy("key")
+    many = (hits.where(F.pmod(F.xxhash64(_line_number(), F.lit(6)), F.lit(every)) == 0).groupBy("key")
             .agg((F.count(F.lit(1)) * every).alias("n")).where(F.col("n") > GROUP))
     rows = rows.join(many, "key", "left")
     blocks = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("number", F.lit(5)), blocks).cast("int")
+    own = F.pmod(F.xxhash64(_line_number(), F.lit(5)), blocks).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
-                       F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-                       .cast("int").alias("side"), *columns)
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
+    rows = rows.withColumn("side", side).select(
+        F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"), *columns)
     return rows.repartition("key").sortWithinPartitions("key")
 
 
@@ -477,20 +483,25 @@ def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = docs.select(text_col).where(F.col(text_col).isNotNull())
     share = docs.sparkSession.sparkContext.broadcast
     size = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
-    blocks = bloom.sliced(size // EDIT_CHARS, FILTER_BLOCKS)
-    filters = share(bloom.gather(texts.mapInArrow(_filed_keys, bloom.PACKED), blocks))
-    answered = share(bloom.gather(texts.mapInArrow(_asked_keys(filters), bloom.PACKED), blocks)[0])
-    hits = materialize(texts.mapInArrow(_rows(filters, answered), "key long, indexed boolean, number long, place long"), "key-rows")
+    blocks = bloom.sliced(size // EDIT_CHARS, FILTER_BLOCKS, FILTER_BITS)
+    filters = share(tuple(map(bloom.folded, bloom.gather(texts.mapInArrow(_filed_keys, bloom.PACKED), blocks))))
+    answered = share(bloom.folded(bloom.gather(texts.mapInArrow(_asked_keys(filters), bloom.PACKED), blocks)[0]))
+    hits = materialize(texts.mapInArrow(_rows(filters, answered), "key long, line long, place long"), "key-rows")
+    for shared in (filters, answered):
+        shared.destroy()        # the rows are written
     short, long_ = hits.where("place = 0"), hits.where("place <> 0")
-    pairs = materialize(_dealt(long_, long_, "indexed", "number", "place")
+    sided = (F.when(F.col("side") == 2, F.lit(-1 << 63).cast("long")).otherwise(F.col("side").cast("long") * (1 << 31))
+             .bitwiseOR(F.col("place")).alias("place"))
+    pairs = materialize(_dealt(long_, long_, F.col("line"), sided)
                         .mapInArrow(_near_places, "a long, b long").distinct(), "long-pairs")
+    short = short.select("key", F.col("line").bitwiseAND(F.lit(1).cast("long")).alias("indexed"), "line", _line_number().alias("number"))
     numbers = materialize(short.select("number").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("number")))
                           .distinct(), "hit-lines")
     texts = materialize(docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("text"))
                         .where(F.length("text") >= MIN_CHARS)
                         .select(F.xxhash64("text").bitwiseAND(F.lit(-2).cast("long")).alias("number"), "text")
                         .join(bounded(numbers), "number", "left_semi").distinct(), "hit-texts")
-    near = _dealt(short.join(texts, "number"), short, "indexed", "number", "text").mapInArrow(_verify, "a long, b long")
+    near = _dealt(short.join(texts, "number"), short, *map(F.col, ("side", "indexed", "number", "text"))).mapInArrow(_verify, "a long, b long")
     far = (pairs.join(texts.select(F.col("number").alias("a"), "text"), "a")
            .join(texts.select(F.col("number").alias("b"), F.col("text").alias("other")), "b")
            .select("a", "b", "text", "other").mapInArrow(_verify_pairs, "a long, b long"))
