@@ -24,10 +24,11 @@ first occurrence by (document id, line number).
   where its lengths and places fit the edits that a segment leaves before and
   after itself (the multi-match-aware windows).
 * Filters: a first pass gathers the filed keys in a Bloom filter (and those
-  filed more than once in another), a second one the keys that are looked up
-  and were filed. The third pass gives out only rows that may meet a row of
-  another line; the filters have a fixed bound, beyond which more rows pass
-  and none is lost.
+  filed more than once in another), a second one gives out the rows that are
+  looked up under keys that another line may have filed, a third one the
+  filed rows that were looked up or filed twice. A filter of the places where
+  lines come first keeps copies out. Filters have a fixed bound, beyond which
+  more rows pass and none is lost.
 * Verification: lines that meet under a key are compared by a banded
   bit-parallel edit distance, after their common ends are taken off. Longer
   lines first give the pairs whose lengths and places fit; a pair is given
@@ -73,7 +74,7 @@ FILTER_BLOCKS = 1 << 23      # 64 MB a filter
 FILTER_BITS = 16             # per filed key, while the bound allows
 CLASSES = 1.3                # ratio of the lengths of a class, over 1 + 1 / EDIT_CHARS
 STRETCH = 8                  # a stretch of places is so many times the edits of its class
-CHUNK = 1 << 18              # characters or pairs worked on at once
+CHUNK = 1 << 16              # characters or pairs worked on at once
 GROUP = 1000                 # lines of a key compared in one task
 BROADCAST_ROWS = 4_000_000   # longs: 32 MB
 ROWS_OUT = 1 << 18           # rows of an output batch
@@ -279,9 +280,10 @@ def _full_distance(a: str, b: str) -> int:
 
 
 # ------------------------------------------------------------------ key rows
-def _entries(batches: Iterator[pa.RecordBatch], filed_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, line, place) for the lines of texts; the lowest bit of line
-    tells whether the entry is a filed one. place is 0 for lines under
+def _entries(batches: Iterator[pa.RecordBatch], firsts, filed_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, line, place) for the lines of (texts, hashes of their places)
+    whose places may be first ones; the lowest bit of line tells whether the
+    entry is a filed one. place is 0 for lines under
     ``LONG``; for others it holds the place and, in the lower half, the line's
     length. All entries of a line come together."""
     digest = xxhash.xxh64_intdigest
@@ -298,9 +300,11 @@ def _entries(batches: Iterator[pa.RecordBatch], filed_only: bool = False) -> Ite
     for batch in batches:
         seen, keys, lines = set(), [], []
         numbers, texts, held = [], [], 0
+        places = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        wanted = iter((bloom.contains(firsts.value, places) if firsts else np.ones(len(places), bool)).tolist())
         for text in batch.column(0):
-            for line in (text.as_py() or "").split("\n"):
-                if len(line) < MIN_CHARS:
+            for line in text.as_py().split("\n"):
+                if not next(wanted) or len(line) < MIN_CHARS:
                     continue
                 number = digest(line, 42) & ~1
                 if number in seen:
@@ -321,42 +325,48 @@ def _entries(batches: Iterator[pa.RecordBatch], filed_only: bool = False) -> Ite
             yield given(keys, lines, numbers, texts)
 
 
-def _may_meet(keys: np.ndarray, lines: np.ndarray, once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(filed, asked): which entries are filed ones, and which are looked up
-    under a key that another line may have filed."""
-    filed = (lines & np.uint64(1)).astype(bool)
-    asked = np.flatnonzero(~filed & bloom.contains(once, keys))
+def _asked(keys: np.ndarray, lines: np.ndarray, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Entries that are looked up under a key that another line may have filed."""
+    filed = np.flatnonzero(lines & np.uint64(1))
+    asked = np.flatnonzero(bloom.contains(once, keys) & (lines & np.uint64(1) == 0))
     pair = lambda rows: keys[rows] * _power(7) + (lines[rows] & ~np.uint64(1))
     own = np.isin(pair(asked), pair(filed)) & ~bloom.contains(twice, keys[asked])
-    out = np.zeros(len(keys), bool)
-    out[asked[~own]] = True
-    return filed, out
+    return asked[~own]
 
 
-def _filed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from bloom.packed(keys for keys, _, _ in _entries(batches, filed_only=True))
+def _filed_keys(firsts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from bloom.packed(keys for keys, _, _ in _entries(batches, firsts, filed_only=True))
+    return run
+
 
+def _given(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), ROWS_OUT):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + ROWS_OUT].view(np.int64)) for x in columns], names=["key", "line", "place"])
 
-def _asked_keys(filters):
+
+def _asked_rows(firsts, filters):
+    """Rows that are looked up under keys that another line may have filed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = filters.value
-        yield from bloom.packed(keys[_may_meet(keys, lines, once, twice)[1]] for keys, lines, _ in _entries(batches))
+        for entries in _entries(batches, firsts):
+            asked = _asked(*entries[:2], *filters.value)
+            yield from _given(*(x[asked] for x in entries))
     return run
 
 
-def _rows(filters, answered):
+def _filed_rows(firsts, filters, answered):
+    """Filed rows with a key that was filed twice or looked up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = filters.value
-        for keys, lines, places in _entries(batches):
-            filed, asked = _may_meet(keys, lines, once, twice)
-            at = np.flatnonzero(filed)
-            asked[at[bloom.contains(twice, keys[at]) | bloom.contains(answered.value, keys[at])]] = True
-            columns = [pa.array(x[asked].view(np.int64)) for x in (keys, lines, places)]
-            for lo in range(0, len(columns[0]), ROWS_OUT):
-                yield pa.RecordBatch.from_arrays([x.slice(lo, ROWS_OUT) for x in columns], names=["key", "line", "place"])
+        for entries in _entries(batches, firsts, filed_only=True):
+            met = bloom.contains(filters.value[1], entries[0]) | bloom.contains(answered.value, entries[0])
+            yield from _given(*(x[met] for x in entries))
     return run
 
 
+def _packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from bloom.packed(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches)
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a table of longs that was counted; beyond ``most``
     rows the join shuffles."""
@@ -478,17 +488,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.struct("_no_id", "_id", "_text", "_at").alias("place"), "line")
 
 
-def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b): all links between different lines, as their XXH64 values."""
-    texts = docs.select(text_col).where(F.col(text_col).isNotNull())
+def links(docs: DataFrame, text_col: str = "text", id_col: str | None = None, firsts: DataFrame | None = None) -> DataFrame:
+    """(a, b): all links between different lines, as their XXH64 values.
+    ``firsts`` (h) may name the first places of all lines (hashes of a hash of
+    id and text, and the line's number): lines are then read there alone."""
+    doc = F.xxhash64(id_col, F.xxhash64(text_col)) if id_col else F.xxhash64(text_col)
+    numbered = F.sequence(F.lit(0), F.size(F.split(F.col(text_col), "\n", -1)) - 1)
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(text_col).alias("text"), F.transform(numbered, lambda at: F.xxhash64(doc, at)).alias("places"))
     share = docs.sparkSession.sparkContext.broadcast
-    size = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
+    if firsts is not None:
+        firsts = share(bloom.fill(firsts.select(F.lit(0).alias("shard"), "h"), bloom.sizes({0: firsts.count()}))[0])
+    size = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = bloom.sliced(size // EDIT_CHARS, FILTER_BLOCKS, FILTER_BITS)
-    filters = share(tuple(map(bloom.folded, bloom.gather(texts.mapInArrow(_filed_keys, bloom.PACKED), blocks))))
-    answered = share(bloom.folded(bloom.gather(texts.mapInArrow(_asked_keys(filters), bloom.PACKED), blocks)[0]))
-    hits = materialize(texts.mapInArrow(_rows(filters, answered), "key long, line long, place long"), "key-rows")
-    for shared in (filters, answered):
-        shared.destroy()        # the rows are written
+    filters = share(tuple(map(bloom.folded, bloom.gather(rows.mapInArrow(_filed_keys(firsts), bloom.PACKED), blocks))))
+    asked = materialize(rows.mapInArrow(_asked_rows(firsts, filters), "key long, line long, place long"), "asked-rows")
+    answered = share(bloom.folded(bloom.gather(asked.select("key").mapInArrow(_packed_keys, bloom.PACKED), blocks)[0]))
+    filed = materialize(rows.mapInArrow(_filed_rows(firsts, filters, answered), "key long, line long, place long"), "filed-rows")
+    for shared in (firsts, filters, answered):
+        if shared:
+            shared.destroy()        # the rows are written
+    hits = asked.unionByName(filed)
     short, long_ = hits.where("place = 0"), hits.where("place <> 0")
     sided = (F.when(F.col("side") == 2, F.lit(-1 << 63).cast("long")).otherwise(F.col("side").cast("long") * (1 << 31))
              .bitwiseOR(F.col("place")).alias("place"))
@@ -520,7 +540,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, every_line: bool) -> DataF
     lines = _lines(docs, id_col, text_col).where(counted | _written(F.col("line")) if every_line else counted).select(
         "place", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     classes = materialize(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    pairs = materialize(links(docs, text_col), "line-links")
+    firsts = classes.select(F.xxhash64(F.xxhash64("first._id", "first._text"), "first._at").alias("h"))
+    pairs = materialize(links(docs, text_col, id_col, firsts), "line-links")
     roots = components(pairs)
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     linked = materialize(classes.join(roots.join(degrees, "node").withColumnRenamed("node", "h1"), "h1"), "linked")
