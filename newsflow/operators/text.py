@@ -33,15 +33,19 @@ from collections import Counter
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import content_tokens, ngrams_1_2, sentences, tokens
+from ..functions.text import content_tokens, sentences, tokens
 from ..session import materialize
 from .maxsum import least_alike
 
+SLICE = 1 << 19       # tokens that are counted at once
+
 
 def spread(docs: DataFrame) -> DataFrame:
     """A table that comes in fewer partitions than there are cores (a few
@@ -50,24 +54,82 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def term_counts(docs: DataFrame, id_col: str, terms: Column, out: str, count: str) -> DataFrame:
-    """(id, term, count) of an array expression over each document (row),
-    from run lengths of its sorted terms: no shuffle."""
-    own = docs.select(id_col, terms.alias("_t")).where(F.size("_t") > 0).select(id_col, F.array_sort("_t").alias("_t"))
-    at = F.filter(F.sequence(F.lit(1), F.size("_t")),
-                  lambda i: (i == 1) | (F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
-    own = own.select(id_col, "_t", at.alias("_at"))
-    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_t") + 1))
-    runs = own.select(id_col, "_t", F.explode(F.arrays_zip(F.col("_at"), ends.alias("_to"))).alias("_r"))
-    return runs.select(id_col, F.element_at("_t", F.col("_r")["_at"]).alias(out),
-                       (F.col("_r")["_to"] - F.col("_r")["_at"]).cast("long").alias(count))
+def _slices(batch: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``most`` elements (or one row)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        upto = max(upto, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _counted(row: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, row, count) of each that occurs, in the order of (code, row)."""
+    rows = int(row[-1]) + 1 if len(row) else 1
+    key, count = np.unique(code.astype(np.int64) * rows + row, return_counts=True)
+    return key // rows, key % rows, count.astype(np.int64)
+
+
+def count_terms(batch: pa.RecordBatch, pairs: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms, place in terms, row, count) of the token arrays in the second
+    column, ordered by place; with ``pairs`` once more for adjacent tokens."""
+    lists = batch.column(1)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(batch.num_rows), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = coded.dictionary
+    yield words, *_counted(row, code, len(words))
+    if pairs and len(code) > 1:
+        same = row[1:] == row[:-1]
+        both, code = np.unique((code[:-1] * len(words) + code[1:])[same], return_inverse=True)
+        if len(both):
+            first, second = (words.take(pa.array(x)) for x in (both // len(words), both % len(words)))
+            yield pc.binary_join_element_wise(first, second, " "), *_counted(row[1:][same], code, len(both))
+
+
+def term_counts(docs: DataFrame, id_col: str, toks: Column, out: str, count: str, pairs: bool = False) -> DataFrame:
+    """(id, term, count) of the tokens (with ``pairs`` also of the pairs of
+    adjacent ones) of each document (row): no shuffle."""
+    kind = docs.select(id_col).schema[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 1, SLICE):
+                for terms, place, row, n in count_terms(part, pairs):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), terms.take(pa.array(place)), pa.array(n)],
+                                                     names=[kind.name, out, count])
+
+    schema = T.StructType([kind, T.StructField(out, T.StringType()), T.StructField(count, T.LongType())])
+    return docs.select(id_col, toks.alias("_t")).mapInArrow(run, schema)
+
+
+def term_blocks(docs: DataFrame, id_col: str, toks: Column, out: str) -> DataFrame:
+    """(term, docs): the counts of ``term_counts`` as one row per term and
+    slice of rows, docs an array of (id, n): a term that many documents hold
+    is shuffled once for a slice of them."""
+    kind = docs.select(id_col).schema[0]
+    schema = T.StructType([T.StructField(out, T.StringType()), T.StructField("docs", T.ArrayType(T.StructType(
+        [T.StructField("id", kind.dataType), T.StructField("n", T.LongType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 1, SLICE):
+                for terms, place, row, n in count_terms(part, False):
+                    at, first = np.unique(place, return_index=True)
+                    held = pa.StructArray.from_arrays([part.column(0).take(pa.array(row)), pa.array(n)], names=["id", "n"])
+                    blocks = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)), pa.int32()), held)
+                    yield pa.RecordBatch.from_arrays([terms.take(pa.array(at)), blocks], names=[out, "docs"])
+
+    return docs.select(id_col, toks.alias("_t")).mapInArrow(run, schema)
 
 
 def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    top_n: int = 10, stop_words=None, digits: int = 9) -> DataFrame:
     """M3: (id, rank, gram, tf, df, score); score = tf * ln((N+1)/(df+1))."""
     own = spread(docs.select(id_col, text_col)).select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
-    tf = materialize(term_counts(own, id_col, ngrams_1_2("_toks"), "gram", "tf"), "tf")
+    tf = materialize(term_counts(own, id_col, F.col("_toks"), "gram", "tf", pairs=True), "tf")
     df_ = materialize(tf.groupBy("gram").agg(F.count("*").alias("df")), "df")
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
     scored = (tf.join(df_, "gram").crossJoin(F.broadcast(n))
@@ -117,21 +179,61 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pos, score, sentence = [], [], [], []
-            for i in range(batch.num_rows):
-                toks = batch.column(2)[i].as_py()
-                for minus, p in best_sentences(toks, k, digits, reweight) if toks else []:
-                    row.append(i)
-                    pos.append(p + 1)
-                    score.append(-minus)
-                    sentence.append(batch.column(1)[i][p].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(sentence, pa.string()),
-                 pa.array(score, pa.float64())], names=[kind.name, "pos", "sentence", "score"])
+            for part in _slices(batch, 2, SLICE // 16):
+                row, at, score = (one_by_one if reweight else chosen_sentences)(part.column(2), k, digits)
+                lists = part.column(1)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                first = np.cumsum(size) - size
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row, pa.int64())), pa.array((at - first[row] + 1).astype(np.int32)),
+                     lists.flatten().take(pa.array(at, pa.int64())), pa.array(score, pa.float64())],
+                    names=[kind.name, "pos", "sentence", "score"])
 
     return rows.mapInArrow(run, schema)
 
 
+def one_by_one(docs: pa.ListArray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """``chosen_sentences`` with re-weighting, a document after the other."""
+    row, at, score, first = [], [], [], 0
+    for i, toks in enumerate(docs.to_pylist()):
+        for minus, p in best_sentences(toks or [], k, digits, True):
+            row.append(i)
+            at.append(first + p)
+            score.append(-minus)
+        first += len(toks or [])
+    return np.array(row, np.int64), np.array(at, np.int64), score
+
+
+def chosen_sentences(docs: pa.ListArray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among all sentences, score) of the ``k`` best sentences of
+    every row, as ``best_sentences`` chooses them, for all rows at once. Sums
+    are of whole numbers; a score next to where rounding turns is rounded as
+    there."""
+    inner = docs.flatten()
+    row = np.repeat(np.arange(len(docs)), pc.fill_null(pc.list_value_length(docs), 0).to_numpy(zero_copy_only=False))
+    size = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = inner.flatten().dictionary_encode()
+    owner = np.repeat(row, size)
+    key = owner * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+    _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+    held = count[of]                                   # of each token: its count in its document
+    upto = np.concatenate([[0], np.cumsum(held)])
+    end = np.cumsum(size)
+    n = np.bincount(owner, minlength=len(docs))
+    at = np.flatnonzero(size)
+    exact = (upto[end] - upto[end - size])[at] / (n[row[at]] * size[at]) * 10.0 ** digits
+    score = np.floor(exact + 0.5) / 10.0 ** digits
+    for i in np.flatnonzero(np.abs(exact - np.floor(exact) - 0.5) <= 10.0 ** (digits - 14)):
+        s = at[i]
+        weights = (held[end[s] - size[s]:end[s]] / n[row[s]]).tolist()
+        score[i] = round_half_up(sum(weights) / len(weights), digits)
+    order = np.lexsort((at, -score, row[at]))
+    ranked = row[at][order]
+    place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+    best = np.sort(order[place < k])
+    return row[at][best], at[best], score[best]
+
+
 def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
              alpha: float = 1.0) -> dict[str, DataFrame]:
     """M1 training. Returns the tables
@@ -164,20 +266,18 @@ def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits:
     model gives both the known tokens and the class sums; the classes meet the
     documents as one array, not as rows."""
     log_alpha = math.log(model["alpha"])
-    tf = term_counts(spread(docs.select(id_col, text_col)), id_col, tokens(text_col), "token", "f")
-    hit = tf.join(model["weights"], "token")
-    # one entry per class, and one without a class that counts the known tokens
-    entries = F.concat(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("class"), e["value"].alias("w"))),
-                       F.array(F.struct(F.lit(None).alias("class"), F.lit(1.0).alias("w"))))
-    sums = (hit.select(id_col, "f", F.explode(entries).alias("e")).groupBy(id_col, F.col("e.class").alias("class"))
-            .agg(F.sum(F.col("f") * F.col("e.w")).alias("s")))
-    per_doc = sums.groupBy(id_col).agg(
-        F.map_from_entries(F.filter(F.collect_list(F.struct("class", "s")), lambda e: e["class"].isNotNull())).alias("_seen"),
-        F.max(F.when(F.col("class").isNull(), F.col("s"))).alias("_known"))
+    labels = [c["class"] for c in model["classes"].first()[0]]
+    blocks = term_blocks(spread(docs.select(id_col, text_col)), id_col, tokens(text_col), "token")
+    seen = F.array(*[F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)) for c in labels])
+    hit = blocks.join(model["weights"], "token").select(F.explode("docs").alias("d"), seen.alias("w"))
+    # one row a document and task: the sum of every class and the known tokens
+    per_doc = hit.groupBy(F.col("d.id").alias(id_col)).agg(
+        F.array(*[F.sum(F.col("d.n") * F.col("w")[i]) for i in range(len(labels))]).alias("_seen"),
+        F.sum("d.n").cast("double").alias("_known"))
     every = docs.select(id_col).join(per_doc, id_col, "left").crossJoin(F.broadcast(model["classes"]))  # one row
 
-    def score(c: Column) -> Column:
-        seen = F.coalesce(F.try_element_at("_seen", c["class"]), F.lit(0.0))
+    def score(c: Column, i: Column) -> Column:
+        seen = F.coalesce(F.get("_seen", i), F.lit(0.0))
         known = F.coalesce("_known", F.lit(0.0))
         return F.struct((-F.round(c["log_prior"] + known * (F.lit(log_alpha) - c["log_norm"]) + seen, digits)).alias("minus"),
                         c["class"].alias("class"))
@@ -185,6 +285,25 @@ def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits:
     return every.select(id_col, F.array_sort(F.transform("classes", score)).alias("_scores"))
 
 
+def nb_weighed(docs: DataFrame, model: dict, toks: Column, out: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, out) of every row: for each distinct token of the array ``toks``
+    that the model knows its count and its weight for every class, in the order
+    of ``model["classes"]``, one after the other in an array of doubles; NULL
+    where no token is known. For scorers (``scoring.naive_bayes_scorer``) that
+    need not hold the vocabulary."""
+    labels = [c["class"] for c in model["classes"].first()[0]]
+    rows = docs.select(id_col, toks.alias("_t"))
+    # rows of one id are told apart by their tokens; equal rows get equal sets
+    rows = rows.select(F.struct(F.col(id_col).alias("id"), F.md5(F.array_join("_t", " ")).alias("text")).alias("_k"), "_t")
+    weights = F.array(*[F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)) for c in labels])
+    hit = term_blocks(spread(rows), "_k", F.col("_t"), "token").join(model["weights"], "token").select(
+        "token", F.explode("docs").alias("d"), weights.alias("w"))
+    known = hit.groupBy(F.col("d.id").alias("_k")).agg(F.collect_set(F.struct("token", F.col("d.n").alias("n"), "w")).alias("_w"))
+    known = known.select("_k", F.flatten(F.transform("_w", lambda x: F.concat(F.array(x["n"].cast("double")), x["w"]))).alias(out))
+    every = rows.select("_k")
+    return every.join(known, every["_k"].eqNullSafe(known["_k"]), "left").select(every["_k"]["id"].alias(id_col), out)
+
+
 def nb_classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
                 digits: int = 6) -> DataFrame:
     """M1 scoring: (id, pred, score), score = log_prior + sum over known
