@@ -17,6 +17,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,28 +126,36 @@ def score_resumable(df: DataFrame, load: Callable[[], Score], outputs: str, path
             done.where("err IS NOT NULL").select(key_col, "err", "trace"))
 
 
-def naive_bayes_scorer(model: dict, most: int = 500_000, digits: int = 6) -> Callable[[], Score]:
-    """A ``load`` for the library's naive Bayes (``text.nb_train``) over token
-    arrays: (pred, score) as ``nb_classify`` gives them. The model travels as
-    one broadcast of at most ``most`` tokens; a larger one is refused, as it
-    belongs into a join (``nb_classify``)."""
+def naive_bayes_scorer(model: dict, most: int = 500_000, digits: int = 6, weighed: bool = False) -> Callable[[], Score]:
+    """A ``load`` for the library's naive Bayes (``text.nb_train``): (pred,
+    score) as ``nb_classify`` gives them. The inputs are token arrays, and the
+    model travels as one broadcast of at most ``most`` tokens; a larger one is
+    refused. With ``weighed`` the inputs are what ``text.nb_weighed`` gives,
+    the workers hold the classes only and the vocabulary has no bound."""
     weights = model["weights"]
     spark = weights.sparkSession
-    rows = weights.limit(most + 1).collect()
+    rows = [] if weighed else weights.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} tokens; use nb_classify")
+        raise ValueError(f"more than {most} tokens; use text.nb_weighed")
     classes = [tuple(c) for c in model["classes"].first()[0]]
     shared = spark.sparkContext.broadcast(({r.token: dict(r.weights) for r in rows}, classes, math.log(model["alpha"])))
 
     def load() -> Score:
         known, classes, log_alpha = shared.value
 
-        def one(toks) -> tuple[str, float]:
+        def counted(toks) -> tuple[float, list[list[float]]]:
+            """The number of known tokens, and what each adds to each class."""
             counts = Counter(t for t in toks if t in known)
-            n, best = sum(counts.values()), []
-            for label, log_prior, log_norm in classes:
-                seen = math.fsum(f * known[t].get(label, 0.0) for t, f in counts.items())
-                best.append((-round(log_prior + n * (log_alpha - log_norm) + seen, digits), label))
+            return sum(counts.values()), [[f * known[t].get(label, 0.0) for t, f in counts.items()] for label, _, _ in classes]
+
+        def given(array) -> tuple[float, list[list[float]]]:
+            table = np.asarray([] if array is None else array, np.float64).reshape(-1, 1 + len(classes))
+            return table[:, 0].sum(), (table[:, 1:] * table[:, :1]).T.tolist()
+
+        def one(x) -> tuple[str, float]:
+            n, terms = (given if weighed else counted)(x)
+            best = [(-round(float(log_prior + n * (log_alpha - log_norm) + math.fsum(seen)), digits), label)
+                    for (label, log_prior, log_norm), seen in zip(classes, terms)]
             minus, label = min(best)
             return label, -minus
 
