@@ -290,15 +290,19 @@ def nb_weighed(docs: DataFrame, model: dict, toks: Column, out: str, id_col: str
     that the model knows its count and its weight for every class, in the order
     of ``model["classes"]``, one after the other in an array of doubles; NULL
     where no token is known. For scorers (``scoring.naive_bayes_scorer``) that
-    need not hold the vocabulary."""
+    need not hold the vocabulary. A known token is moved to its documents as a
+    number, once for each, and collected where its document is: gathering sets
+    before the shuffle would sort and keep every token twice."""
     labels = [c["class"] for c in model["classes"].first()[0]]
     rows = docs.select(id_col, toks.alias("_t"))
     # rows of one id are told apart by their tokens; equal rows get equal sets
-    rows = rows.select(F.struct(F.col(id_col).alias("id"), F.md5(F.array_join("_t", " ")).alias("text")).alias("_k"), "_t")
+    rows = rows.select(F.struct(F.col(id_col).alias("id"), F.unhex(F.md5(F.array_join("_t", " "))).alias("text")).alias("_k"), "_t")
     weights = F.array(*[F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)) for c in labels])
-    hit = term_blocks(spread(rows), "_k", F.col("_t"), "token").join(model["weights"], "token").select(
-        "token", F.explode("docs").alias("d"), weights.alias("w"))
-    known = hit.groupBy(F.col("d.id").alias("_k")).agg(F.collect_set(F.struct("token", F.col("d.n").alias("n"), "w")).alias("_w"))
+    # written, so that a token's number is the same however often it is read
+    numbered = materialize(model["weights"].select("token", weights.alias("w"), F.monotonically_increasing_id().alias("code")), "nb-codes")
+    hit = term_blocks(spread(rows), "_k", F.col("_t"), "token").join(numbered, "token").select(
+        "code", F.explode("docs").alias("d"), "w").select(F.col("d.id").alias("_k"), "code", F.col("d.n").alias("n"), "w")
+    known = hit.repartition("_k").groupBy("_k").agg(F.collect_set(F.struct("code", "n", "w")).alias("_w"))
     known = known.select("_k", F.flatten(F.transform("_w", lambda x: F.concat(F.array(x["n"].cast("double")), x["w"]))).alias(out))
     every = rows.select("_k")
     return every.join(known, every["_k"].eqNullSafe(known["_k"]), "left").select(every["_k"]["id"].alias(id_col), out)

@@ -59,6 +59,16 @@ def test_repeated_rows_are_not_counted_twice(spark):
     assert sorted((str(r.doc_id), r.w[0]) for r in got) == [("1", 1.0), ("1", 2.0), ("1", 2.0), ("None", 1.0)]
 
 
+def test_tokens_are_collected_after_their_shuffle_only(spark):
+    """No set is gathered before the exchange, and no token goes through it."""
+    model = Tx.nb_train(spark.createDataFrame([("sun rain", "a"), ("snow", "b")], "text string, k string"), "k")
+    docs = spark.createDataFrame([(1, "sun snow"), (2, "sun")], "doc_id long, text string")
+    lines = Tx.nb_weighed(docs, model, tokens("text"), "w")._jdf.queryExecution().sparkPlan().toString().split("\n")
+    gathered = [i for i, line in enumerate(lines) if "partial_collect_set" in line]
+    assert gathered and all("Exchange" in lines[i + 1] for i in gathered)
+    assert all("token" not in lines[i] for i in gathered)
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     texts = ["One two three. Two three! Four?", "Five six. Six.", None, ""]
