@@ -156,10 +156,10 @@ def naive_bayes_scorer(model: dict, most: int = 500_000, digits: int = 6, weighe
             n, terms = (given if weighed else counted)(x)
             best = [(-round(float(log_prior + n * (log_alpha - log_norm) + math.fsum(seen)), digits), label)
                     for (label, log_prior, log_norm), seen in zip(classes, terms)]
-            minus, label = min(best)
+            minus, label = min(best, key=lambda x: (x[0], x[1] is None, 0 if x[1] is None else x[1]))      # the NULL class last
             return label, -minus
 
         def score(inputs: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([one(x) for x in inputs], columns=["pred", "score"])
+            return pd.DataFrame([one(x) for x in inputs], columns=["pred", "score"], dtype=object)
         return score
     return load

@@ -241,13 +241,15 @@ def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
     weights(token, weights: class -> w), one row per training token:
     log_norm = ln(class_tokens + alpha*V), w = ln(count + alpha) - ln(alpha)
     for the (token, class) pairs seen in training, so the model stores only
-    observed pairs (an unseen pair contributes ln(alpha) per occurrence)."""
+    observed pairs (an unseen pair contributes ln(alpha) per occurrence).
+    Documents without a class count in the priors and the vocabulary and are
+    a class of their own (NULL) that has no tokens."""
     docs = labelled.select(F.col(class_col).alias("class"), text_col)
     counts = materialize(docs.select("class", F.explode(tokens(text_col)).alias("token"))
                          .groupBy("token", "class").agg(F.count("*").alias("cnt")), "nb-counts")
     w = F.log(F.col("cnt") + alpha) - math.log(alpha)
-    weights = materialize(counts.groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("class", w.alias("w")))).alias("weights")), "nb-weights")
+    pair = F.when(F.col("class").isNotNull(), F.struct("class", w.alias("w")))      # a map has no NULL key
+    weights = materialize(counts.groupBy("token").agg(F.map_from_entries(F.collect_list(pair)).alias("weights")), "nb-weights")
     v = weights.agg(F.count("*").cast("double").alias("v"))
     n_docs = docs.agg(F.count("*").alias("n_all"))
     class_tokens = counts.groupBy("class").agg(F.sum("cnt").alias("class_tokens"))
@@ -261,8 +263,9 @@ def nb_train(labelled: DataFrame, class_col: str, text_col: str = "text",
 
 
 def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits: int) -> DataFrame:
-    """(id, _scores): for each document the array of (minus, class) of all
-    classes, minus the rounded score with its sign turned. One join with the
+    """(id, _scores): for each document the array of (minus, none, class) of
+    all classes, minus the rounded score with its sign turned, none true for
+    the NULL class, which is the last of equals. One join with the
     model gives both the known tokens and the class sums; the classes meet the
     documents as one array, not as rows."""
     log_alpha = math.log(model["alpha"])
@@ -280,7 +283,7 @@ def _nb_scored(docs: DataFrame, model: dict, id_col: str, text_col: str, digits:
         seen = F.coalesce(F.get("_seen", i), F.lit(0.0))
         known = F.coalesce("_known", F.lit(0.0))
         return F.struct((-F.round(c["log_prior"] + known * (F.lit(log_alpha) - c["log_norm"]) + seen, digits)).alias("minus"),
-                        c["class"].alias("class"))
+                        c["class"].isNull().alias("none"), c["class"].alias("class"))
 
     return every.select(id_col, F.array_sort(F.transform("classes", score)).alias("_scores"))
 

@@ -2,6 +2,7 @@
 once, a scorer without the vocabulary, and steps that are read twice but run
 once."""
 
+import math
 import random
 
 import pyarrow as pa
@@ -69,6 +70,37 @@ def test_tokens_are_collected_after_their_shuffle_only(spark):
     assert all("token" not in lines[i] for i in gathered)
 
 
+def test_documents_without_a_class(spark):
+    """As the SQL has it: they count in the priors and the vocabulary, and the
+    NULL class has no tokens and comes last of equals."""
+    train = spark.createDataFrame([("sun sun rain", 1), ("rain snow", 0), ("fog", None), (None, None)], "text string, k int")
+    model = Tx.nb_train(train, "k")
+    docs = spark.createDataFrame([(5, "sun rain"), (6, "nothing known"), (7, "fog fog fog"), (8, None)], "doc_id long, text string")
+    prior = {1: math.log(1 / 4), 0: math.log(1 / 4), None: math.log(2 / 4)}
+    norm = {1: math.log(3 + 4), 0: math.log(2 + 4), None: math.log(0 + 4)}     # four tokens in all
+    seen = {5: {1: math.log(3) + math.log(2), 0: math.log(2)}}
+    known = {5: 2, 7: 3}
+    score = {(d, k): round(prior[k] - known.get(d, 0) * norm[k] + seen.get(d, {}).get(k, 0.0), 6) for d in (5, 6, 7, 8) for k in prior}
+    want = {d: max(((score[d, k], k is not None, k) for k in prior), key=lambda x: x[:2]) for d in (5, 6, 7, 8)}
+    got = {r.doc_id: (r.score, r.pred is not None, r.pred) for r in Tx.nb_classify(docs, model).collect()}
+    assert got == {d: (pytest.approx(w[0]), *w[1:]) for d, w in want.items()}
+    assert all(len(r.labels) == 3 for r in Tx.nb_scores(docs, model).collect())
+    weighed = Tx.nb_weighed(docs, model, tokens(F.coalesce("text", F.lit(""))), "weighed")
+    load = Sc.naive_bayes_scorer(model, weighed=True)
+    good, bad = Sc.score_resumable(weighed, load, "pred int, score double", scratch_path(spark, "t-nbn"), "doc_id", "weighed", parts=2)
+    assert bad.count() == 0 and {r.doc_id: (r.score, r.pred is not None, r.pred) for r in good.collect()} == got
+
+
+def test_the_class_of_none_is_the_last_of_equals(spark):
+    model = Tx.nb_train(spark.createDataFrame([("sun", 1), ("", None)], "text string, k int"), "k")
+    docs = spark.createDataFrame([(5, "x")], "doc_id long, text string")
+    assert Tx.nb_classify(docs, model).first().pred == 1
+    weighed = Tx.nb_weighed(docs, model, tokens("text"), "weighed")
+    good, _ = Sc.score_resumable(weighed, Sc.naive_bayes_scorer(model, weighed=True), "pred int, score double",
+                                 scratch_path(spark, "t-nbl"), "doc_id", "weighed", parts=1)
+    assert good.first().pred == 1
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     texts = ["One two three. Two three! Four?", "Five six. Six.", None, ""]
