@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsflow.llm import bloom
 from newsflow.llm import line_dedup as L
@@ -73,6 +74,27 @@ def test_full_filters_change_no_link(spark, monkeypatch):
     assert {tuple(r) for r in L.links(df).collect()} == want and len(want) > 60
 
 
+def test_rows_are_shuffled_once(spark, monkeypatch):
+    """The keys with many lines come to the rows, which are shuffled by the keys
+    of their blocks only; past ``HOT_KEYS`` both are shuffled, with the same rows."""
+    monkeypatch.setattr(L, "GROUP", 64)
+    rows = L.materialize(spark.range(600).select(
+        F.when(F.col("id") < 300, 7).otherwise(F.col("id")).cast("long").alias("key"), (F.col("id") * 2).alias("line")), "t-hits")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, got = spark.conf.get(name), []
+    spark.conf.set(name, "-1")
+    try:
+        for most, shuffles in ((L.HOT_KEYS, 1), (0, 3)):
+            monkeypatch.setattr(L, "HOT_KEYS", most)
+            dealt = L._dealt(rows, rows, F.col("line"))
+            plan = dealt._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == shuffles
+            got.append(sorted(map(tuple, dealt.collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert got[0] == got[1] and len(got[0]) > 600
+
+
 def test_a_hot_key_is_dealt_over_blocks(spark, monkeypatch):
     # one opening of a third of all lines; groups of 64 lines count a half of them
     monkeypatch.setattr(L, "GROUP", 64)
