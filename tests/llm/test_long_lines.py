@@ -83,3 +83,49 @@ def test_distance_of_long_lines():
         b = edited(a, rng.randint(0, 14), rng)
         for most in (3, 8, 30):
             assert L.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
+
+
+def test_rows_of_lines_within_the_distance_agree_on_what_follows():
+    rng = random.Random(5)
+    for _ in range(300):
+        line = "".join(rng.choice("abcde fgh") for _ in range(rng.randint(80, 400)))
+        other = edited(line, rng.randint(0, L.allowed(len(line))), rng)
+        short, long_ = sorted((line, other), key=len)
+        most = L.allowed(len(short))
+        if len(short) < L.LONG or levenshtein(short, long_) > most:
+            continue
+        sets = []
+        for text, filed in ((short, True), (long_, False)):
+            n, at, key, _ = L.anchor_keys([text], filed)
+            sets.append(list(zip(key.tolist(), at.tolist(), L.followers([text], n, at).tolist())))
+        size = L.np.array([len(short)])
+        assert any(k == m and abs(q - p) <= (before := int(L._segment_of(size, L.np.array([p]))[0]))
+                   and abs(len(long_) - len(short) - q + p) <= most - before and (x ^ y).bit_count() <= 2 * (L.NEXT - 1)
+                   for k, p, x in sets[0] for m, q, y in sets[1])
+
+
+def test_followers_count_characters_modulo_four():
+    text = "e" * 5 + "zebra" * 40
+    places = L.np.array([0, 3, 150, 200])
+    found = L.followers(["abc" * 30, text], L.np.ones(4, int), places).tolist()
+    for at, bits in zip(places.tolist(), found):
+        counts = [0] * 16
+        for c in text[at:at + L._COUNTED]:
+            counts[L._LANES[ord(c)]] += 1
+        assert bits == sum((n % 4 ^ n % 4 >> 1) << 2 * lane for lane, n in enumerate(counts))
+
+
+def test_lines_that_share_a_phrase_only_are_no_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    lines = [(" ".join(word() for _ in range(12))[:40] + " a phrase that many lines hold " + " ".join(word() for _ in range(60)))[:200]
+             for _ in range(60)]
+    docs = spark.createDataFrame([("\n".join(lines + [edited(lines[0], 8, rng)]),)], "text string")
+    written, given = [], L.materialize
+    L.materialize = lambda df, name="table": (written.append((name, out := given(df, name))), out)[1]
+    try:
+        found = L.links(docs).collect()
+    finally:
+        L.materialize = given
+    assert len(found) == 1
+    assert dict(written)["long-pairs"].count() <= 5     # not all that meet under the phrase
