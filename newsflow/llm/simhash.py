@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .common import fresh, key_runs, worker_cache
 from .components import components
+from .line_dedup import bounded
 
 SEED = 42
 CHUNK = 4 << 20        # bytes of a text worked on at a time
@@ -237,12 +238,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stored = materialize(fingerprints(docs, text_col, k, fp), "docs-fp")
     prints = stored.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     classes = materialize(_classes(prints, "id", max_bits), "classes")
-    same = prints.join(classes, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    rows = prints.join(classes, "fp")
+    same = rows.where(F.col("id").eqNullSafe(F.col("component_id")))
     counts = same.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    keep = (classes.join(counts, "root")
-            .select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least), F.col("n").alias(n)))
-    kept = stored.join(keep, fp).where(F.col(id_col).eqNullSafe(F.col(least)))
+    # texts are shuffled only where a component has several rows
+    several = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root")
+    keep = materialize(classes.join(several, "root", "left_semi").join(counts, "root")
+                       .select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least), F.col("n").alias(n)), "keep")
+    alone = stored.join(bounded(keep.select(fp)), fp, "left_anti")
+    kept = stored.join(bounded(keep.select(fp)), fp, "left_semi").join(keep, fp).where(F.col(id_col).eqNullSafe(F.col(least)))
     # only ids that occur more than once need a second shuffle
     once = kept.where(F.col(n) == 1)
     more = kept.where(F.col(n) > 1).dropDuplicates([root])
-    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*columns).unionByName(once.select(*columns)).unionByName(more.select(*columns))

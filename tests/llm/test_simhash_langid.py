@@ -181,3 +181,13 @@ def test_a_hot_id_and_clashing_names(spark):
     got = langid.identify(df, models[0])
     assert got.columns == [*df.columns, "lang_id"]
     assert all(r.lang_id.lang_pred == r.lang and r["_has_letter_lang_id"] == r.doc_id for r in got.collect())
+
+
+def test_texts_of_documents_alone_in_their_component_are_not_shuffled(spark):
+    from newsflow.llm import simhash as S
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j * 31) % 10007}" for j in range(60))) for i in range(40)] + [(50, "same text of two"), (51, "same text of two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = S.drop_near_duplicates(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 50]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
