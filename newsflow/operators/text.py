@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import content_tokens, sentences, tokens
 from ..session import materialize
+from .grams import _slices, best_grams
 from .maxsum import least_alike
 
 SLICE = 1 << 19       # tokens that are counted at once
@@ -54,17 +55,6 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def _slices(batch: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``most`` elements (or one row)."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
-        upto = max(upto, at + 1)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def _counted(row: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, row, count) of each that occurs, in the order of (code, row)."""
     rows = int(row[-1]) + 1 if len(row) else 1
@@ -129,11 +119,9 @@ def keywords_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    top_n: int = 10, stop_words=None, digits: int = 9) -> DataFrame:
     """M3: (id, rank, gram, tf, df, score); score = tf * ln((N+1)/(df+1))."""
     own = spread(docs.select(id_col, text_col)).select(id_col, content_tokens(text_col, stop_words).alias("_toks"))
-    tf = materialize(term_counts(own, id_col, F.col("_toks"), "gram", "tf", pairs=True), "tf")
-    df_ = materialize(tf.groupBy("gram").agg(F.count("*").alias("df")), "df")
-    n = docs.agg(F.count("*").cast("double").alias("n_docs"))
-    scored = (tf.join(df_, "gram").crossJoin(F.broadcast(n))
-              .withColumn("score", F.round(F.col("tf") * F.log((F.col("n_docs") + 1) / (F.col("df") + 1)), digits)))
+    best, n = best_grams(own, top_n, digits)
+    # ranked once more: rows of one id are one document here
+    scored = best.withColumn("score", F.round(F.col("tf") * F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)), digits))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("gram"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
             .select(id_col, F.col("rank").cast("int").alias("rank"), "gram", "tf", "df", "score"))
