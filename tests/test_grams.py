@@ -41,7 +41,8 @@ def test_against_a_plain_loop(spark, monkeypatch, block, slices):
     assert got == plain(docs, 4) and len(got) > 60
 
 
-def test_no_table_or_shuffle_of_all_grams(spark, monkeypatch):
+@pytest.mark.parametrize("job", [Tx.keywords_tfidf, Tx.keywords_maxsum])
+def test_no_table_or_shuffle_of_all_grams(spark, monkeypatch, job):
     rng = random.Random(6)
     docs = [(i, " ".join("w%d" % rng.randrange(400) for _ in range(1_000))) for i in range(40)]
     written = []
@@ -54,7 +55,7 @@ def test_no_table_or_shuffle_of_all_grams(spark, monkeypatch):
     materialize = Tx.materialize
     for module in (Tx, G):
         monkeypatch.setattr(module, "materialize", counted, raising=False)
-    plan = Tx.keywords_tfidf(spark.createDataFrame(docs, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = job(spark.createDataFrame(docs, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert sum(written) < 2 * 8 * G.LEAST_SLICES           # and not some 50,000
     assert not re.search(r"hashpartitioning\(gram|BroadcastExchange", plan)
 
