@@ -41,7 +41,7 @@ def test_against_a_plain_loop(spark, monkeypatch, block, slices):
     assert got == plain(docs, 4) and len(got) > 60
 
 
-@pytest.mark.parametrize("job", [Tx.keywords_tfidf, Tx.keywords_maxsum])
+@pytest.mark.parametrize("job", [Tx.keywords_tfidf, Tx.keywords_maxsum, Tx.keywords_mmr])
 def test_no_table_or_shuffle_of_all_grams(spark, monkeypatch, job):
     rng = random.Random(6)
     docs = [(i, " ".join("w%d" % rng.randrange(400) for _ in range(1_000))) for i in range(40)]
